@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from twinsift.lineage import stage
-from twinsift.operators.components import connected_components
-from twinsift.operators.copies import expand_groups, expand_pairs
+from twinsift.operators.components import clusters_of_keepers
+from twinsift.operators.copies import expand_pairs
 from twinsift.operators.skew import CHUNK_ROWS, lookup, pairs_in_buckets
 from twinsift.operators.tfidf import distinct_texts, weights
 
@@ -119,3 +119,12 @@ def similar_texts(questions: DataFrame, threshold: float = 0.78, id_col: str = "
     candidates = pairs_in_buckets(
         _sized(_prefix(packed, threshold)), "token_id", "keeper", "size", _reachable(threshold), chunk_rows)
     return expand_pairs(score_pairs(candidates, packed, threshold), members, _copies(packed), chunk_rows)
+
+
+def text_clusters(questions: DataFrame, threshold: float = 0.78, id_col: str = "question_id",
+                  text_col: str = "question_text", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """(cluster_id, id): connected components of ``similar_texts``."""
+    packed, members = _search(questions, threshold, id_col, text_col)
+    candidates = pairs_in_buckets(
+        _sized(_prefix(packed, threshold)), "token_id", "keeper", "size", _reachable(threshold), chunk_rows)
+    return clusters_of_keepers(packed, members, score_pairs(candidates, packed, threshold))

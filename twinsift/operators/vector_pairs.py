@@ -12,8 +12,8 @@ from twinsift.functions.vectors import is_zero
 from twinsift.lineage import stage
 from twinsift.operators.blocks import (
     TASK_KEY, Blocking, block_tasks, choose_pivots, sides, with_cells, with_visits)
-from twinsift.operators.components import connected_components
-from twinsift.operators.copies import collapse, expand_groups, expand_pairs
+from twinsift.operators.components import clusters_of_keepers
+from twinsift.operators.copies import collapse, expand_pairs
 from twinsift.operators.text_pairs import check_threshold
 
 # Rows of a block that are multiplied at once, to bound the memory of the product.
@@ -126,14 +126,3 @@ def vector_clusters(vectors: DataFrame, threshold: float = 0.78, id_col: str = "
     edges = _block_search(keepers, threshold, blocking, _spanning_pairs(threshold))
     similar = keepers.where(~is_zero(F.col("vector"))) if threshold > 0 else keepers
     return clusters_of_keepers(similar, members, edges)
-
-
-def clusters_of_keepers(keepers: DataFrame, members: DataFrame, edges: DataFrame) -> DataFrame:
-    """(cluster_id, id) from keeper edges; repeated rows without an edge are clusters too."""
-    components = connected_components(edges).withColumnRenamed("id", "keeper")
-    sized = keepers.select("keeper", "copies")
-    labelled = stage(
-        sized.join(components, "keeper", "left")
-        .where("cluster_id is not null or copies > 1")
-        .select(F.coalesce("cluster_id", "keeper").alias("cluster_id"), "keeper", "copies"), "labelled")
-    return expand_groups(labelled, members)
