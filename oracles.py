@@ -63,7 +63,7 @@ feedback AS (
   SELECT id1, id2, similarity,
     CASE WHEN a.quality = b.quality AND a.toxic = b.toxic THEN 'duplicate'
          WHEN a.quality = b.quality THEN 'near-duplicate/harmonizable'
-         WHEN a.toxic = b.toxic THEN 'different' ELSE 'needs-review' END AS label,
+         WHEN a.quality > b.quality THEN 'different' ELSE 'needs-review' END AS label,
     'quality ' || a.quality || '/' || b.quality AS note,
     '2025-11-30T09:00:00.000000' AS "timestamp"
   FROM pairs JOIN labels a ON a.doc_id = id1 JOIN labels b ON b.doc_id = id2)"""

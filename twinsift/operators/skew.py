@@ -15,7 +15,7 @@ HOT_KEYS = 1_000
 CHUNK_ROWS = 1_000
 
 
-def lookup(big: DataFrame, small: DataFrame, key: str, rows: str, total: int | None = None,
+def lookup(big: DataFrame, small: DataFrame, key: str | list[str], rows: str, total: int | None = None,
            hot_rows: int = HOT_ROWS) -> DataFrame:
     """Inner join of ``big`` with ``small``, which has one row per key.
 
@@ -23,12 +23,13 @@ def lookup(big: DataFrame, small: DataFrame, key: str, rows: str, total: int | N
     key; it stays in the result. ``total`` is the row count of ``big`` if known: too few
     rows cannot make a hot key. ``small`` is read twice, so it should be a stored table.
     """
+    keys = [key] if isinstance(key, str) else key
     if total is not None and total <= hot_rows:
         return big.join(small, key)
-    hot = small.where(F.col(rows) > hot_rows).orderBy(F.desc(rows), key).limit(HOT_KEYS)
+    hot = small.where(F.col(rows) > hot_rows).orderBy(F.desc(rows), *keys).limit(HOT_KEYS)
     if hot.isEmpty():
         return big.join(small, key)
-    hot_keys = F.broadcast(hot.select(key))
+    hot_keys = F.broadcast(hot.select(*keys))
     spread = big.join(F.broadcast(hot), key)
     rest = big.join(hot_keys, key, "left_anti").join(small, key)
     return spread.unionByName(rest)
@@ -43,13 +44,13 @@ def chunk_of(member: Column, chunks: Column) -> Column:
 
 
 def pairs_in_buckets(rows: DataFrame, bucket: str, member: str, size: str, keep,
-                     chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Distinct pairs (id1, id2) of members that share a bucket and satisfy ``keep``.
+                     carry: tuple[str, ...] = (), chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """(bucket, member1 < member2, carried columns of both) of rows that share a bucket.
 
     ``size`` is the number of rows of the bucket. A bucket is cut into chunks and each
     pair of chunks is its own join key, so a key never sees more than about
     ``chunk_rows`` squared combinations however large the bucket is. ``keep(a, b)``
-    receives accessors for the columns of both sides.
+    receives accessors for the columns of both sides and drops pairs inside the join.
     """
     chunks = chunk_count(F.col(size), chunk_rows)
     rows = rows.withColumn("_last", chunks - 1).withColumn("_chunk", chunk_of(F.col(member), chunks))
@@ -60,8 +61,7 @@ def pairs_in_buckets(rows: DataFrame, bucket: str, member: str, size: str, keep,
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     same_key = (a(bucket) == b(bucket)) & (a("_lo") == b("_lo")) & (a("_hi") == b("_hi"))
     once = (a("_lo") < a("_hi")) | (a(member) < b(member))
-    return (
-        left.join(right, same_key & once & keep(a, b))
-        .select(F.least(a(member), b(member)).alias("id1"), F.greatest(a(member), b(member)).alias("id2"))
-        .distinct()
-    )
+    ordered = a(member) < b(member)
+    sides = [F.when(ordered, one(c)).otherwise(two(c)).alias(f"{c}{n}")
+             for c in (member, *carry) for n, one, two in ((1, a, b), (2, b, a))]
+    return left.join(right, same_key & once & keep(a, b)).select(a(bucket).alias(bucket), *sides)

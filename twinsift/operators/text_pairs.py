@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from twinsift.lineage import stage
-from twinsift.operators.components import clusters_of_keepers
+from twinsift.operators.components import clusters_of_keepers, connected_components
 from twinsift.operators.copies import expand_pairs
-from twinsift.operators.skew import CHUNK_ROWS, lookup, pairs_in_buckets
+from twinsift.operators.skew import CHUNK_ROWS, chunk_count, chunk_of, lookup, pairs_in_buckets
 from twinsift.operators.tfidf import distinct_texts, weights
 
 # Room for floating-point error in the candidate bounds; the score itself decides.
@@ -117,14 +117,61 @@ def similar_texts(questions: DataFrame, threshold: float = 0.78, id_col: str = "
     """All pairs (id1 < id2, similarity) of rows whose TF-IDF cosine is >= threshold."""
     packed, members = _search(questions, threshold, id_col, text_col)
     candidates = pairs_in_buckets(
-        _sized(_prefix(packed, threshold)), "token_id", "keeper", "size", _reachable(threshold), chunk_rows)
+        _sized(_prefix(packed, threshold)), "token_id", "keeper", "size", _reachable(threshold),
+        chunk_rows=chunk_rows).select(F.col("keeper1").alias("id1"), F.col("keeper2").alias("id2")).distinct()
     return expand_pairs(score_pairs(candidates, packed, threshold), members, _copies(packed), chunk_rows)
 
 
 def text_clusters(questions: DataFrame, threshold: float = 0.78, id_col: str = "question_id",
                   text_col: str = "question_text", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """(cluster_id, id): connected components of ``similar_texts``."""
+    """(cluster_id, id): connected components of ``similar_texts``, without listing all pairs.
+
+    Texts are first compared with one text per shared word, which is linear and joins
+    near copies. Then only texts of different groups so far can add anything, so the full
+    search runs between groups and never within one.
+    """
     packed, members = _search(questions, threshold, id_col, text_col)
-    candidates = pairs_in_buckets(
-        _sized(_prefix(packed, threshold)), "token_id", "keeper", "size", _reachable(threshold), chunk_rows)
-    return clusters_of_keepers(packed, members, score_pairs(candidates, packed, threshold))
+    entries = stage(_sized(_prefix(packed, threshold)), "prefix")
+    stars = stage(score_pairs(_star_candidates(entries, threshold), packed, threshold), "stars")
+    groups = connected_components(stars).select(F.col("cluster_id").alias("group"), F.col("id").alias("keeper"))
+    grouped = stage(entries.drop("size").join(groups, "keeper", "left").withColumn(
+        "group", F.coalesce("group", "keeper")), "grouped")
+    between = score_pairs(_candidates_between_groups(grouped, threshold, chunk_rows), packed, threshold)
+    edges = stars.select("id1", "id2").unionByName(between.select("id1", "id2"))
+    return clusters_of_keepers(packed, members, edges)
+
+
+def _star_candidates(entries: DataFrame, threshold: float) -> DataFrame:
+    """(id1, id2) of the smallest keeper of every word with each other keeper of the word."""
+    star = stage(
+        entries.groupBy("token_id").agg(
+            F.min(F.struct("keeper", "u", "rest")).alias("hub"), F.count(F.lit(1)).alias("rows")), "hubs")
+    met = lookup(entries.drop("size"), star, "token_id", "rows")
+    bound = F.col("u") * F.col("hub.u") + F.col("rest") * F.col("hub.rest")
+    return (met.where((F.col("keeper") > F.col("hub.keeper")) & (bound >= threshold - MARGIN))
+            .select(F.col("hub.keeper").alias("id1"), F.col("keeper").alias("id2")).distinct())
+
+
+def _candidates_between_groups(grouped: DataFrame, threshold: float, chunk_rows: int) -> DataFrame:
+    """(id1, id2) that share a prefix word, are within reach and belong to different groups.
+
+    Groups are paired per word first, each counted as one however many texts it has; words
+    of a single group drop out. Paired groups are then unfolded chunk by chunk.
+    """
+    sizes = stage(grouped.groupBy("token_id", "group").agg(F.count(F.lit(1)).alias("rows")), "group_sizes")
+    words = stage(sizes.groupBy("token_id").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "words")
+    shared = lookup(sizes, words, "token_id", "size")
+    paired = pairs_in_buckets(
+        shared, "token_id", "group", "size", lambda a, b: F.lit(True), ("rows",), chunk_rows)
+    for s in "12":
+        last = chunk_count(F.col(f"rows{s}"), chunk_rows) - 1
+        paired = paired.withColumn(f"chunk{s}", F.explode(F.sequence(F.lit(0), last)))
+    mixed = shared.select("token_id", "group", "rows")
+    texts = lookup(grouped, mixed, ["token_id", "group"], "rows").withColumn(
+        "chunk", chunk_of(F.col("keeper"), chunk_count(F.col("rows"), chunk_rows)))
+    for s in "12":
+        side = texts.select("token_id", *[F.col(c).alias(f"{c}{s}") for c in ("group", "chunk", "keeper", "u", "rest")])
+        paired = paired.join(side, ["token_id", f"group{s}", f"chunk{s}"])
+    bound = F.col("u1") * F.col("u2") + F.col("rest1") * F.col("rest2")
+    return paired.where(bound >= threshold - MARGIN).select(
+        F.least("keeper1", "keeper2").alias("id1"), F.greatest("keeper1", "keeper2").alias("id2")).distinct()

@@ -40,6 +40,6 @@ def document_feedback(spark: SparkSession, folder: str, pairs: DataFrame) -> Dat
     return both.select(
         "id1", "id2", "similarity",
         F.when(quality & toxic, "duplicate").when(quality, "near-duplicate/harmonizable")
-        .when(toxic, "different").otherwise("needs-review").alias("label"),
+        .when(F.expr("quality1 > quality2"), "different").otherwise("needs-review").alias("label"),
         F.concat(F.lit("quality "), "quality1", F.lit("/"), "quality2").alias("note"),
         F.lit("2025-11-30T09:00:00.000000").alias("timestamp"))
