@@ -209,10 +209,10 @@ def latest_feedback(spark, folder):
 
 
 def invalid_labels(spark, folder):
-    """The written note used as label."""
+    """Feedback in which duplicates carry the note in place of the label."""
     feedback = tables.document_feedback(spark, folder, _text_pairs(spark, folder))
     return review.invalid_labels(feedback.withColumn(
-        "label", F.when(F.col("label") == "needs-review", F.col("note")).otherwise(F.col("label"))))
+        "label", F.when(F.col("label") == "duplicate", F.col("note")).otherwise(F.col("label"))))
 
 
 def feedback_upsert(spark, folder):

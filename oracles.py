@@ -181,7 +181,7 @@ ORACLES = {
                CASE WHEN label = 'needs-review' THEN "timestamp" ELSE '2025-12-01T11:26:13.126563' END AS "timestamp"
         FROM feedback""",
     "invalid_labels": f"""WITH {TEXT_PAIRS}{FEEDBACK}
-        SELECT note AS label, count(*) AS rows FROM feedback WHERE label = 'needs-review' GROUP BY note""",
+        SELECT note AS label, count(*) AS rows FROM feedback WHERE label = 'duplicate' GROUP BY note""",
     "feedback_upsert": f"""WITH {DETAILED_PAIRS}{FEEDBACK},
         submitted AS (SELECT id1, id2, similarity FROM detailed WHERE lower(trim(survey1)) <> lower(trim(survey2)))
         SELECT id1, id2, round(similarity, 4) AS similarity, label, note, "timestamp"
