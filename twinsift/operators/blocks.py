@@ -23,12 +23,14 @@ from twinsift.operators.skew import chunk_count, chunk_of
 
 BLOCK_ROWS = 4_096
 # Below this many vectors a plain chunk grid is cheaper than looking for cells.
-PIVOT_MIN_ROWS = 50_000
+PIVOT_MIN_ROWS = 200_000
 # Bounds what is collected and broadcast: MAX_PIVOTS vectors and MAX_PIVOTS * RINGS counts.
-MAX_PIVOTS = 256
+MAX_PIVOTS = 512
 RINGS = 18
 RING = np.pi / RINGS
 SLACK = 1e-6
+# Rows compared with all cells at once, to bound the memory of the comparison.
+VISIT_ROWS = 1_024
 
 
 @dataclass(frozen=True)
@@ -46,6 +48,7 @@ def matrix(column) -> np.ndarray:
     lengths = np.unique(np.diff(column.offsets.to_numpy()))
     if len(lengths) > 1:
         raise ValueError(f"vectors of different lengths: {lengths.tolist()}")
+    # flatten() respects the slice of a sliced column, as the offsets do.
     rows = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
     lengths = np.linalg.norm(rows, axis=1, keepdims=True)
     return np.divide(rows, lengths, out=np.zeros_like(rows), where=lengths > 0)
@@ -112,9 +115,8 @@ def with_visits(homes: DataFrame, pivots: np.ndarray | None, both_ways: bool) ->
     occupied = np.array(sorted(r[0] for r in homes.select("cell").distinct().collect()))
 
     def visit(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (whole.slice(start, VISIT_ROWS) for whole in batches
+                      for start in range(0, whole.num_rows, VISIT_ROWS)):
             radius = batch.column("radius").to_numpy()
             flags = _visited(_angles(matrix(batch.column("vector")), pivots), radius, occupied)
             home = batch.column("cell").to_numpy()[:, None]

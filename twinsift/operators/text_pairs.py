@@ -28,9 +28,10 @@ def check_threshold(threshold: float) -> float:
 def _packed(weighted: DataFrame) -> DataFrame:
     """One row per keeper with its words sorted by token id; bounded by one text.
 
-    The windows behind ``weighted`` already partition by keeper, so this adds no shuffle.
+    Words of a single keeper count in the norms but are shared by nobody, so they are not
+    kept. The windows behind ``weighted`` already partition by keeper: no further shuffle.
     """
-    entry = F.struct("token_id", "u", "tail", "rest", "kept")
+    entry = F.when(F.col("kept") > 1, F.struct("token_id", "u", "tail", "rest"))
     return weighted.groupBy("keeper").agg(
         F.first("copies").alias("copies"), F.sort_array(F.collect_list(entry)).alias("entries"))
 
@@ -40,10 +41,9 @@ def _prefix(packed: DataFrame, threshold: float) -> DataFrame:
 
     Let w be the rarest word two texts share. All shared words lie in both tails of w,
     so the cosine is at most the product of the tails; each tail is at most 1, hence
-    both must reach the threshold. Words of a single keeper are shared by nobody.
+    both must reach the threshold.
     """
-    return (packed.select("keeper", F.inline("entries"))
-            .where((F.col("tail") >= threshold - MARGIN) & (F.col("kept") > 1))
+    return (packed.select("keeper", F.inline("entries")).where(F.col("tail") >= threshold - MARGIN)
             .select("token_id", "keeper", "u", "rest"))
 
 
@@ -53,10 +53,10 @@ def _reachable(threshold: float):
 
 
 def _sized(prefix: DataFrame) -> DataFrame:
-    """Prefix entries with the number of entries of their word."""
+    """Prefix entries of shared words with the number of entries of the word, stored."""
     sizes = stage(
         prefix.groupBy("token_id").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
-    return lookup(prefix, sizes, "token_id", "size")
+    return stage(lookup(prefix, sizes, "token_id", "size"), "prefix")
 
 
 def _sparse_dots(batches):
@@ -131,12 +131,14 @@ def text_clusters(questions: DataFrame, threshold: float = 0.78, id_col: str = "
     search runs between groups and never within one.
     """
     packed, members = _search(questions, threshold, id_col, text_col)
-    entries = stage(_sized(_prefix(packed, threshold)), "prefix")
-    stars = stage(score_pairs(_star_candidates(entries, threshold), packed, threshold), "stars")
+    entries = _sized(_prefix(packed, threshold))
+    met = stage(_star_candidates(entries, threshold), "met")
+    stars = stage(score_pairs(met, packed, threshold), "stars")
     groups = connected_components(stars).select(F.col("cluster_id").alias("group"), F.col("id").alias("keeper"))
     grouped = stage(entries.drop("size").join(groups, "keeper", "left").withColumn(
         "group", F.coalesce("group", "keeper")), "grouped")
-    between = score_pairs(_candidates_between_groups(grouped, threshold, chunk_rows), packed, threshold)
+    unmet = _candidates_between_groups(grouped, threshold, chunk_rows).join(met, ["id1", "id2"], "left_anti")
+    between = score_pairs(unmet, packed, threshold)
     edges = stars.select("id1", "id2").unionByName(between.select("id1", "id2"))
     return clusters_of_keepers(packed, members, edges)
 
@@ -155,14 +157,17 @@ def _star_candidates(entries: DataFrame, threshold: float) -> DataFrame:
 def _candidates_between_groups(grouped: DataFrame, threshold: float, chunk_rows: int) -> DataFrame:
     """(id1, id2) that share a prefix word, are within reach and belong to different groups.
 
-    Groups are paired per word first, each counted as one however many texts it has; words
-    of a single group drop out. Paired groups are then unfolded chunk by chunk.
+    Groups are paired per word first, each counted as one however many texts it has, by the
+    largest values any of its texts has there; words of a single group drop out. Paired
+    groups are then unfolded chunk by chunk.
     """
-    sizes = stage(grouped.groupBy("token_id", "group").agg(F.count(F.lit(1)).alias("rows")), "group_sizes")
+    sizes = stage(
+        grouped.groupBy("token_id", "group").agg(
+            F.count(F.lit(1)).alias("rows"), F.max("u").alias("u"), F.max("rest").alias("rest")), "group_sizes")
     words = stage(sizes.groupBy("token_id").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "words")
     shared = lookup(sizes, words, "token_id", "size")
     paired = pairs_in_buckets(
-        shared, "token_id", "group", "size", lambda a, b: F.lit(True), ("rows",), chunk_rows)
+        shared, "token_id", "group", "size", _reachable(threshold), ("rows",), chunk_rows)
     for s in "12":
         last = chunk_count(F.col(f"rows{s}"), chunk_rows) - 1
         paired = paired.withColumn(f"chunk{s}", F.explode(F.sequence(F.lit(0), last)))
