@@ -21,6 +21,17 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+SPARK_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR"}
+
+
+def type_difference(df, con: duckdb.DuckDBPyConnection, sql: str) -> str | None:
+    """Columns whose declared types differ."""
+    want = {name: str(kind) for name, kind, *_ in con.execute(f"DESCRIBE {sql}").fetchall()}
+    got = {name: SPARK_TYPES.get(kind, kind) for name, kind in df.dtypes}
+    wrong = [f"{n} {got[n]} <> {want.get(n)}" for n in got if got[n] != want.get(n)]
+    return "types: " + ", ".join(wrong) if wrong else None
+
+
 def rows_of(columns: list[str], rows) -> tuple[list[str], list[tuple]]:
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     return [columns[i] for i in order], sorted(
@@ -66,9 +77,11 @@ def main() -> None:
             continue
         try:
             start = time.time()
-            got = spark_result(query(spark, folder))
+            df = query(spark, folder)
+            got = spark_result(df)
             taken = time.time() - start
-            problem = "no SQL" if name not in sql else difference(got, sql_result(con, sql[name])) or "ok"
+            problem = "no SQL" if name not in sql else (
+                difference(got, sql_result(con, sql[name])) or type_difference(df, con, sql[name]) or "ok")
             count = len(got[1])
         except Exception as error:  # report and go on
             problem, taken, count = f"ERROR {str(error)[:600]}", 0.0, 0
