@@ -409,10 +409,17 @@ QUERIES = [
 ]
 
 
+try:  # the text preparation operators are a part of their own, which may be absent
+    from twinsift.llm.queries import oracle_sql as llm_oracle_sql, queries as llm_queries
+    LLM_QUERIES, LLM_ORACLES = llm_queries(), llm_oracle_sql()
+except ImportError:
+    LLM_QUERIES, LLM_ORACLES = {}, {}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in QUERIES}
+    return {f.__name__: f for f in QUERIES} | LLM_QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     from oracles import ORACLES
-    return dict(ORACLES)
+    return ORACLES | LLM_ORACLES
