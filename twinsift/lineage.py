@@ -7,31 +7,42 @@ the folder every executor reaches, so losing an executor costs no staged work.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; a local one only on a local master."""
+    """The checkpoint folder of the session, or else a folder below its warehouse; both are shared."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="twinsift-"))
-    return spark.sparkContext.getCheckpointDir()
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/twinsift/{name}-{uuid.uuid4().hex}"
 
 
+_staged: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession):
+    """Remove the tables staged inside when the block ends; its results must be written by then."""
+    _staged.append([])
+    try:
+        yield
+    finally:
+        for path in _staged.pop():
+            drop(spark, path)
+
+
 def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back."""
     spark = df.sparkSession
     path = path or fresh_path(spark, name)
+    if _staged:
+        _staged[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -22,8 +22,6 @@ from twinsift.lineage import stage
 from twinsift.operators.skew import chunk_count, chunk_of
 
 BLOCK_ROWS = 4_096
-# Below this many vectors a plain chunk grid is cheaper than looking for cells.
-PIVOT_MIN_ROWS = 200_000
 # Bounds what is collected and broadcast: MAX_PIVOTS vectors and MAX_PIVOTS * RINGS counts.
 MAX_PIVOTS = 512
 RINGS = 18
@@ -35,14 +33,17 @@ VISIT_ROWS = 1_024
 
 @dataclass(frozen=True)
 class Blocking:
-    """How to cut the work; ``pivots=None`` chooses by the number of vectors."""
+    """How to cut the work; ``pivots=None`` takes one per block of vectors."""
 
     block_rows: int = BLOCK_ROWS
     pivots: int | None = None
 
 
 def matrix(column) -> np.ndarray:
-    """Arrow list column -> unit rows in double precision; zero rows stay zero."""
+    """Arrow list column -> unit rows in double precision; zero rows stay zero.
+
+    Missing, undefined and infinite numbers have no direction and are an error.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     lengths = np.unique(np.diff(column.offsets.to_numpy()))
@@ -50,6 +51,8 @@ def matrix(column) -> np.ndarray:
         raise ValueError(f"vectors of different lengths: {lengths.tolist()}")
     # flatten() respects the slice of a sliced column, as the offsets do.
     rows = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    if not np.isfinite(rows).all():
+        raise ValueError("a vector has a missing, undefined or infinite number")
     lengths = np.linalg.norm(rows, axis=1, keepdims=True)
     return np.divide(rows, lengths, out=np.zeros_like(rows), where=lengths > 0)
 
@@ -77,23 +80,16 @@ def _bool_rows_to_lists(flags: np.ndarray, values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[flags.nonzero()[1]].astype(np.int32)))
 
 
-def choose_pivots(vectors: DataFrame, blocking: Blocking) -> np.ndarray | None:
-    """Up to MAX_PIVOTS stored vectors, picked by hash; None for a plain grid."""
-    count = blocking.pivots
-    if count is None:
-        rows = vectors.count()
-        count = 0 if rows < PIVOT_MIN_ROWS else min(MAX_PIVOTS, rows // blocking.block_rows)
-    if count <= 0:
-        return None
-    picked = vectors.orderBy(F.xxhash64("keeper"), "keeper").limit(min(count, MAX_PIVOTS)).select("vector")
-    return matrix(picked.toArrow().column("vector"))
+def choose_pivots(vectors: DataFrame, blocking: Blocking) -> np.ndarray:
+    """One to MAX_PIVOTS stored vectors, picked by hash."""
+    count = blocking.pivots if blocking.pivots is not None else vectors.count() // blocking.block_rows
+    picked = vectors.orderBy(F.xxhash64("keeper"), "keeper").limit(max(1, min(count, MAX_PIVOTS))).select("vector")
+    column = picked.toArrow().column("vector")
+    return matrix(column) if len(column) else np.zeros((1, 1))
 
 
-def with_cells(vectors: DataFrame, pivots: np.ndarray | None) -> DataFrame:
+def with_cells(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
     """Add the home cell of every vector."""
-    if pivots is None:
-        return vectors.withColumn("cell", F.lit(0))
-
     def assign(batches):
         for batch in batches:
             cells = _home_cells(_angles(matrix(batch.column("vector")), pivots)) if batch.num_rows else []
@@ -102,15 +98,12 @@ def with_cells(vectors: DataFrame, pivots: np.ndarray | None) -> DataFrame:
     return vectors.mapInArrow(assign, StructType([*vectors.schema, StructField("cell", IntegerType())]))
 
 
-def with_visits(homes: DataFrame, pivots: np.ndarray | None, both_ways: bool) -> DataFrame:
+def with_visits(homes: DataFrame, pivots: np.ndarray, both_ways: bool) -> DataFrame:
     """Add the cells in which each vector must meet others, within its ``radius``.
 
     ``both_ways`` lists every such cell, the home cell included. Otherwise two cells that
     see each other are joined in only one of them, and the home cell is left out.
     """
-    if pivots is None:
-        visits = F.array("cell") if both_ways else F.array().cast("array<int>")
-        return homes.withColumn("visits", visits)
     # At most MAX_PIVOTS * RINGS numbers.
     occupied = np.array(sorted(r[0] for r in homes.select("cell").distinct().collect()))
 

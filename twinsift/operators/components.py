@@ -48,19 +48,18 @@ def _unique(edges: DataFrame) -> DataFrame:
 def _lift(edges: DataFrame, total: int) -> DataFrame:
     """Large star: each parent becomes its own least parent, if it has one."""
     least = edges.groupBy(F.col("child").alias("parent")).agg(F.min("parent").alias("least"))
-    parents = (
+    parents = stage(
         edges.groupBy("parent").agg(F.count(F.lit(1)).alias("edges"))
         .join(least, "parent", "left")
-        .select("parent", "edges", F.coalesce("least", "parent").alias("target"))
-    )
+        .select("parent", "edges", F.coalesce("least", "parent").alias("target")), "parents")
     return _unique(lookup(edges.drop("moved"), parents, "parent", "edges", total).select(
         "child", F.col("target").alias("parent"), (F.col("target") != F.col("parent")).alias("moved")))
 
 
 def _hook(lifted: DataFrame, total: int) -> DataFrame:
     """Small star: the other parents of a child point to its least parent."""
-    least = lifted.groupBy("child").agg(
-        F.min("parent").alias("least"), F.count(F.lit(1)).alias("edges"), F.max("moved").alias("moved"))
+    least = stage(lifted.groupBy("child").agg(
+        F.min("parent").alias("least"), F.count(F.lit(1)).alias("edges"), F.max("moved").alias("moved")), "leasts")
     pointed = least.select("child", F.col("least").alias("parent"), "moved")
     others = lookup(lifted.drop("moved"), least.where("edges > 1").drop("moved"), "child", "edges", total)
     hooked = others.where("parent <> least").select(

@@ -13,30 +13,22 @@ from twinsift.lineage import stage
 from twinsift.operators.skew import CHUNK_ROWS, chunk_count, chunk_of, lookup
 
 
-def collapse(rows: DataFrame, id_col: str, content: Column,
-             payload: str | None = None) -> tuple[DataFrame, DataFrame]:
+def collapse(rows: DataFrame, id_col: str, content: Column, payload: str,
+             hot_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Split rows into ``keepers`` (keeper, copies, payload) and ``members`` (id, keeper, copies).
 
-    ``copies`` is the number of equal rows. ``members`` lists every row, the keeper
-    included, of the contents that occur more than once; it is empty when all are distinct.
+    ``content`` is a digest of the payload: only digests are grouped, and the payload is fetched
+    for the keepers. ``copies`` is the number of equal rows. ``members`` lists every row,
+    the keeper included, of the contents that occur more than once.
     """
-    keyed = rows.select(F.col(id_col).alias("id"), content.alias("content"),
-                        *([F.col(payload)] if payload else []))
-    aggregates = [F.min("id").alias("keeper"), F.count(F.lit(1)).alias("copies")]
-    if payload:
-        aggregates.append(F.first(payload).alias(payload))
-    groups = stage(keyed.groupBy("content").agg(*aggregates), "keepers")
-    repeated = groups.where("copies > 1").select("content", "keeper", "copies")
-    if repeated.isEmpty():
-        spark = rows.sparkSession
-        id_type = groups.schema["keeper"].dataType
-        schema = f"id {id_type.simpleString()}, keeper {id_type.simpleString()}, copies bigint"
-        members = spark.createDataFrame([], schema)
-    else:
-        members = stage(
-            lookup(keyed.select("id", "content"), repeated, "content", "copies")
-            .select("id", "keeper", "copies"), "members")
-    keepers = groups if not payload else groups.drop("content")
+    keyed = rows.select(F.col(id_col).alias("id"), content.alias("content"))
+    groups = stage(keyed.groupBy("content").agg(
+        F.min("id").alias("keeper"), F.count(F.lit(1)).alias("copies")), "groups")
+    repeated = groups.where("copies > 1")
+    members = stage(lookup(keyed, repeated, "content", "copies", hot_rows=hot_rows)
+                    .select("id", "keeper", "copies"), "members")
+    keepers = stage(rows.select(F.col(id_col).alias("keeper"), payload).join(
+        groups.select("keeper", "copies"), "keeper"), "keepers")
     return keepers, members
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from twinsift.functions.vectors import is_zero
 from twinsift.lineage import stage
@@ -11,7 +12,7 @@ from twinsift.operators.blocks import Blocking
 from twinsift.operators.components import connected_components
 from twinsift.operators.copies import expand_groups
 from twinsift.operators.order import with_position
-from twinsift.operators.vector_pairs import distinct_vectors, keeper_pairs
+from twinsift.operators.vector_pairs import block_scan, border_labels, distinct_vectors, neighbor_counts, spanning_pairs
 
 NOISE = -1
 
@@ -41,26 +42,26 @@ def density_clusters(vectors: DataFrame, eps: float = 0.25, min_samples: int = 2
         points = keepers.where(~zero).select("keeper", "copies").unionByName(zeros)
     else:
         points = keepers.select("keeper", "copies")
-    near = stage(keeper_pairs(keepers, 1 - eps, blocking), "near")
-    both = near.select("id1", "id2", "copies2").unionByName(
-        near.select(F.col("id2").alias("id1"), F.col("id1").alias("id2"), F.col("copies1").alias("copies2")))
-    reach = both.groupBy(F.col("id1").alias("keeper")).agg(F.sum("copies2").alias("others"))
+    # Three passes over the blocks, each with one row per vector or spanning edge as result.
+    id_type = keepers.schema["keeper"].dataType
+    reach = block_scan(keepers, 1 - eps, blocking, neighbor_counts(1 - eps),
+                       StructType().add("id", id_type).add("others", "long"))
+    reach = reach.groupBy(F.col("id").alias("keeper")).agg(F.sum("others").alias("others"))
     points = stage(
         points.join(reach, "keeper", "left")
         .withColumn("core", F.col("copies") + F.coalesce("others", F.lit(0)) >= min_samples)
         .select("keeper", "copies", "core"), "points")
     core = points.where("core").select("keeper")
-    core_edges = (near.join(core.select(F.col("keeper").alias("id1")), "id1", "left_semi")
-                  .join(core.select(F.col("keeper").alias("id2")), "id2", "left_semi"))
+    core_edges = spanning_pairs(keepers.join(core, "keeper", "left_semi"), 1 - eps, blocking)
     roots = connected_components(core_edges).withColumnRenamed("id", "keeper")
     core_root = core.join(roots, "keeper", "left").select(
         "keeper", F.coalesce("cluster_id", "keeper").alias("root"))
     numbers = with_position(core_root.select("root").distinct(), ["root"], "label")
     core_label = stage(core_root.join(numbers, "root").select("keeper", "label"), "core_labels")
-    # Only edges that end in a core give a border its label; minima combine before the shuffle.
-    border = (both.join(core_label.select(F.col("keeper").alias("id2"), "label"), "id2")
-              .join(core.select(F.col("keeper").alias("id1")), "id1", "left_anti")
-              .groupBy(F.col("id1").alias("keeper")).agg(F.min("label").alias("border_label")))
+    marked = keepers.join(core_label, "keeper", "left").withColumn("label", F.coalesce("label", F.lit(NOISE).cast("bigint")))
+    border = block_scan(marked, 1 - eps, blocking, border_labels(1 - eps),
+                        StructType().add("id", id_type).add("label", "long"))
+    border = border.groupBy(F.col("id").alias("keeper")).agg(F.min("label").alias("border_label"))
     labelled = (
         points.join(core_label, "keeper", "left").join(border, "keeper", "left")
         .select("keeper", "copies",

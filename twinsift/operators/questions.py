@@ -95,10 +95,10 @@ def first_pairs(pairs: DataFrame, rows: int = 200, by: str = "id") -> DataFrame:
     return pairs.select("id1", "id2", "similarity").orderBy(*order).limit(rows)
 
 
-def page_count(pairs: DataFrame, per_page: int = 50) -> DataFrame:
-    """(pairs, pages); an empty list still has one page."""
+def page_count(counted: DataFrame, per_page: int = 50) -> DataFrame:
+    """(pairs, pages) from the number of pairs; an empty list still has one page."""
     _check_page_size(per_page)
-    return pairs.agg(F.count(F.lit(1)).alias("pairs")).withColumn(
+    return counted.select("pairs").withColumn(
         "pages", F.greatest(F.lit(1), F.ceil(F.col("pairs") / per_page)).cast("bigint"))
 
 
@@ -109,7 +109,7 @@ def pair_page(pairs: DataFrame, page: int, per_page: int = 50) -> DataFrame:
     """
     _check_page_size(per_page)
     numbered = with_position(pairs.withColumn("_order", -F.col("similarity")), ["_order", "id1", "id2"])
-    last = page_count(pairs, per_page).first()["pages"]
+    last = page_count(pairs.agg(F.count(F.lit(1)).alias("pairs")), per_page).first()["pages"]
     start = (min(max(page, 1), last) - 1) * per_page
     return (numbered.where((F.col("position") >= start) & (F.col("position") < start + per_page))
             .select("position", *pairs.columns))

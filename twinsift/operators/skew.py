@@ -5,34 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot above HOT_ROWS rows. Only the HOT_KEYS largest are broadcast, so the
-# broadcast has at most HOT_KEYS rows and every other key holds less than
-# 1 / HOT_KEYS of all rows.
-HOT_ROWS = 100_000
-HOT_KEYS = 1_000
-
 # Rows of one bucket that are paired with each other inside one join key.
 CHUNK_ROWS = 1_000
 
 
 def lookup(big: DataFrame, small: DataFrame, key: str | list[str], rows: str, total: int | None = None,
-           hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Inner join of ``big`` with ``small``, which has one row per key.
+           hot_rows: int | None = None) -> DataFrame:
+    """Inner join of ``big`` with ``small``, which has one row per key and should be a stored table.
 
     ``rows`` is the column of ``small`` that tells how many rows ``big`` has for the
-    key; it stays in the result. ``total`` is the row count of ``big`` if known: too few
-    rows cannot make a hot key. ``small`` is read twice, so it should be a stored table.
+    key; it stays in the result. A key with more rows than an even share of a partition
+    (``hot_rows`` if given) is dealt to several join keys: its row of ``small`` is repeated once per
+    share, and rows of ``big`` are salted. Fewer keys than partitions can be above an even
+    share, so the broadcast of their keys and shares, without payload, is bounded.
+    ``total`` is the row count of ``big`` if known.
     """
     keys = [key] if isinstance(key, str) else key
-    if total is not None and total <= hot_rows:
-        return big.join(small, key)
-    hot = small.where(F.col(rows) > hot_rows).orderBy(F.desc(rows), *keys).limit(HOT_KEYS)
-    if hot.isEmpty():
-        return big.join(small, key)
-    hot_keys = F.broadcast(hot.select(*keys))
-    spread = big.join(F.broadcast(hot), key)
-    rest = big.join(hot_keys, key, "left_anti").join(small, key)
-    return spread.unionByName(rest)
+    if hot_rows is None:
+        if total is None:
+            total = small.agg(F.sum(rows)).first()[0] or 0
+        parts = int(small.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        hot_rows = max(CHUNK_ROWS, -(-total // parts))
+    shared = small.withColumn("_shares", chunk_count(F.col(rows), hot_rows))
+    hot = F.broadcast(shared.where("_shares > 1").select(*keys, "_shares"))
+    salt = F.pmod(F.xxhash64(*big.columns), F.coalesce("_shares", F.lit(1)).cast("bigint"))
+    salted = big.join(hot, keys, "left").withColumn("_salt", salt.cast("int")).drop("_shares")
+    repeated = shared.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1))).drop("_shares")
+    return salted.join(repeated, [*keys, "_salt"]).drop("_salt")
 
 
 def chunk_count(rows: Column, chunk_rows: int) -> Column:

@@ -17,6 +17,10 @@ from twinsift.operators.tfidf import distinct_texts, weights
 
 # Room for floating-point error in the candidate bounds; the score itself decides.
 MARGIN = 1e-9
+# A similarity this little below the threshold counts as equal to it.
+EQUAL = 1e-12
+# What a prefix entry says about the words that are more frequent than its own.
+REST = ("rest", "most", "total")
 
 
 def check_threshold(threshold: float) -> float:
@@ -31,7 +35,7 @@ def _packed(weighted: DataFrame) -> DataFrame:
     Words of a single keeper count in the norms but are shared by nobody, so they are not
     kept. The windows behind ``weighted`` already partition by keeper: no further shuffle.
     """
-    entry = F.when(F.col("kept") > 1, F.struct("token_id", "u", "tail", "rest"))
+    entry = F.when(F.col("kept") > 1, F.struct("token_id", "u", "tail", *REST))
     return weighted.groupBy("keeper").agg(
         F.first("copies").alias("copies"), F.sort_array(F.collect_list(entry)).alias("entries"))
 
@@ -44,19 +48,26 @@ def _prefix(packed: DataFrame, threshold: float) -> DataFrame:
     both must reach the threshold.
     """
     return (packed.select("keeper", F.inline("entries")).where(F.col("tail") >= threshold - MARGIN)
-            .select("token_id", "keeper", "u", "rest"))
+            .select("token_id", "keeper", "u", *REST))
 
 
 def _reachable(threshold: float):
-    """Bound at the rarest shared word: its own product plus the rests (Cauchy-Schwarz)."""
-    return lambda a, b: a("u") * b("u") + a("rest") * b("rest") >= threshold - MARGIN
+    """Bound at the rarest shared word: its own product plus the most the rests can add.
+
+    That is the product of their norms (Cauchy-Schwarz), and no more than the largest weight
+    of one times the sum of the other.
+    """
+    def within(a, b):
+        rests = F.least(a("rest") * b("rest"), a("most") * b("total"), a("total") * b("most"))
+        return a("u") * b("u") + rests >= threshold - MARGIN
+    return within
 
 
-def _sized(prefix: DataFrame) -> DataFrame:
+def _sized(prefix: DataFrame, hot_rows: int | None) -> DataFrame:
     """Prefix entries of shared words with the number of entries of the word, stored."""
     sizes = stage(
         prefix.groupBy("token_id").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
-    return stage(lookup(prefix, sizes, "token_id", "size"), "prefix")
+    return stage(lookup(prefix, sizes, "token_id", "size", hot_rows=hot_rows), "prefix")
 
 
 def _sparse_dots(batches):
@@ -96,15 +107,16 @@ def score_pairs(candidates: DataFrame, packed: DataFrame, threshold: float) -> D
     carried = ["id1", "id2", "copies1", "copies2"]
     schema = StructType([candidates.schema[c] for c in carried]).add("similarity", "double")
     scored = candidates.select(*carried, "tokens1", "us1", "tokens2", "us2").mapInArrow(_sparse_dots, schema)
-    return scored.where(F.col("similarity") >= threshold)
+    return scored.where(F.col("similarity") >= threshold - EQUAL).withColumn(
+        "similarity", F.least("similarity", F.lit(1.0)))
 
 
-def _search(questions: DataFrame, threshold: float, id_col: str, text_col: str):
+def _search(questions: DataFrame, threshold: float, id_col: str, text_col: str, hot_rows: int | None):
     """(packed vectors of the keepers, members of repeated texts), stored."""
     if check_threshold(threshold) <= 0:
         raise ValueError("text search needs a threshold above 0")
-    keepers, members = distinct_texts(questions, id_col, text_col)
-    return stage(_packed(weights(keepers)), "packed"), members
+    keepers, members = distinct_texts(questions, id_col, text_col, hot_rows)
+    return stage(_packed(weights(keepers, hot_rows)), "packed"), members
 
 
 def _copies(packed: DataFrame) -> DataFrame:
@@ -113,25 +125,34 @@ def _copies(packed: DataFrame) -> DataFrame:
 
 
 def similar_texts(questions: DataFrame, threshold: float = 0.78, id_col: str = "question_id",
-                  text_col: str = "question_text", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                  text_col: str = "question_text", chunk_rows: int = CHUNK_ROWS,
+                  hot_rows: int | None = None) -> DataFrame:
     """All pairs (id1 < id2, similarity) of rows whose TF-IDF cosine is >= threshold."""
-    packed, members = _search(questions, threshold, id_col, text_col)
+    pairs, members, copies = keeper_text_pairs(questions, threshold, id_col, text_col, chunk_rows, hot_rows)
+    return expand_pairs(pairs, members, copies, chunk_rows)
+
+
+def keeper_text_pairs(questions: DataFrame, threshold: float = 0.78, id_col: str = "question_id",
+                      text_col: str = "question_text", chunk_rows: int = CHUNK_ROWS, hot_rows: int | None = None):
+    """Pairs of distinct texts (id1, id2, similarity, copies1, copies2), members, and copy groups."""
+    packed, members = _search(questions, threshold, id_col, text_col, hot_rows)
     candidates = pairs_in_buckets(
-        _sized(_prefix(packed, threshold)), "token_id", "keeper", "size", _reachable(threshold),
+        _sized(_prefix(packed, threshold), hot_rows), "token_id", "keeper", "size", _reachable(threshold),
         chunk_rows=chunk_rows).select(F.col("keeper1").alias("id1"), F.col("keeper2").alias("id2")).distinct()
-    return expand_pairs(score_pairs(candidates, packed, threshold), members, _copies(packed), chunk_rows)
+    return score_pairs(candidates, packed, threshold), members, _copies(packed)
 
 
 def text_clusters(questions: DataFrame, threshold: float = 0.78, id_col: str = "question_id",
-                  text_col: str = "question_text", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                  text_col: str = "question_text", chunk_rows: int = CHUNK_ROWS,
+                  hot_rows: int | None = None) -> DataFrame:
     """(cluster_id, id): connected components of ``similar_texts``, without listing all pairs.
 
     Texts are first compared with one text per shared word, which is linear and joins
     near copies. Then only texts of different groups so far can add anything, so the full
     search runs between groups and never within one.
     """
-    packed, members = _search(questions, threshold, id_col, text_col)
-    entries = _sized(_prefix(packed, threshold))
+    packed, members = _search(questions, threshold, id_col, text_col, hot_rows)
+    entries = _sized(_prefix(packed, threshold), hot_rows)
     met = stage(_star_candidates(entries, threshold), "met")
     stars = stage(score_pairs(met, packed, threshold), "stars")
     groups = connected_components(stars).select(F.col("cluster_id").alias("group"), F.col("id").alias("keeper"))
@@ -147,10 +168,10 @@ def _star_candidates(entries: DataFrame, threshold: float) -> DataFrame:
     """(id1, id2) of the smallest keeper of every word with each other keeper of the word."""
     star = stage(
         entries.groupBy("token_id").agg(
-            F.min(F.struct("keeper", "u", "rest")).alias("hub"), F.count(F.lit(1)).alias("rows")), "hubs")
+            F.min(F.struct("keeper", "u", *REST)).alias("hub"), F.count(F.lit(1)).alias("rows")), "hubs")
     met = lookup(entries.drop("size"), star, "token_id", "rows")
-    bound = F.col("u") * F.col("hub.u") + F.col("rest") * F.col("hub.rest")
-    return (met.where((F.col("keeper") > F.col("hub.keeper")) & (bound >= threshold - MARGIN))
+    near = _reachable(threshold)(F.col, lambda c: F.col(f"hub.{c}"))
+    return (met.where((F.col("keeper") > F.col("hub.keeper")) & near)
             .select(F.col("hub.keeper").alias("id1"), F.col("keeper").alias("id2")).distinct())
 
 
@@ -163,9 +184,9 @@ def _candidates_between_groups(grouped: DataFrame, threshold: float, chunk_rows:
     """
     sizes = stage(
         grouped.groupBy("token_id", "group").agg(
-            F.count(F.lit(1)).alias("rows"), F.max("u").alias("u"), F.max("rest").alias("rest")), "group_sizes")
+            F.count(F.lit(1)).alias("rows"), *[F.max(c).alias(c) for c in ("u", *REST)]), "group_sizes")
     words = stage(sizes.groupBy("token_id").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "words")
-    shared = lookup(sizes, words, "token_id", "size")
+    shared = stage(lookup(sizes, words, "token_id", "size"), "shared")
     paired = pairs_in_buckets(
         shared, "token_id", "group", "size", _reachable(threshold), ("rows",), chunk_rows)
     for s in "12":
@@ -175,8 +196,8 @@ def _candidates_between_groups(grouped: DataFrame, threshold: float, chunk_rows:
     texts = lookup(grouped, mixed, ["token_id", "group"], "rows").withColumn(
         "chunk", chunk_of(F.col("keeper"), chunk_count(F.col("rows"), chunk_rows)))
     for s in "12":
-        side = texts.select("token_id", *[F.col(c).alias(f"{c}{s}") for c in ("group", "chunk", "keeper", "u", "rest")])
+        side = texts.select("token_id", *[F.col(c).alias(f"{c}{s}") for c in ("group", "chunk", "keeper", "u", *REST)])
         paired = paired.join(side, ["token_id", f"group{s}", f"chunk{s}"])
-    bound = F.col("u1") * F.col("u2") + F.col("rest1") * F.col("rest2")
-    return paired.where(bound >= threshold - MARGIN).select(
+    near = _reachable(threshold)(lambda c: F.col(f"{c}1"), lambda c: F.col(f"{c}2"))
+    return paired.where(near).select(
         F.least("keeper1", "keeper2").alias("id1"), F.greatest("keeper1", "keeper2").alias("id2")).distinct()

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from twinsift.lineage import stage
 from twinsift.operators.copies import collapse
@@ -14,18 +18,33 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"\s+"), "")
 
 
-def distinct_texts(questions: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def distinct_texts(questions: DataFrame, id_col: str, text_col: str,
+                   hot_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Keepers (keeper, copies, text) and members; texts without a word are left out."""
     texts = (questions.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
              .where(F.col("text").rlike(r"\S")))
-    return collapse(texts, "id", F.sha2("text", 256), payload="text")
+    return collapse(texts, "id", F.sha2("text", 256), "text", hot_rows)
+
+
+def _counted(batches):
+    """The distinct words of each row with their counts, a whole Arrow batch at once."""
+    for batch in batches:
+        listed = batch.column("words")
+        words = listed.flatten().dictionary_encode()
+        size = max(1, len(words.dictionary))
+        row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(listed).to_numpy())
+        key, count = np.unique(row * size + words.indices.to_numpy(), return_counts=True)
+        at = pa.array(key // size)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("keeper").take(at), batch.column("copies").take(at), words.dictionary.take(pa.array(key % size)),
+             pa.array(count.astype(np.int64))], names=["keeper", "copies", "token", "tf"])
 
 
 def word_counts(keepers: DataFrame) -> DataFrame:
-    """(keeper, copies, token, tf), stored."""
-    return stage(
-        keepers.select("keeper", "copies", F.explode(words(F.col("text"))).alias("token"))
-        .groupBy("keeper", "copies", "token").agg(F.count(F.lit(1)).alias("tf")), "counts")
+    """(keeper, copies, token, tf), stored. The words of a text are in one row, so they are counted there."""
+    listed = keepers.select("keeper", "copies", words(F.col("text")).alias("words"))
+    schema = StructType([*keepers.select("keeper", "copies").schema]).add("token", "string").add("tf", "long")
+    return stage(listed.mapInArrow(_counted, schema), "counts")
 
 
 def vocabulary(counts: DataFrame) -> DataFrame:
@@ -37,19 +56,19 @@ def vocabulary(counts: DataFrame) -> DataFrame:
     return stage(counted.withColumn("token_id", F.monotonically_increasing_id()), "vocabulary")
 
 
-def weights(keepers: DataFrame) -> DataFrame:
-    """(keeper, copies, token, token_id, kept, u, tail, rest), one row per keeper and word.
+def weights(keepers: DataFrame, hot_rows: int | None = None) -> DataFrame:
+    """(keeper, copies, token, token_id, kept, u, tail, rest, most, total), one row per keeper and word.
 
     ``u`` is the weight in the unit vector. With words ordered from rare to frequent,
-    ``tail`` is the norm of this and all more frequent words and ``rest`` the norm
-    without this word.
+    ``tail`` is the norm of this and all more frequent words; ``rest``, ``most`` and ``total`` are
+    the norm, the largest weight and the sum of the weights without this word.
     """
     total = keepers.agg(F.sum("copies")).first()[0] or 0
     counts = word_counts(keepers)
     vocab = vocabulary(counts)
     idf = F.log((F.lit(float(total)) + 1) / (F.col("df") + 1))
     weighted = (
-        lookup(counts, vocab, "token", "kept")
+        lookup(counts, vocab, "token", "kept", hot_rows=hot_rows)
         .withColumn("v", F.col("tf") * idf)
         .where("v > 0")
     )
@@ -65,23 +84,24 @@ def weights(keepers: DataFrame) -> DataFrame:
             "norm": F.sqrt(F.sum(square).over(text)),
             "tail": F.sqrt(F.sum(square).over(upto)),
             "rest": F.sqrt(F.coalesce(F.sum(square).over(before), F.lit(0.0))),
+            "most": F.coalesce(F.max("v").over(before), F.lit(0.0)),
+            "total": F.coalesce(F.sum("v").over(before), F.lit(0.0)),
         })
-        .select("keeper", "copies", "token", "token_id", "kept",
-                (F.col("v") / F.col("norm")).alias("u"), (F.col("tail") / F.col("norm")).alias("tail"),
-                (F.col("rest") / F.col("norm")).alias("rest"))
+        .select("keeper", "copies", "token", "token_id", "kept", (F.col("v") / F.col("norm")).alias("u"),
+                *[(F.col(c) / F.col("norm")).alias(c) for c in ("tail", "rest", "most", "total")])
     )
 
 
 def tfidf_vectors(questions: DataFrame, id_col: str = "question_id",
-                  text_col: str = "question_text") -> DataFrame:
+                  text_col: str = "question_text", hot_rows: int | None = None) -> DataFrame:
     """Unit TF-IDF vectors of all rows in long form: (id, token, u)."""
-    keepers, members = distinct_texts(questions, id_col, text_col)
-    vectors = stage(weights(keepers).select("keeper", "copies", "token", "u"), "weights")
+    keepers, members = distinct_texts(questions, id_col, text_col, hot_rows)
+    vectors = stage(weights(keepers, hot_rows).select("keeper", "copies", "token", "u"), "weights")
     alone = vectors.where("copies = 1").select(F.col("keeper").alias("id"), "token", "u")
     # A group of copies meets each word of its text once, so the words are the small side
     # per copy; packing them keeps one row per group in the join.
-    packed = (vectors.where("copies > 1").groupBy("keeper", "copies")
-              .agg(F.collect_list(F.struct("token", "u")).alias("entries")))
-    copied = (lookup(members.select("id", "keeper"), packed, "keeper", "copies")
+    packed = stage(vectors.where("copies > 1").groupBy("keeper", "copies")
+                   .agg(F.collect_list(F.struct("token", "u")).alias("entries")), "packed")
+    copied = (lookup(members.select("id", "keeper"), packed, "keeper", "copies", hot_rows=hot_rows)
               .select("id", F.inline("entries")))
     return alone.unionByName(copied).withColumnRenamed("id", id_col)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,25 +16,27 @@ from twinsift.operators.blocks import (
     TASK_KEY, Blocking, block_tasks, choose_pivots, sides, with_cells, with_visits)
 from twinsift.operators.components import clusters_of_keepers
 from twinsift.operators.copies import collapse, expand_pairs
-from twinsift.operators.text_pairs import check_threshold
+from twinsift.operators.text_pairs import EQUAL, check_threshold
 
 # Rows of a block that are multiplied at once, to bound the memory of the product.
 TILE_ROWS = 512
 
 
-def distinct_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame]:
+def distinct_vectors(vectors: DataFrame, id_col: str, vector_col: str,
+                     hot_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Keepers (keeper, copies, vector) and members of repeated vectors."""
     known = vectors.where(F.col(vector_col).isNotNull())
-    keepers, members = collapse(known, id_col, F.col(vector_col))
-    return keepers.withColumnRenamed("content", "vector"), members
+    digest = F.struct(F.xxhash64(F.lit(1), vector_col), F.xxhash64(F.lit(2), vector_col))  # 128 bits
+    keepers, members = collapse(known.withColumn("vector", F.col(vector_col)), id_col, digest, "vector", hot_rows)
+    return keepers, members
 
 
 def _tiles(table: pa.Table, threshold: float):
     """(home rows, met rows, home positions, met positions, similarities) tile by tile."""
     home, a, meets, b, same = sides(table)
     for start in range(0, len(a), TILE_ROWS):
-        product = a[start:start + TILE_ROWS] @ b.T
-        hit = product >= threshold
+        product = np.clip(a[start:start + TILE_ROWS] @ b.T, -1.0, 1.0)
+        hit = product >= threshold - EQUAL
         if same:
             hit &= np.arange(start, start + len(product))[:, None] < np.arange(len(b))
         i, j = hit.nonzero()
@@ -48,46 +52,82 @@ def _pair_rows(home, meets, i, j, similarity) -> pa.Table:
 
 
 def _all_pairs(threshold: float):
-    def block(table: pa.Table) -> pa.Table:
-        return pa.concat_tables(_pair_rows(*tile) for tile in _tiles(table, threshold))
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile in _tiles(pa.Table.from_batches(list(batches)), threshold):
+            yield from _pair_rows(*tile).to_batches()
     return block
 
 
 def _spanning_pairs(threshold: float):
     """Pairs that connect what all pairs of the block connect, fewer than its vectors."""
-    def block(table: pa.Table) -> pa.Table:
-        found, label, offset = [], None, 0
-        for home, meets, i, j, similarity in _tiles(table, threshold):
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label, offset = None, 0
+        for home, meets, i, j, similarity in _tiles(pa.Table.from_batches(list(batches)), threshold):
             if label is None:
                 offset = 0 if meets is home else len(home)
                 label = np.arange(offset + len(meets))
             keep = []
             for row in np.unique(i):
-                at = np.flatnonzero(i == row) if len(i) < 64 else np.arange(*np.searchsorted(i, [row, row + 1]))
+                at = np.arange(*np.searchsorted(i, [row, row + 1]))
                 groups, first = np.unique(label[offset + j[at]], return_index=True)
                 new = groups != label[row]
                 if new.any():
                     keep.extend(at[first[new]])
                     label[np.isin(label, groups)] = label[row]
-            found.append(_pair_rows(home, meets, i[keep], j[keep], similarity[keep]))
-        return pa.concat_tables(found)
+            yield from _pair_rows(home, meets, i[keep], j[keep], similarity[keep]).to_batches()
     return block
 
 
-def _block_search(keepers: DataFrame, threshold: float, blocking: Blocking, block) -> DataFrame:
-    """(id1 < id2, similarity, copies1, copies2) of keepers, by ``block`` on each chunk pair."""
+def neighbor_counts(threshold: float):
+    """(id, others): rows within reach of each vector of the block, copies counted."""
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list = []
+        for home, meets, i, j, _ in _tiles(pa.Table.from_batches(list(batches)), threshold):
+            if not found:
+                found = [(side, np.zeros(len(side), np.int64), side.column("copies").to_numpy()) for side in (home, meets)]
+            (_, at_home, home_copies), (_, met, met_copies) = found
+            np.add.at(at_home, i, met_copies[j])
+            np.add.at(met, j, home_copies[i])
+        for side, others, _ in found:
+            yield from pa.table({"id": side.column("keeper"), "others": others}).filter(pa.array(others > 0)).to_batches()
+    return block
+
+
+def border_labels(threshold: float):
+    """(id, label): the smallest label within reach of each vector that has none (-1) itself."""
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list = []
+        none = np.iinfo(np.int64).max
+        for home, meets, i, j, _ in _tiles(pa.Table.from_batches(list(batches)), threshold):
+            if not found:
+                found = [(side, np.full(len(side), none), side.column("label").to_numpy()) for side in (home, meets)]
+            (_, at_home, home_label), (_, met, met_label) = found
+            one, two = home_label[i], met_label[j]
+            open_home, open_met = (one < 0) & (two >= 0), (two < 0) & (one >= 0)
+            np.minimum.at(at_home, i[open_home], two[open_home])
+            np.minimum.at(met, j[open_met], one[open_met])
+        for side, label, _ in found:
+            yield from pa.table({"id": side.column("keeper"), "label": label}).filter(pa.array(label < none)).to_batches()
+    return block
+
+
+def block_scan(keepers: DataFrame, threshold: float, blocking: Blocking, block, schema: StructType) -> DataFrame:
+    """What ``block`` finds in the chunk pairs in which vectors within the threshold can meet."""
     if threshold > 0:
         keepers = keepers.where(~is_zero(F.col("vector")))
     pivots = choose_pivots(keepers, blocking)
     homes = with_cells(keepers, pivots).withColumn("radius", F.lit(float(np.arccos(threshold))))
-    placed = with_visits(homes, pivots, both_ways=False)
-    if pivots is not None:
-        placed = stage(placed, "placed")
+    placed = stage(with_visits(homes, pivots, both_ways=False), "placed")
+    return (block_tasks(placed, blocking.block_rows, within_cells=True)
+            .groupBy(*TASK_KEY).applyInArrow(block, schema))
+
+
+def _block_search(keepers: DataFrame, threshold: float, blocking: Blocking, block) -> DataFrame:
+    """(id1 < id2, similarity, copies1, copies2) of keepers, by ``block`` on each chunk pair."""
     id_type, count_type = keepers.schema["keeper"].dataType, keepers.schema["copies"].dataType
     schema = (StructType().add("id1", id_type).add("id2", id_type).add("similarity", "double")
               .add("copies1", count_type).add("copies2", count_type))
-    found = (block_tasks(placed, blocking.block_rows, within_cells=True)
-             .groupBy(*TASK_KEY).applyInArrow(block, schema))
+    found = block_scan(keepers, threshold, blocking, block, schema)
     ordered = F.col("id1") < F.col("id2")
     return found.select(
         F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2"), "similarity",
@@ -99,19 +139,29 @@ def keeper_pairs(keepers: DataFrame, threshold: float, blocking: Blocking = Bloc
     return _block_search(keepers, threshold, blocking, _all_pairs(threshold))
 
 
+def spanning_pairs(keepers: DataFrame, threshold: float, blocking: Blocking = Blocking()) -> DataFrame:
+    """Pairs that connect what all pairs connect, about as many as vectors."""
+    return _block_search(keepers, threshold, blocking, _spanning_pairs(threshold))
+
+
 def similar_vectors(vectors: DataFrame, threshold: float = 0.78, id_col: str = "question_id",
                     vector_col: str = "embedding", blocking: Blocking = Blocking()) -> DataFrame:
     """All pairs (id1 < id2, similarity) of vectors whose cosine is >= threshold.
 
     An all-zero vector has similarity 0 to everything.
     """
+    return expand_pairs(*keeper_vector_pairs(vectors, threshold, id_col, vector_col, blocking))
+
+
+def keeper_vector_pairs(vectors: DataFrame, threshold: float, id_col: str = "question_id",
+                        vector_col: str = "embedding", blocking: Blocking = Blocking()):
+    """Pairs of distinct vectors (id1, id2, similarity, copies1, copies2), members, and copy groups."""
     check_threshold(threshold)
     keepers, members = distinct_vectors(vectors, id_col, vector_col)
-    pairs = keeper_pairs(keepers, threshold, blocking)
     zero = is_zero(F.col("vector"))
     copies = (keepers.where(~zero) if threshold > 0 else keepers).select(
         "keeper", "copies", F.when(zero, 0.0).otherwise(1.0).alias("similarity"))
-    return expand_pairs(pairs, members, copies)
+    return keeper_pairs(keepers, threshold, blocking), members, copies
 
 
 def vector_clusters(vectors: DataFrame, threshold: float = 0.78, id_col: str = "question_id",
@@ -123,6 +173,6 @@ def vector_clusters(vectors: DataFrame, threshold: float = 0.78, id_col: str = "
     """
     check_threshold(threshold)
     keepers, members = distinct_vectors(vectors, id_col, vector_col)
-    edges = _block_search(keepers, threshold, blocking, _spanning_pairs(threshold))
+    edges = spanning_pairs(keepers, threshold, blocking)
     similar = keepers.where(~is_zero(F.col("vector"))) if threshold > 0 else keepers
     return clusters_of_keepers(similar, members, edges)

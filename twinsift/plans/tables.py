@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,20 @@ def questions(spark: SparkSession, folder: str) -> DataFrame:
         F.col("source").alias("survey_name"), F.col("lang").alias("directorate"))
 
 
+def gappy_questions(spark: SparkSession, folder: str) -> DataFrame:
+    """The questions with every seventh text missing, empty or blank, by turns."""
+    gap = F.when(F.col("question_id") % 21 == 0, F.lit(None)).when(F.col("question_id") % 21 == 7, "").otherwise(" \t\n")
+    return questions(spark, folder).withColumn(
+        "question_text", F.when(F.col("question_id") % 7 == 0, gap).otherwise(F.col("question_text")))
+
+
+def letter_counts():
+    """A stub model: how often the letters a to d occur."""
+    def counted(texts):
+        return np.array([[t.count(c) for c in "abcd"] for t in texts], dtype=np.float32)
+    return counted
+
+
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/embeddings.parquet").select(
         F.col("vec_id").alias("question_id"), "embedding")
