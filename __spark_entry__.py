@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinsift.lineage import fresh_path, stage
-from twinsift.operators import clusters, density, learning, neighbors, questions as q, reports, review, scores
+from twinsift.operators import clusters, density, encode, learning, neighbors, questions as q, reports, review, scores
 from twinsift.operators.components import connected_components
-from twinsift.operators.text_pairs import similar_texts, text_clusters
+from twinsift.operators.blocks import Blocking
+from twinsift.operators.text_pairs import keeper_text_pairs, similar_texts, text_clusters
 from twinsift.operators.tfidf import tfidf_vectors
-from twinsift.operators.vector_pairs import similar_vectors, vector_clusters
-from twinsift.plans import tables
+from twinsift.operators.vector_pairs import keeper_vector_pairs, similar_vectors, vector_clusters
+from twinsift.plans import dedup, reviews, tables
 from twinsift.sources import files
 
 TEXT_THRESHOLD = 0.78
@@ -73,9 +74,9 @@ def _split(spark: SparkSession, folder: str) -> DataFrame:
     return learning.split_sequential(pairs.select("id1", "id2", "y"), ["id1", "id2"])
 
 
-def _listed(members: DataFrame) -> DataFrame:
+def _listed(members: DataFrame, list_rows: int = clusters.LIST_ROWS) -> DataFrame:
     """Cluster lists with the members as text, to compare them as one value."""
-    return clusters.cluster_lists(members).withColumn(
+    return clusters.cluster_lists(members, list_rows).withColumn(
         "members", F.array_join(F.col("members").cast("array<string>"), ","))
 
 
@@ -128,6 +129,71 @@ def tfidf(spark, folder):
     return _rounded(tfidf_vectors(tables.questions(spark, folder)), "u", digits=6)
 
 
+def tfidf_dealt(spark, folder):
+    """With a low bound for frequent words, so that they are dealt to many join keys."""
+    return _rounded(tfidf_vectors(tables.questions(spark, folder), hot_rows=20), "u", digits=6)
+
+
+def text_pairs_dealt(spark, folder):
+    pairs = similar_texts(tables.questions(spark, folder), TEXT_THRESHOLD, chunk_rows=5, hot_rows=10)
+    return _rounded(pairs, "similarity")
+
+
+def text_cluster_lists_dealt(spark, folder):
+    """Small chunks, and lists of at most three members per part."""
+    members = text_clusters(tables.questions(spark, folder), TEXT_THRESHOLD, chunk_rows=5, hot_rows=10)
+    return _listed(members, list_rows=3)
+
+
+def vector_pairs_blocks(spark, folder):
+    """Many small blocks and pivots."""
+    pairs = similar_vectors(tables.vectors(spark, folder), VECTOR_THRESHOLD, blocking=Blocking(block_rows=60))
+    return _rounded(pairs, "similarity")
+
+
+def knn_blocks(spark, folder):
+    found = neighbors.nearest(tables.vectors(spark, folder), 10, blocking=Blocking(block_rows=60))
+    return _rounded(found, "similarity", "distance")
+
+
+def dbscan_blocks(spark, folder):
+    return density.density_clusters(
+        tables.vectors(spark, folder), eps=0.60, min_samples=3, blocking=Blocking(block_rows=60))
+
+
+def text_knn_pairs(spark, folder):
+    found = neighbors.nearest_texts(tables.questions(spark, folder), 3, TEXT_THRESHOLD)
+    return _rounded(neighbors.neighbor_pairs(found, TEXT_THRESHOLD), "similarity")
+
+
+def text_knn_pairs_symmetric(spark, folder):
+    found = neighbors.nearest_texts(tables.questions(spark, folder), 3, TEXT_THRESHOLD)
+    return _rounded(neighbors.neighbor_pairs(found, TEXT_THRESHOLD, symmetric=True), "similarity")
+
+
+def batch_run(spark, folder):
+    """The files of a whole run, read back: pairs, and cluster members as pairs of cluster and member."""
+    path = fresh_path(spark, "run")
+    dedup.run(tables.questions(spark, folder), path, settings=dedup.Settings(TEXT_THRESHOLD, top_k=3))
+    pairs = files.read_pairs(spark, f"{path}/similarity_pairs", own=True).select(
+        F.lit("pair").alias("kind"), F.col("id1").cast("bigint").alias("id1"), F.col("id2").cast("bigint").alias("id2"),
+        F.round("similarity", 4).alias("similarity"))
+    found = spark.read.schema("cluster_id string, part bigint, size bigint, members array<string>").json(f"{path}/clusters")
+    smallest = F.array_min(F.transform("members", lambda m: m.cast("bigint")))
+    listed = found.select(smallest.alias("id1"), F.explode("members").alias("member"))
+    return pairs.unionByName(listed.select(
+        F.lit("member").alias("kind"), "id1", F.col("member").cast("bigint").alias("id2"),
+        F.lit(None).cast("double").alias("similarity")))
+
+
+def encoded(spark, folder):
+    """A stub model that counts letters: it exercises the way a model is hosted, nothing else."""
+    model = encode.choose_model({"letters": tables.letter_counts}, "letters")
+    vectors = encode.encode(tables.gappy_questions(spark, folder), model)
+    return vectors.select("question_id", F.posexplode("embedding").alias("dim", "value")).withColumn(
+        "value", F.col("value").cast("double"))
+
+
 def vector_pairs(spark, folder):
     return _rounded(_vector_pairs(spark, folder), "similarity")
 
@@ -174,11 +240,11 @@ def preview(spark, folder):
 
 
 def clean_text(spark, folder):
-    return q.clean_text(tables.questions(spark, folder))
+    return q.clean_text(tables.gappy_questions(spark, folder))
 
 
 def blank_count(spark, folder):
-    return q.blank_count(tables.questions(spark, folder))
+    return q.blank_count(tables.gappy_questions(spark, folder))
 
 
 def repeated_ids(spark, folder):
@@ -191,7 +257,8 @@ def default_columns(spark, folder):
 
 
 def pair_count(spark, folder):
-    return reports.pair_count(_text_pairs(spark, folder))
+    pairs, _, copies = keeper_text_pairs(tables.questions(spark, folder), TEXT_THRESHOLD)
+    return reports.pair_count(pairs, copies)
 
 
 def pair_review(spark, folder):
@@ -234,7 +301,8 @@ def top_pairs(spark, folder):
 
 
 def page_count(spark, folder):
-    return q.page_count(_vector_pairs(spark, folder, LABELLED_THRESHOLD))
+    pairs, _, copies = keeper_vector_pairs(tables.vectors(spark, folder), LABELLED_THRESHOLD)
+    return q.page_count(reports.pair_count(pairs, copies))
 
 
 def pair_page(spark, folder):
@@ -261,8 +329,10 @@ def chosen_clusters(spark, folder):
 
 
 def training_pairs(spark, folder):
+    """Decided pairs of documents; some are undecided and some texts empty or missing."""
+    pairs = stage(_text_pairs(spark, folder), "pairs")
     return learning.training_pairs(
-        tables.labelled_vector_pairs(spark, folder, LABELLED_THRESHOLD), tables.questions(spark, folder))
+        tables.document_feedback(spark, folder, pairs), tables.gappy_questions(spark, folder))
 
 
 def pair_features(spark, folder):
@@ -280,8 +350,7 @@ def split_counts(spark, folder):
 
 def split_stratified(spark, folder):
     pairs = learning.labelled_pairs(tables.labelled_vector_pairs(spark, folder, LABELLED_THRESHOLD))
-    return learning.split_stratified(pairs.select("id1", "id2", "y")).groupBy("y", "split").agg(
-        F.count("*").alias("rows"))
+    return learning.split_stratified(pairs.select("id1", "id2", "y"))
 
 
 def pair_scores(spark, folder):
@@ -313,16 +382,17 @@ def roc_auc(spark, folder):
 
 def classifier(spark, folder):
     """Predictions on the held-out fifth by a model saved and loaded again."""
-    split = stage(learning.split_stratified(_features(spark, folder)), "split")
     path = fresh_path(spark, "classifier")
-    learning.train_classifier(split.where("split = 'train'").drop("split")).write().save(path)
+    fitted, split = reviews.train(stage(_features(spark, folder), "features"))
+    fitted.write().save(path)
     model = learning.PipelineModel.load(path)
     test = split.where("split = 'test'").drop("split")
-    return learning.classify(model, test).select("id1", "id2", "y", "prediction", "score")
+    return _rounded(learning.classify(model, test).select("id1", "id2", "y", "prediction", "score"), "score", digits=3)
 
 
 def classifier_report(spark, folder):
-    return scores.classification_report(stage(classifier(spark, folder), "predicted"))
+    return _rounded(scores.classification_report(stage(classifier(spark, folder), "predicted")),
+                    "precision", "recall", "f1", digits=8)
 
 
 def heatmap_grid(spark, folder):
@@ -335,7 +405,9 @@ def cross_source_pairs(spark, folder):
 
 
 def source_redundancy(spark, folder):
-    return _rounded(reports.survey_redundancy(_detailed_pairs(spark, folder)), "avg_similarity", "max_similarity")
+    questions = tables.questions(spark, folder)
+    pairs, members, copies = keeper_text_pairs(questions, TEXT_THRESHOLD)
+    return _rounded(reports.survey_redundancy(pairs, copies, members, questions), "avg_similarity", "max_similarity")
 
 
 def group_redundancy(spark, folder):
@@ -405,7 +477,8 @@ QUERIES = [
     split_stratified, pair_scores, threshold_sweep, best_threshold, threshold_report,
     classification_report, roc_auc, classifier, classifier_report, heatmap_grid, cross_source_pairs,
     source_redundancy, group_redundancy, csv_questions, csv_any_format, pairs_csv, feedback_roundtrip,
-    notes_roundtrip, vectors_roundtrip, clusters_json,
+    notes_roundtrip, vectors_roundtrip, clusters_json, tfidf_dealt, text_pairs_dealt, text_cluster_lists_dealt,
+    vector_pairs_blocks, knn_blocks, dbscan_blocks, text_knn_pairs, text_knn_pairs_symmetric, batch_run, encoded,
 ]
 
 

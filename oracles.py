@@ -43,6 +43,23 @@ members AS (SELECT min(root) AS cluster_id, id FROM reach GROUP BY id),
 sizes AS (SELECT cluster_id, count(*) AS size FROM members GROUP BY cluster_id)"""
 
 
+GAPPY = r"""
+gappy AS (
+  SELECT doc_id AS question_id,
+         CASE WHEN doc_id % 21 = 0 THEN NULL WHEN doc_id % 21 = 7 THEN '' WHEN doc_id % 7 = 0 THEN ' ' || chr(9) || chr(10)
+              ELSE text END AS question_text, source AS survey_name, lang AS directorate FROM documents)"""
+
+# The two rows of a text pair see each other; a row is its own first neighbour.
+TEXT_NEIGHBORS = """,
+sided AS (
+  SELECT id1 AS id, id2 AS neighbor_id, similarity FROM pairs
+  UNION ALL SELECT id2, id1, similarity FROM pairs
+  UNION ALL SELECT id, id, 1.0 FROM (SELECT id1 AS id FROM pairs UNION SELECT id2 FROM pairs)),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(1 - least(similarity, 1), 12), neighbor_id) AS rank FROM sided),
+nearest AS (SELECT * FROM ranked WHERE rank <= 3)"""
+
+
 def _vector_pairs(threshold: float) -> str:
     return f"""
 pairs AS (
@@ -107,10 +124,76 @@ best AS (SELECT threshold AS best_threshold, accuracy AS best_accuracy
 
 SCORED = LABELLED + ", scored AS (SELECT id1, id2, y, similarity AS score FROM labelled)"
 
+def _listed_parts(rows: int) -> str:
+    return f"""
+SELECT cluster_id, part, any_value(size) AS size, string_agg(id::VARCHAR, ',' ORDER BY id) AS members
+FROM (SELECT cluster_id, id, (row_number() OVER (PARTITION BY cluster_id ORDER BY id) - 1) // {rows} AS part FROM members)
+JOIN sizes USING (cluster_id) GROUP BY cluster_id, part"""
+
+
 LISTS = """
 SELECT cluster_id, 0::BIGINT AS part, any_value(size) AS size, string_agg(id::VARCHAR, ',' ORDER BY id) AS members
 FROM members JOIN sizes USING (cluster_id) GROUP BY cluster_id"""
 
+REPORT = """
+        per_class AS (
+          SELECT c AS class, count(*) FILTER (WHERE y = c AND p = c) AS hits,
+                 count(*) FILTER (WHERE y = c) AS support, count(*) FILTER (WHERE p = c) AS claimed
+          FROM predicted CROSS JOIN (SELECT DISTINCT unnest([y, p]) AS c FROM predicted) GROUP BY c),
+        ratios AS (
+          SELECT class, hits, support, CASE WHEN claimed = 0 THEN 0 ELSE hits / claimed END AS precision,
+                 CASE WHEN support = 0 THEN 0 ELSE hits / support END AS recall FROM per_class),
+        scored_classes AS (
+          SELECT *, CASE WHEN precision + recall = 0 THEN 0
+                         ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM ratios)
+        SELECT class::VARCHAR AS class, round(precision, 8) AS precision, round(recall, 8) AS recall,
+               round(f1, 8) AS f1, support FROM scored_classes
+        UNION ALL SELECT 'accuracy', round(sum(hits) / sum(support), 8), round(sum(hits) / sum(support), 8),
+               round(sum(hits) / sum(support), 8), sum(support)::BIGINT FROM scored_classes
+        UNION ALL SELECT 'macro avg', round(avg(precision), 8), round(avg(recall), 8), round(avg(f1), 8),
+               sum(support)::BIGINT FROM scored_classes
+        UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 8),
+               round(sum(recall * support) / sum(support), 8), round(sum(f1 * support) / sum(support), 8),
+               sum(support)::BIGINT FROM scored_classes"""
+
+# The stratified split by a hash both engines have, and logistic regression by accelerated
+# gradient steps: the penalty is |w|^2 / 2 without the intercept, the last weight.
+CLASSIFIED = LABELLED + """,
+ordered AS (
+  SELECT id1, id2, y, row_number() OVER (PARTITION BY y ORDER BY sha256('42|' || id1 || '|' || id2), id1, id2) - 1 AS position,
+         count(*) OVER (PARTITION BY y) AS n FROM labelled),
+sides AS (
+  SELECT id1, id2, y, position < round(n * 0.2) AS test, a.embedding::DOUBLE[] AS va, b.embedding::DOUBLE[] AS vb
+  FROM ordered JOIN embeddings a ON a.vec_id = id1 JOIN embeddings b ON b.vec_id = id2),
+featured AS (
+  SELECT id1, id2, y, test, list_concat(list_concat(
+           list_transform(list_zip(va, vb), lambda p: abs(p[1] - p[2])),
+           list_transform(list_zip(va, vb), lambda p: p[1] * p[2])), [1.0::DOUBLE]) AS x FROM sides),
+train AS (SELECT row_number() OVER (ORDER BY id1, id2) AS i, y, x FROM featured WHERE NOT test),
+entries AS (SELECT i, unnest(x) AS v, generate_subscripts(x, 1) AS j FROM train),
+by_column AS MATERIALIZED (
+  SELECT list(col ORDER BY j) AS cols FROM (SELECT j, list(v ORDER BY i) AS col FROM entries GROUP BY j)),
+by_row AS MATERIALIZED (
+  SELECT list(x ORDER BY i) AS rows, list(y::DOUBLE ORDER BY i) AS ys,
+         0.25 * sum(list_dot_product(x, x)) + 1 AS steepest FROM train),
+fit(k, w, ahead) AS (
+  SELECT 0, list_transform(cols, lambda c: 0.0::DOUBLE), list_transform(cols, lambda c: 0.0::DOUBLE) FROM by_column
+  UNION ALL
+  SELECT k + 1, next, list_transform(list_zip(next, w), lambda p: p[1] + 0.95 * (p[1] - p[2]))
+  FROM (
+    SELECT k, w, list_transform(list_zip(ahead, gradient), lambda p: p[1] - p[2] / steepest) AS next
+    FROM (
+      SELECT k, w, ahead, steepest, list_transform(list_zip(cols, ahead, range(1, len(ahead) + 1)), lambda c:
+               list_dot_product(c[1], residuals) + CASE WHEN c[3] < len(ahead) THEN c[2] ELSE 0 END) AS gradient
+      FROM (
+        SELECT k, w, ahead, steepest, list_transform(list_zip(rows, ys), lambda r:
+                 1 / (1 + exp(-list_dot_product(r[1], ahead))) - r[2]) AS residuals
+        FROM fit CROSS JOIN by_row WHERE k < 1200)
+      CROSS JOIN by_column))),
+classified AS (
+  SELECT id1, id2, y, 1 / (1 + exp(-list_dot_product(x, w))) AS score
+  FROM featured CROSS JOIN (SELECT w FROM fit WHERE k = 1200) WHERE test)"""
+
 # ---- queries ----------------------------------------------------------------------------
 
 ORACLES = {
@@ -163,10 +246,9 @@ ORACLES = {
         FROM embeddings LEFT JOIN numbered ON numbered.id = vec_id LEFT JOIN borders ON borders.id = vec_id""",
     "preview": """SELECT doc_id AS question_id, text AS question_text, source AS survey_name, lang AS directorate
         FROM documents ORDER BY doc_id LIMIT 5""",
-    "clean_text": r"""SELECT doc_id AS question_id, text AS question_text, source AS survey_name, lang AS directorate
-        FROM documents WHERE regexp_matches(text, '\S')""",
-    "blank_count": r"""SELECT count(*) AS rows,
-               count(*) FILTER (WHERE NOT coalesce(regexp_matches(text, '\S'), false)) AS blank FROM documents""",
+    "clean_text": rf"WITH {GAPPY} SELECT * FROM gappy WHERE regexp_matches(question_text, '\S')",
+    "blank_count": rf"""WITH {GAPPY} SELECT count(*) AS rows,
+               count(*) FILTER (WHERE NOT coalesce(regexp_matches(question_text, '\S'), false)) AS blank FROM gappy""",
     "repeated_ids": """SELECT conv_id AS question_id, count(*) AS rows FROM conversations
         GROUP BY conv_id HAVING count(*) > 1""",
     "default_columns": """SELECT doc_id AS question_id, text AS question_text, '' AS survey_name, '' AS directorate
@@ -213,10 +295,11 @@ ORACLES = {
         FROM sizes LEFT JOIN notes USING (cluster_id) JOIN questions first ON first.question_id = cluster_id""",
     "chosen_clusters": f"""WITH RECURSIVE {TEXT_PAIRS}{COMPONENTS}
         SELECT cluster_id, id FROM members WHERE cluster_id IN (SELECT cluster_id FROM sizes WHERE size >= 3)""",
-    "training_pairs": f"""WITH {LABELLED}
-        SELECT id1, id2, a.text AS text1, b.text AS text2, y::DOUBLE AS label
-        FROM labelled JOIN documents a ON a.doc_id = id1 JOIN documents b ON b.doc_id = id2
-        WHERE length(a.text) > 0 AND length(b.text) > 0""",
+    "training_pairs": f"""WITH {TEXT_PAIRS}{FEEDBACK}, {GAPPY}
+        SELECT id1, id2, a.question_text AS text1, b.question_text AS text2,
+               CASE WHEN label = 'different' THEN 0.0 ELSE 1.0 END::DOUBLE AS label
+        FROM feedback JOIN gappy a ON a.question_id = id1 JOIN gappy b ON b.question_id = id2
+        WHERE label <> 'needs-review' AND length(a.question_text) > 0 AND length(b.question_text) > 0""",
     "pair_features": f"""WITH {LABELLED},
         sides AS (
           SELECT id1, id2, y, a.embedding::DOUBLE[] AS va, b.embedding::DOUBLE[] AS vb
@@ -228,8 +311,11 @@ ORACLES = {
     "split_sequential": f"WITH {SPLIT} SELECT id1, id2, split FROM split",
     "split_counts": f"WITH {SPLIT} SELECT split, count(*) AS rows FROM split GROUP BY split",
     "split_stratified": f"""WITH {LABELLED},
-        classes AS (SELECT y, count(*) AS n, round(count(*) * 0.2)::BIGINT AS test FROM labelled GROUP BY y)
-        SELECT y, 'test' AS split, test AS rows FROM classes UNION ALL SELECT y, 'train', n - test FROM classes""",
+        ordered AS (
+          SELECT id1, id2, y, row_number() OVER (
+                   PARTITION BY y ORDER BY sha256('42|' || id1 || '|' || id2), id1, id2) - 1 AS position,
+                 count(*) OVER (PARTITION BY y) AS n FROM labelled)
+        SELECT id1, id2, y, CASE WHEN position < round(n * 0.2) THEN 'test' ELSE 'train' END AS split FROM ordered""",
     "pair_scores": f"WITH {SCORED} SELECT id1, id2, y, round(score, 4) AS score FROM scored",
     "threshold_sweep": f"""WITH {SCORED}, {_sweep('scored')}
         SELECT threshold, round(accuracy, 8) AS accuracy FROM sweep""",
@@ -241,26 +327,11 @@ ORACLES = {
                (SELECT count(*) FROM split WHERE split = 'validation') AS num_validation_samples,
                best_threshold, round(best_accuracy, 8) AS best_accuracy FROM best""",
     "classification_report": f"""WITH {SCORED},
-        predicted AS (SELECT y, CASE WHEN score >= 0.40 THEN 1 ELSE 0 END AS p FROM scored),
-        per_class AS (
-          SELECT c AS class, count(*) FILTER (WHERE y = c AND p = c) AS hits,
-                 count(*) FILTER (WHERE y = c) AS support, count(*) FILTER (WHERE p = c) AS claimed
-          FROM predicted CROSS JOIN (SELECT DISTINCT unnest([y, p]) AS c FROM predicted) GROUP BY c),
-        ratios AS (
-          SELECT class, hits, support, CASE WHEN claimed = 0 THEN 0 ELSE hits / claimed END AS precision,
-                 CASE WHEN support = 0 THEN 0 ELSE hits / support END AS recall FROM per_class),
-        scored_classes AS (
-          SELECT *, CASE WHEN precision + recall = 0 THEN 0
-                         ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM ratios)
-        SELECT class::VARCHAR AS class, round(precision, 8) AS precision, round(recall, 8) AS recall,
-               round(f1, 8) AS f1, support FROM scored_classes
-        UNION ALL SELECT 'accuracy', round(sum(hits) / sum(support), 8), round(sum(hits) / sum(support), 8),
-               round(sum(hits) / sum(support), 8), sum(support)::BIGINT FROM scored_classes
-        UNION ALL SELECT 'macro avg', round(avg(precision), 8), round(avg(recall), 8), round(avg(f1), 8),
-               sum(support)::BIGINT FROM scored_classes
-        UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 8),
-               round(sum(recall * support) / sum(support), 8), round(sum(f1 * support) / sum(support), 8),
-               sum(support)::BIGINT FROM scored_classes""",
+        predicted AS (SELECT y, CASE WHEN score >= 0.40 THEN 1 ELSE 0 END AS p FROM scored),{REPORT}""",
+    "classifier": f"""WITH RECURSIVE {CLASSIFIED}
+        SELECT id1, id2, y, (score > 0.5)::INTEGER AS prediction, round(score, 3) AS score FROM classified""",
+    "classifier_report": f"""WITH RECURSIVE {CLASSIFIED},
+        predicted AS (SELECT y, (score > 0.5)::INTEGER AS p FROM classified),{REPORT}""",
     "roc_auc": f"""WITH {SCORED},
         ranks AS (
           SELECT y, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM scored),
@@ -300,5 +371,29 @@ ORACLES = {
     "vectors_roundtrip": """WITH entries AS (
           SELECT vec_id, embedding::DOUBLE[] AS v, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)
         SELECT vec_id AS question_id, (i - 1)::INTEGER AS dim, round(v[i], 6) AS "value" FROM entries""",
+    "text_knn_pairs": f"""WITH {TEXT_PAIRS}{TEXT_NEIGHBORS}
+        SELECT id AS id1, neighbor_id AS id2, round(least(similarity, 1), 4) AS similarity
+        FROM nearest WHERE id < neighbor_id""",
+    "text_knn_pairs_symmetric": f"""WITH {TEXT_PAIRS}{TEXT_NEIGHBORS}
+        SELECT least(id, neighbor_id) AS id1, greatest(id, neighbor_id) AS id2, round(least(max(similarity), 1), 4) AS similarity
+        FROM nearest WHERE id <> neighbor_id GROUP BY 1, 2""",
+    "batch_run": f"""WITH RECURSIVE {TEXT_PAIRS.replace('pairs AS', 'all_pairs AS')},
+        pairs AS (SELECT * FROM all_pairs){TEXT_NEIGHBORS},
+        one_sided AS (SELECT id AS id1, neighbor_id AS id2, least(similarity, 1) AS similarity
+                      FROM nearest WHERE id < neighbor_id){COMPONENTS.replace('FROM pairs', 'FROM one_sided')}
+        SELECT 'pair' AS kind, id1, id2, round(similarity, 4) AS similarity FROM one_sided
+        UNION ALL SELECT 'member', cluster_id, id, NULL FROM members""",
+    "encoded": rf"""WITH {GAPPY}, letters AS (SELECT unnest(['a', 'b', 'c', 'd']) AS letter, unnest([0, 1, 2, 3]) AS dim)
+        SELECT question_id, dim::INTEGER AS dim,
+               (length(question_text) - length(replace(question_text, letter, '')))::DOUBLE AS "value"
+        FROM gappy CROSS JOIN letters WHERE regexp_matches(question_text, '\S')""",
     "clusters_json": f"WITH RECURSIVE {VECTOR_PAIRS}{COMPONENTS} {LISTS}",
 }
+ORACLES |= {
+    "tfidf_dealt": ORACLES["tfidf"],
+    "text_pairs_dealt": f"WITH {TEXT_PAIRS} SELECT id1, id2, round(similarity, 4) AS similarity FROM pairs",
+    "text_cluster_lists_dealt": f"WITH RECURSIVE {TEXT_PAIRS}{COMPONENTS} {_listed_parts(3)}",
+    "vector_pairs_blocks": ORACLES["vector_pairs"],
+    "knn_blocks": ORACLES["knn"],
+    "dbscan_blocks": ORACLES["dbscan"],
+}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -21,7 +22,7 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-SPARK_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR"}
+SPARK_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
 def type_difference(df, con: duckdb.DuckDBPyConnection, sql: str) -> str | None:
@@ -66,9 +67,10 @@ def main() -> None:
     import __spark_entry__ as entry
 
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    spark = (SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
+    spark = (SparkSession.builder.master(f"local[{os.environ.get('CORES', 8)}]").config("spark.ui.enabled", "false")
              .config("spark.ui.showConsoleProgress", "false").config("spark.sql.shuffle.partitions", "8")
-             .config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC").getOrCreate())
+             .config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC")
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-twinsift-")).getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     con, sql = connect(folder), entry.oracle_sql()
     failed = 0

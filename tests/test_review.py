@@ -1,7 +1,9 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
-from twinsift.lineage import shared_folder, stage
+from twinsift.lineage import shared_folder, stage, temporary
 from twinsift.operators import clusters, questions as q, reports, review
 from twinsift.operators.order import running_totals, with_position
 
@@ -58,12 +60,13 @@ def test_pair_details_and_order(spark, rows):
 
 def test_pages_concatenate_to_the_whole(spark):
     found = pairs(spark, [(f"a{n}", f"b{n}", (n * 37 % 50) / 50) for n in range(45)])
-    assert q.page_count(found, 10).first().pages == 5
+    counted = lambda n: spark.createDataFrame([(n,)], "pairs long")
+    assert q.page_count(counted(45), 10).first().pages == 5
     pages = [q.pair_page(found, p, 10).orderBy("position").collect() for p in range(1, 6)]
     whole = [(r.id1, r.id2) for page in pages for r in page]
     assert whole == [(r.id1, r.id2) for r in found.orderBy(F.desc("similarity"), "id1", "id2").collect()]
     assert q.pair_page(found, 99, 10).count() == 5 and q.pair_page(found, 0, 10).count() == 10
-    assert q.page_count(found.where("false")).first().pages == 1
+    assert q.page_count(counted(0)).first().pages == 1
     assert q.pair_page(found.where("false"), 1).count() == 0
     with pytest.raises(ValueError):
         q.pair_page(found, 1, 5)
@@ -132,5 +135,40 @@ def test_surveys_are_compared_without_case(spark, rows):
         [("a", "b", "Health", "HEALTH ", 0.9), ("a", "c", "Health", "Labour", 0.8), ("d", "a", "labour", "Health", 0.6)],
         "id1 string, id2 string, survey1 string, survey2 string, similarity double")
     assert reports.cross_survey_pairs(detailed).count() == 2
-    got = [(a, b, n, round(m, 6), x) for a, b, n, m, x in rows(reports.survey_redundancy(detailed))]
-    assert got == [("health", "health", 1, 0.9, 0.9), ("health", "labour", 2, 0.7, 0.8)]
+
+
+def test_pairs_are_counted_without_being_listed(spark, rows):
+    """Keepers a (three copies, two surveys) and d (two copies); e is single."""
+    questions = spark.createDataFrame(
+        [("a", "Health"), ("b", "HEALTH "), ("c", "Labour"), ("d", "labour"), ("f", "health"), ("e", "Labour")],
+        "question_id string, survey_name string")
+    members = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "a"), ("d", "d"), ("f", "d")], "id string, keeper string")
+    copies = spark.createDataFrame([("a", 3, 1.0), ("d", 2, 1.0), ("e", 1, 1.0)], "keeper string, copies long, similarity double")
+    found = spark.createDataFrame([("a", "d", 0.8, 3, 2), ("a", "e", 0.9, 3, 1)],
+                                  "id1 string, id2 string, similarity double, copies1 long, copies2 long")
+    assert rows(reports.pair_count(found, copies)) == [(6 + 3 + 3 + 1,)]
+    got = {(a, b): (n, round(m, 6), x) for a, b, n, m, x in rows(
+        reports.survey_redundancy(found, copies, members, questions))}
+    # a-d: 2 health x (1 labour, 1 health) and 1 labour x the same; a-e: 2 health and 1 labour x labour.
+    assert got == {("health", "health"): (3, round((2 * .8 + 1) / 3, 6), 1.0),
+                   ("health", "labour"): (8, round((3 * .8 + 2 * .9 + 3) / 8, 6), 1.0),
+                   ("labour", "labour"): (2, round((.8 + .9) / 2, 6), 0.9)}
+
+
+def test_upsert_of_one_key_twice_and_of_an_unknown_label(spark, rows):
+    stored = spark.createDataFrame([], FEEDBACK)
+    new = spark.createDataFrame([("a", "b", 0.9, "duplicate", ""), ("a", "b", 0.9, "different", "")],
+                                "id1 string, id2 string, similarity double, label string, note string")
+    assert rows(review.upsert_feedback(stored, new, "t1")) == [("a", "b", 0.9, "different", "", "t1")]
+    with pytest.raises(ValueError, match="maybe"):
+        review.upsert_feedback(stored, new.withColumn("label", F.lit("maybe")), "t1")
+
+
+def test_temporary_tables_are_removed(spark):
+    with temporary(spark):
+        inside = stage(spark.range(3), "short")
+        path = inside.inputFiles()[0].removeprefix("file:")
+        assert inside.count() == 3 and os.path.exists(path)
+    assert not os.path.exists(path)
+    outside = stage(spark.range(3), "long")
+    assert outside.count() == 3

@@ -123,6 +123,23 @@ def test_empty_input_gives_empty_output(spark):
     assert density_clusters(empty).collect() == []
 
 
+@pytest.mark.parametrize("bad", [float("nan"), float("inf"), None])
+def test_undefined_numbers_are_an_error(spark, bad):
+    vectors = frame(spark, {"a": [1.0, bad], "b": [1.0, 2.0]})
+    for search in (similar_vectors, nearest):
+        with pytest.raises(Exception, match="missing, undefined or infinite"):
+            search(vectors).collect()
+
+
+def test_parallel_vectors_have_similarity_one(spark):
+    rng = random.Random(4)
+    base = [rng.gauss(0, 1) for _ in range(7)]
+    vectors = frame(spark, {f"v{i}": [x * (i + 1) / 3 for x in base] for i in range(12)})
+    pairs = similar_vectors(vectors, 1.0).collect()
+    assert len(pairs) == 66 and all(r.similarity <= 1.0 for r in pairs)
+    assert all(0.0 <= r.distance <= 1e-9 for r in nearest(vectors, 5).collect())
+
+
 def test_column_functions(spark):
     df = spark.createDataFrame([([1.0, 2.0], [3.0, -1.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<float>, b array<float>")
     row, zero = df.select(
