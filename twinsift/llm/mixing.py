@@ -3,7 +3,7 @@
 Targets: sources in code point order (null last) carry the weights in turn and share a
 budget; a source stops at a cap and the excess is reshared by weight until none is above.
 Selection (Efraimidis and Spirakis, 2006): a document with quality weight w draws the key
--ln(u) / w, with u from a hash of seed and row, so reruns agree. A source whose target covers
+-ln(u) / w, with u from a hash of seed and id, so reruns agree. A source whose target covers
 it takes every document once per complete epoch; the rest of the target is filled in key
 order, by prefix sums of sizes. Prefix sums run over ranges, so a source may hold any share
 of the rows.
@@ -77,8 +77,9 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id
         sized = sized.join(quality.select(F.col("id"), F.col("weight").cast("double")), "id", "left")
     else:
         sized = sized.withColumn("weight", F.lit(UNKNOWN_QUALITY))
-    # 53 bits of the hash, moved off zero: u is above 0 and below 1.
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id", "text_hash"), 11) + 0.5) / float(1 << 53)
+    # 52 bits of a hash of seed and id, moved off zero: u is above 0 and below 1.
+    digits = F.left(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string"))), F.lit(13))
+    u = (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
     keyed = stage(sized.withColumn("key", -F.ln(u) / F.coalesce("weight", F.lit(UNKNOWN_QUALITY))), "mix-keys")
     targets = stage(source_targets(keyed), "mix-targets")
     summed = running_totals(

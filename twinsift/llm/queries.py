@@ -92,5 +92,92 @@ FROM t JOIN best USING (norm)
 """
 
 
+OP10_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS bytes FROM pages),
+r AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS responder FROM p)
+SELECT page_id, bytes AS payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN bytes >= 1000 AND page_id <> responder THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN bytes >= 1000 AND page_id <> responder THEN responder END AS refers_to
+FROM r
+"""
+
+OP6_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n,
+         coalesce(lead(coalesce(text, '')) OVER w, first_value(coalesce(text, '')) OVER w) AS after,
+         coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS after_id
+  FROM documents WINDOW w AS (ORDER BY doc_id)),
+e AS (SELECT *, left(text, n - n // 2) || left(after, n // 2) AS edited FROM d),
+t AS (SELECT doc_id, 'own' AS kind, text FROM e UNION ALL SELECT doc_id, 'edited', edited FROM e),
+paragraphs AS (
+  SELECT doc_id, kind, unnest(string_split(text, chr(10))) AS paragraph,
+         generate_subscripts(string_split(text, chr(10)), 1) AS p FROM t),
+pieces AS (
+  SELECT doc_id, kind, p, string_split(regexp_replace(paragraph, '([.!?] )', '\1' || chr(1), 'g'), chr(1)) AS list
+  FROM paragraphs),
+insides AS (
+  SELECT doc_id, kind, p,
+         array_to_string(list_transform(list, lambda s: left(sha256(s), 16) || '.' || length(s)), ' ') AS inside FROM pieces),
+nodes AS (SELECT doc_id, kind, p, left(sha256(inside), 16) || '(' || inside || ')' AS node FROM insides),
+marked AS (SELECT *, left(node, 1) IN ('0', '1', '2', '3') AS closes FROM nodes),
+placed AS (
+  SELECT *, coalesce(sum(closes::INTEGER) OVER (
+    PARTITION BY doc_id, kind ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS section FROM marked),
+runs AS (
+  SELECT doc_id, kind, section, string_agg(node, ',' ORDER BY p) AS run, bool_or(closes) AS closed
+  FROM placed GROUP BY doc_id, kind, section),
+headed AS (SELECT *, left(sha256(run || CASE WHEN closed THEN '' ELSE ',' END), 16) AS head FROM runs),
+trees AS (
+  SELECT doc_id, kind, sha256(string_agg(head, '' ORDER BY section)) || '|' ||
+         string_agg(head || '[' || run || ']', '' ORDER BY section) AS tree FROM headed GROUP BY doc_id, kind),
+leaved AS (SELECT *, list_distinct(regexp_extract_all(tree, '[0-9a-f]{16}\.[0-9]+')) AS leaves FROM trees),
+weighed AS (
+  SELECT *, coalesce(list_sum(list_transform(leaves, lambda x: split_part(x, '.', 2)::BIGINT)), 0) AS weight FROM leaved),
+pairs AS (
+  SELECT e.doc_id, e.n, sha256(e.edited) AS edited_sha256, own.tree AS a, ed.tree AS b, own.leaves AS la, ed.leaves AS lb,
+         own.weight AS wa, ed.weight AS wb, nx.tree AS c, nx.leaves AS lc, nx.weight AS wc
+  FROM e JOIN weighed own ON own.doc_id = e.doc_id AND own.kind = 'own'
+  JOIN weighed ed ON ed.doc_id = e.doc_id AND ed.kind = 'edited'
+  JOIN weighed nx ON nx.doc_id = e.after_id AND nx.kind = 'own')
+SELECT doc_id, n AS n_chars, edited_sha256, a AS fingerprint, b AS edited_fingerprint,
+       CASE WHEN left(a, 64) = left(b, 64) THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * coalesce(list_sum(list_transform(
+         list_intersect(la, lb), lambda x: split_part(x, '.', 2)::BIGINT)), 0)::DOUBLE / (wa + wb)::DOUBLE END AS near_edited,
+       CASE WHEN left(a, 64) = left(c, 64) THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * coalesce(list_sum(list_transform(
+         list_intersect(la, lc), lambda x: split_part(x, '.', 2)::BIGINT)), 0)::DOUBLE / (wa + wc)::DOUBLE END AS near_next
+FROM pairs
+"""
+
+
+OP7_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (
+  SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight,
+         source_size * 2.0::DOUBLE AS cap FROM s),
+b AS (
+  SELECT *, cap / weight AS level, coalesce(sum(cap) OVER o, 0) AS cap_before, coalesce(sum(weight) OVER o, 0) AS weight_before
+  FROM w WINDOW o AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+v AS (
+  SELECT *, (1.5::DOUBLE * (SELECT sum(source_size) FROM s) - cap_before) / ((SELECT sum(weight) FROM w) - weight_before) AS water
+  FROM b),
+first_open AS (SELECT arg_min(water, (level, cap_before)) AS water FROM v WHERE water < level),
+targets AS (SELECT v.source, source_size, least(cap, weight * coalesce(f.water, 1e300)) AS target FROM v CROSS JOIN first_open f),
+rated AS (SELECT doc_id, pow(2.0, 2 * avg(quality) - 1) AS q FROM labels GROUP BY doc_id),
+keyed AS (
+  SELECT d.*, -ln((('0x' || left(md5('20231|' || d.doc_id), 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE)
+         / coalesce(q, 1.0) AS key FROM d LEFT JOIN rated USING (doc_id)),
+summed AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+         AS before FROM keyed),
+dealt AS (
+  SELECT summed.*, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs
+  FROM summed JOIN targets ON summed.source IS NOT DISTINCT FROM targets.source)
+SELECT doc_id, size::BIGINT AS size, source_size, target, (size * (epochs + CASE WHEN target - epochs * source_size > 0
+         AND before + size / 2.0 <= target - epochs * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM dealt
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op9_exact_dedup": OP9_SQL}
+    return {"op7_mix": OP7_SQL, "op6_fingerprints": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op10_warc": OP10_SQL}
