@@ -56,6 +56,14 @@ LAYOUTS = {
     "adverts inside": (f"<article><p>{P1}</p><div class='ad-slot'><div>Buy</div></div><p>{P2}</p></article>", f"{P1} {P2}"),
     "inline markup": ("<article><p>un<b>bro</b>ken <a href='a>b'>link</a></p><p>x</p></article>", "unbroken link x"),
     "hidden": (f"<div><p>{P1}</p><p hidden>{P2}</p><p style='display: none'>{P2}</p></div>", P1),
+    "blog theme": (f"""<body class="single post-template"><header class=site-header><h1>Blog</h1></header><div id=page class=site>
+<main id=main><article id=post-1 class="post type-post comments-open"><header class=entry-header><h1>T</h1></header>
+<div class=entry-content><p>{P1}</p><p>{P2}</p></div><footer class=entry-footer>Posted</footer></article>
+<div id=comments><ol class=comment-list><li><article class=comment-body><p>{P1} {P2}, {P1}</p></article></ol></div></main>
+<aside class=widget-area><p>{P2}</p></aside></div>""", f"T {P1} {P2}"),
+    "table page": (f"<body><table><tr><td><a href=1>menu</a><td>{P1}<br><br>{P2}<br>Bye.</table>", f"{P1} {P2} Bye."),
+    "more comments than text": (f"<body><div class=article><p>{P1}</p></div><div id=disqus_thread>"
+                                + f"<div class=comment><p>{P2}</p></div>" * 10 + "</div>", P1),
     "nothing": ("", ""),
     "words only": ("just words", "just words"),
     "menu only": ("<body><nav>a b</nav></body>", ""),

@@ -22,7 +22,7 @@ from twinsift.llm.common import field, whole
 COMMENT = re.compile(r"<!--(?:.*?--!?>|.*\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
 LOOSE_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
-NAMING = re.compile(r"""(?:^|\s)(class|id|role|aria-label|itemprop|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+NAMING = re.compile(r"""(?:^|\s)(class|id|role|itemprop|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
 # Element names by their role in HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,7 +48,7 @@ UNWANTED = set(
     "comment comments commentlist respond reply replies disqus discussion responses feedback reviews "
     "cookie cookies consent gdpr notice notices alert alerts notification popup modal overlay lightbox dialog disclaimer paywall "
     "subscribe subscription newsletter signup login share sharing social related recommended recommendations recirc trending "
-    "popular skip search searchbox form tags tagcloud toc copyright legal complementary contentinfo "
+    "popular skip search searchbox form tags tagcloud toc copyright legal complementary contentinfo alertdialog "
     "sr-only visually-hidden hidden".split())
 WANTED = set("article content main body post entry story text maincontent articlebody".split())
 
@@ -61,36 +61,34 @@ class Node:
         self.score, self.good, self.chars, self.link_chars = 0.0, good, 0, 0
 
 
-def _words(attributes: str) -> tuple[set[str], bool]:
-    """Words of the naming attributes, and whether the element is hidden."""
-    words, hidden = set(), False
+def _names(attributes: str) -> tuple[list[tuple[str, set[str]]], bool]:
+    """Names in class, id and role, each with the words it is made of, and whether the element is hidden."""
+    names, hidden = [], False
     for name, value in NAMING.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
             hidden = True
         elif name == "style":
             hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
-        elif name != "aria-label":
-            for token in value.split():
-                words.add(token)
-                words.update(w for w in re.split(r"[-_:]+", token) if w)
-    return words, hidden
+        else:
+            names += [(token, {token, *re.split(r"[-_:]+", token)}) for token in value.split()]
+    return names, hidden
 
 
-def _unwanted(name: str, words: set[str], hidden: bool, in_article: bool) -> bool:
+def _unwanted(name: str, names: list[tuple[str, set[str]]], hidden: bool, in_article: bool) -> bool:
+    """A name that is an unwanted word decides; one that contains such a word does unless another name is wanted."""
     if hidden or name in NEVER:
         return True
-    if name in ("body", "html", "main") or not words:
-        return name == "header" and not in_article
-    if name == "header":
-        return not in_article
-    if words & {"navigation", "complementary", "contentinfo", "search", "alert", "dialog", "alertdialog"}:
-        return True
-    bad = words & UNWANTED
-    if not bad:
+    if name in ("body", "html", "main"):
         return False
-    # "article-header", "post-body" and the like belong to the article.
-    return not (words & WANTED) or bool(bad - {"header", "text", "body"})
+    # A header inside an article holds its title.
+    unwanted = UNWANTED - {"header"} if in_article else UNWANTED
+    if name == "header" and not in_article:
+        return True
+    if any(token in unwanted for token, _ in names):
+        return True
+    wanted = any(words & WANTED and not words & unwanted for _, words in names)
+    return not wanted and any(words & unwanted for _, words in names)
 
 
 def parse(html: str) -> Node:
@@ -149,13 +147,13 @@ def parse(html: str) -> Node:
                 here.children.append("\n" if name == "br" else "" if name == "wbr" else Node("hr", here))
             continue
         here = _implied_end(here, name)
-        words, hidden = _words(attributes) if attributes else (set(), False)
+        names, hidden = _names(attributes) if attributes else ([], False)
         in_article = _inside(here, "article")
-        if _unwanted(name, words, hidden, in_article):
+        if _unwanted(name, names, hidden, in_article):
             if not attributes.endswith("/"):
                 skipping.append(name)
             continue
-        node = Node(name, here, name in ("article", "main") or bool(words & (WANTED | {"main"})))
+        node = Node(name, here, name in ("article", "main") or any(words & WANTED for _, words in names))
         here.children.append(node)
         if not attributes.endswith("/") or name in BLOCKS:
             here = node
