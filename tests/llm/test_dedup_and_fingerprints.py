@@ -117,7 +117,7 @@ def near_rows():
 
 def test_near_duplicates_in_large_groups(spark):
     rows = near_rows()
-    frame = spark.createDataFrame([(d, t, d) for d, t in rows], "doc_id long, text string, class_id long")
+    frame = spark.createDataFrame([(d, t, d, True) for d, t in rows], "doc_id long, text string, class_id long, kept boolean")
     got = near_dedup.near_duplicates(frame).collect()
     assert {r.doc_id: r.class_id for r in got} == brute.near_classes(rows)
     assert {r.doc_id for r in got if r.kept} == set(brute.near_classes(rows).values())

@@ -11,9 +11,9 @@ again with twice the limit. The work per text is its size plus the number of dar
 
 Bands of coordinates are joined to find candidates, and each candidate is checked exactly.
 Texts with equal weighted sets are one node. Every node is compared with the most central
-node of each of its buckets; nodes that share a bucket and are still in different classes after that
-are compared with each other. So within a class of near copies the work is linear, and no pair in one
-bucket and different classes is left out.
+node of each of its buckets, which joins most of a class in linear work. Where a bucket then holds several
+classes, its members outside the central one are compared with all the others, block by block. So no
+pair in one bucket and different classes is left out, and only edges between classes come back.
 """
 
 from __future__ import annotations
@@ -30,13 +30,15 @@ from twinsift.lineage import stage
 from twinsift.llm.common import field, whole
 from twinsift.llm.text_arrays import blocks, folded, mix64
 from twinsift.operators.components import connected_components
-from twinsift.operators.skew import pairs_in_buckets
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS = 24
 ROWS = 5
 
+# Members of one bucket that are compared with each other in one task.
+BLOCK_ROWS = 512
+
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xD1B54A32D192ED03)
 UNIT = 1.0 / (1 << 53)
@@ -204,7 +206,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, class_id, kept): every row with the smallest id of its class of near duplicates.
 
     A class holds texts joined by a chain of pairs at or above the threshold. ``kept`` is true
-    for one row of each class: a row with the smallest id, of repeated ones any. Null text
+    for the row with the smallest id of each class, and for rows that repeat it. Null text
     counts as empty; texts without words are near to nothing and stay as they are. A null id
     ranks after every other id. An empty table gives no rows.
     """
@@ -257,16 +259,76 @@ def _edges(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, thresh
 
     near = stage(_similar(star, texts, threshold), "near-pairs")
     classes = connected_components(near, "a", "b").withColumnRenamed("id", "node")
-    split = ranked.select("band", "key", "size", "node").join(classes, "node", "left").withColumn(
-        "class", F.coalesce("cluster_id", "node")).drop("cluster_id")
-    mixed = split.groupBy("band", "key").agg(
-        F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("band", "key")
-    open_buckets = stage(
-        split.join(mixed, ["band", "key"]).withColumn("bucket", F.struct("band", "key")), "open-buckets")
-    pairs = pairs_in_buckets(open_buckets, "bucket", "node", "size", lambda a, b: a("class") != b("class"))
-    rest = pairs.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct().join(
-        star, ["a", "b"], "left_anti")
-    return near.unionByName(stage(_similar(rest, texts, threshold), "late-pairs"))
+    split = ranked.select("band", "key", "size", "node").join(classes, "node", "left").join(
+        hubs, ["band", "key"]).withColumn("class", F.coalesce("cluster_id", "node"))
+    return near.unionByName(stage(_late_edges(split, texts, threshold), "late-pairs"))
+
+
+def _late_edges(split: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Edges between classes that share a bucket, one per member and class it meets.
+
+    Members outside the class of their bucket's hub are compared with all members of the bucket,
+    chunk by chunk and each with a whole chunk at once, so that no list of pairs is made.
+    """
+    hub_class = split.where(F.col("node") == F.col("hub")).select("band", "key", F.col("class").alias("hub_class"))
+    members = split.join(hub_class, ["band", "key"]).withColumn("stray", F.col("class") != F.col("hub_class"))
+    # With two members both have met; with one class there is nothing to join.
+    chunks = lambda n: F.ceil(n / F.lit(BLOCK_ROWS)).cast("int")
+    open_buckets = members.where("size > 2").groupBy("band", "key").agg(
+        chunks(F.count_if("stray")).alias("xs"), chunks(F.count(F.lit(1))).alias("ys")).where("xs > 0")
+    met = members.join(open_buckets, ["band", "key"]).join(texts, "node").select(
+        "band", "key", "xs", "ys", "stray", "node", F.xxhash64("class").alias("class"), "text",
+        F.pmod(F.xxhash64("node"), F.col("xs").cast("bigint")).cast("int").alias("x"),
+        F.pmod(F.xxhash64("node"), F.col("ys").cast("bigint")).cast("int").alias("y"))
+    met = stage(met, "open-buckets")
+    columns = ["band", "key", "x", "y", "side", "node", "class", "text"]
+    strays = met.where("stray").drop("y").withColumn("y", F.explode(F.sequence(F.lit(0), F.col("ys") - 1)))
+    others = met.drop("x").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)))
+    tasks = strays.withColumn("side", F.lit(0)).select(*columns).unionByName(
+        others.withColumn("side", F.lit(1)).select(*columns))
+
+    def block(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        left, right = table.filter(pa.array(side == 0)), table.filter(pa.array(side == 1))
+        one, two = edges_between(
+            left.column("text").to_pylist(), left.column("class").to_numpy(),
+            right.column("text").to_pylist(), right.column("class").to_numpy(), threshold)
+        return pa.table({"a": left.column("node").take(pa.array(one)), "b": right.column("node").take(pa.array(two))})
+
+    kind = met.schema["node"].dataType
+    found = tasks.groupBy("band", "key", "x", "y").applyInArrow(
+        block, StructType([StructField("a", kind), StructField("b", kind)]))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def edges_between(left: list[str], left_class: np.ndarray, right: list[str], right_class: np.ndarray,
+                  threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): similar texts that connect all classes with similar texts, fewer than classes."""
+    left_class, right_class = left_class.copy(), right_class.copy()
+    owner, value, count = weighted_shingles([*left, *right])
+    n = len(left)
+    total = np.bincount(owner, count, minlength=n + len(right))
+    first = np.searchsorted(owner, np.arange(n + 1))
+    at = np.flatnonzero(owner >= n)
+    order = at[np.argsort(value[at], kind="stable")]
+    listed, holder, held = value[order], owner[order] - n, count[order]
+    one, two = [], []
+    for i in range(n):
+        mine, mine_count = value[first[i]:first[i + 1]], count[first[i]:first[i + 1]]
+        low = np.searchsorted(listed, mine)
+        size = np.searchsorted(listed, mine, side="right") - low
+        places = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
+        shared = np.bincount(holder[places], np.minimum(held[places], np.repeat(mine_count, size)), minlength=len(right))
+        union = total[i] + total[n:] - shared
+        near = np.flatnonzero((shared >= (threshold - 1e-12) * union) & (shared > 0) & (right_class != left_class[i]))
+        if len(near):
+            joined, pick = np.unique(right_class[near], return_index=True)
+            two.append(near[pick])
+            one.append(np.full(len(pick), i))
+            for classes in (left_class, right_class):
+                classes[np.isin(classes, joined)] = left_class[i]
+    empty = np.empty(0, np.int64)
+    return (np.concatenate(one), np.concatenate(two)) if one else (empty, empty)
 
 
 def _of_content(held: DataFrame) -> DataFrame:
@@ -287,7 +349,7 @@ def _of_content(held: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                          threshold: float = SIMILARITY) -> DataFrame:
-    """One row of each class, with its own columns."""
+    """The row with the smallest id of each class, with its own columns; rows of one id stay together."""
     classes = near_duplicates(docs, id_col, text_col, threshold)
-    kept = classes.where("kept").select(F.col(id_col).alias("kept_id")).distinct()
-    return docs.join(kept, field(id_col).eqNullSafe(F.col("kept_id")), "left_semi")
+    kept = classes.where("kept").select(field(id_col).alias("_twinsift_kept")).distinct()
+    return docs.join(kept, field(id_col).eqNullSafe(F.col("_twinsift_kept")), "left_semi")
