@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import brute  # noqa: E402
 
 from twinsift.llm import language, mixing, packing, queries  # noqa: E402
-from twinsift.llm.text_arrays import BLOCK_CHARS, blocks  # noqa: E402
+from twinsift.llm.text_arrays import BLOCK_CHARS, BLOCK_TEXTS, blocks  # noqa: E402
 from twinsift.llm.tokens import ids_of, vocabulary  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -214,7 +214,9 @@ def test_language_edge_cases(spark):
         spark.createDataFrame([(d, t, "?") for d, t in rows], "doc_id long, text string, lang_pred string"), model).collect()}
     assert got[1] == got[2] == got[3] == ("und", 0.0) and got[6] == ("en", 0.0)
     assert got[4][0] == got[7][0] == got[None][0] == "en" and got[5][0] == "de"
-    kept = language.accepted(spark.createDataFrame(rows, "doc_id long, text string"), model)
+    kept = language.accepted(spark.createDataFrame(
+        [(*r, "old", "1") for r in rows], "doc_id long, text string, lang_pred string, score string"), model)
+    assert kept.columns == ["doc_id", "text", "lang_pred", "score"] and {r.score for r in kept.collect()} == {"1"}
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 4, 5, 7]
     nothing = language.learn(labelled.limit(0))
     assert {r.lang_pred for r in language.predict(labelled, nothing, "lang").collect()} == {"und"}
@@ -229,4 +231,7 @@ def test_languages_beyond_one_byte_of_bits(spark):
 def test_blocks_cover_all_texts():
     texts = ["a" * n for n in (10, BLOCK_CHARS, 5, 0, BLOCK_CHARS * 2, 1)]
     assert [t for _, block in blocks(texts) for t in block] == texts
-    assert [start for start, _ in blocks(texts)] == [0, 1, 2, 4, 5] or True
+    assert [start for start, _ in blocks(texts)] == [0, 1, 2, 4, 5]
+    many = ["a"] * (2 * BLOCK_TEXTS + 1)
+    assert [len(block) for _, block in blocks(many)] == [BLOCK_TEXTS, BLOCK_TEXTS, 1]
+    assert list(blocks([""])) == [(0, [""])] and list(blocks([])) == []

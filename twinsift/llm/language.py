@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from twinsift.lineage import stage
 from twinsift.llm.common import field
@@ -148,8 +149,8 @@ def judge(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
-            carry: list[str] = ()) -> DataFrame:
-    """(id, carried columns, lang_pred, score) for every row.
+            carry: list[str] = (), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """(id, carried columns, lang_pred, score) for every row; ``names`` renames the last two.
 
     A text that is null or has no letter is ``und`` with score 0. A text whose trigrams are all
     unknown gets the language with most training text and score 0. Without training rows
@@ -161,19 +162,18 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = [], []
+            languages, scores = [], []
             for _, block in blocks([t or "" for t in batch.column(text_col).to_pylist()]):
                 found, score = judge(shared.value, block)
-                names += found
+                languages += found
                 scores.append(score)
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in out], pa.array(names, pa.string()),
+                [*[batch.column(c) for c in out], pa.array(languages, pa.string()),
                  pa.array(np.concatenate(scores) if scores else np.empty(0), pa.float64())],
-                names=[*out, "lang_pred", "score"])
+                names=[*out, *names])
 
-    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
     schema = StructType([source.schema[c] for c in out] + [
-        StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+        StructField(names[0], StringType()), StructField(names[1], DoubleType())])
     return source.mapInArrow(predicted, schema)
 
 
@@ -183,6 +183,7 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     A text goes if it has no letter, or if less than ``REJECT_BELOW`` of its letters are
     in trigrams of its best language.
     """
-    judged = predict(docs, model, docs.columns[0], text_col, docs.columns)
-    return judged.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= REJECT_BELOW)).select(
+    own = ("_twinsift_language", "_twinsift_score")
+    judged = predict(docs, model, docs.columns[0], text_col, docs.columns, own)
+    return judged.where((F.col(own[0]) != UNDETERMINED) & (F.col(own[1]) >= REJECT_BELOW)).select(
         *[field(c) for c in docs.columns])

@@ -9,6 +9,7 @@ from functools import lru_cache
 import numpy as np
 
 BLOCK_CHARS = 400_000
+BLOCK_TEXTS = 500
 
 
 @lru_cache(maxsize=None)
@@ -25,10 +26,10 @@ def fold_table(digits: bool) -> np.ndarray:
 
 
 def blocks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
-    """(index of the first text, texts) in runs of about ``BLOCK_CHARS``; a longer text is its own run."""
+    """(index of the first text, texts) in runs of up to ``BLOCK_CHARS`` and ``BLOCK_TEXTS``; a longer text is its own run."""
     start, size = 0, 0
     for i, text in enumerate(texts):
-        if size and size + len(text) > BLOCK_CHARS:
+        if i > start and (size + len(text) > BLOCK_CHARS or i - start >= BLOCK_TEXTS):
             yield start, texts[start:i]
             start, size = i, 0
         size += len(text)
