@@ -31,10 +31,12 @@ def connected_components(pairs: DataFrame, src: str = "id1", dst: str = "id2") -
         total, moved = edges.agg(F.count(F.lit(1)), F.max("moved")).first()
         if not moved:
             break
-        lifted = _lift(edges, total).persist()
+        lifted, parents = _lift(edges, total)
+        hooked, leasts = _hook(lifted, total)
         next_path = fresh_path(spark, "edges")
-        edges = stage(_hook(lifted, total), "edges", next_path)
-        lifted.unpersist()
+        edges = stage(hooked, "edges", next_path)
+        for table in (lifted, parents, leasts):
+            table.unpersist()
         drop(spark, path)
         path = next_path
     roots = edges.select(F.col("parent").alias("cluster_id"), F.col("parent").alias("id")).distinct()
@@ -45,26 +47,27 @@ def _unique(edges: DataFrame) -> DataFrame:
     return edges.groupBy("child", "parent").agg(F.max("moved").alias("moved"))
 
 
-def _lift(edges: DataFrame, total: int) -> DataFrame:
-    """Large star: each parent becomes its own least parent, if it has one."""
+def _lift(edges: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """Large star: each parent becomes its own least parent, if it has one. Both tables are persisted."""
     least = edges.groupBy(F.col("child").alias("parent")).agg(F.min("parent").alias("least"))
-    parents = stage(
+    parents = (
         edges.groupBy("parent").agg(F.count(F.lit(1)).alias("edges"))
         .join(least, "parent", "left")
-        .select("parent", "edges", F.coalesce("least", "parent").alias("target")), "parents")
-    return _unique(lookup(edges.drop("moved"), parents, "parent", "edges", total).select(
+        .select("parent", "edges", F.coalesce("least", "parent").alias("target"))).persist()
+    lifted = _unique(lookup(edges.drop("moved"), parents, "parent", "edges", total).select(
         "child", F.col("target").alias("parent"), (F.col("target") != F.col("parent")).alias("moved")))
+    return lifted.persist(), parents
 
 
-def _hook(lifted: DataFrame, total: int) -> DataFrame:
-    """Small star: the other parents of a child point to its least parent."""
-    least = stage(lifted.groupBy("child").agg(
-        F.min("parent").alias("least"), F.count(F.lit(1)).alias("edges"), F.max("moved").alias("moved")), "leasts")
+def _hook(lifted: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """Small star: the other parents of a child point to its least parent. The second table is persisted."""
+    least = lifted.groupBy("child").agg(
+        F.min("parent").alias("least"), F.count(F.lit(1)).alias("edges"), F.max("moved").alias("moved")).persist()
     pointed = least.select("child", F.col("least").alias("parent"), "moved")
     others = lookup(lifted.drop("moved"), least.where("edges > 1").drop("moved"), "child", "edges", total)
     hooked = others.where("parent <> least").select(
         F.col("parent").alias("child"), F.col("least").alias("parent"), F.lit(True).alias("moved"))
-    return _unique(pointed.unionByName(hooked))
+    return _unique(pointed.unionByName(hooked)), least
 
 
 def clusters_of_keepers(keepers: DataFrame, members: DataFrame, edges: DataFrame) -> DataFrame:
