@@ -323,6 +323,29 @@ def test_clean_texts_stay_clean(text):
     assert personal_data.personal_data(text) == []
 
 
+@pytest.mark.parametrize("word", ["jane.doe", "j_smith", "john2b", "jean-luc", "a+news", "u.s.r", "und.34", "x%y"])
+@pytest.mark.parametrize("sign", ["at", "AT", "arroba", "chez"])
+def test_a_sign_anywhere_in_the_word_makes_a_bare_at(word, sign):
+    text = f"Write to {word} {sign} mail.example.com today"
+    assert personal_data.personal_data(text) == [("email", 9, 9 + len(f"{word} {sign} mail.example.com"), True)]
+
+
+@pytest.mark.parametrize("text", [
+    "It is sold at example.com only.", "the 3rd. at example.com", "Mr. at example.com", "x.y, at example.com", "a.b or c at example.com",
+    "j.d    at example.com", "... at example.com", "at example.com"])
+def test_a_word_without_a_sign_leaves_a_bare_at(text):
+    assert personal_data.personal_data(text) == []
+
+
+def test_signed_words_are_read_once():
+    import time
+
+    start = time.time()
+    for text in ("a.b at c.d " * 50_000, "a at c.d " * 50_000, "a" * 500_000 + " at c.d" * 50_000, "." * 500_000 + "a at c.d"):
+        personal_data.personal_data(text)
+    assert time.time() - start < 20
+
+
 def test_searches_are_linear():
     import time
 

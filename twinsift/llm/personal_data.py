@@ -118,12 +118,12 @@ _NUMBER = "|".join(sorted(SPELLED, key=len, reverse=True))
 
 BRACKETED = re.compile(
     rf"[\[({{<][\x20\t]{{0,3}}(?:(?P<at>@|{AT_WORDS})|(?P<dot>\.|{DOT_WORDS}))[\x20\t]{{0,3}}[\])}}>]", re.I)
-# A bare "at" counts if a spelled dot follows the next word, or if the word before has a digit or
-# inner sign and a dotted name follows; a bare "dot" between two words counts as a dot.
+# A bare "at" counts if a spelled dot follows the next word, or if the word before has a digit, a sign
+# or an inner dot and a dotted name follows; a bare "dot" between two words counts as a dot.
 BARE_AT = re.compile(
     rf"{_SPACE}(?:{AT_WORDS}){_SPACE}(?={_LABEL}(?:{_SPACE}(?:{DOT_WORDS}){_SPACE}|[\x20\t]{{0,3}}[\[({{<]))", re.I)
-SIGNED_AT = re.compile(rf"(?<=[0-9_%+-]){_SPACE}(?:{AT_WORDS}){_SPACE}(?={_LABEL}\.[A-Za-z])", re.I)
-SIGN_BEFORE_AT = re.compile(rf"[0-9_%+-]{_SPACE}(?:{AT_WORDS})[\x20\t]", re.I)
+NAMED_AT = re.compile(rf"{_SPACE}(?:{AT_WORDS}){_SPACE}(?={_LABEL}\.[A-Za-z])", re.I)
+SIGNED = re.compile(r"[0-9_%+-]|[^.]\.+[^.]")
 BARE_DOT = re.compile(rf"(?<=[A-Za-z0-9]){_SPACE}(?:{DOT_WORDS}){_SPACE}(?=[A-Za-z0-9])", re.I)
 PLUS = re.compile(rf"\bplus[\x20-]{{1,3}}(?=(?:{_NUMBER}|[0-9])\b)", re.I)
 NUMBER = re.compile(rf"\b(?:{_NUMBER})\b", re.I)
@@ -158,6 +158,17 @@ def _spelled_run(words: list[str]) -> bool:
     return b"\1\1" in flags or b"\1\0\1\0\1" in flags
 
 
+def signed_ats(text: str) -> Iterator[tuple[int, int]]:
+    """Bare "at"s before a dotted name, after a word that looks like the start of an address."""
+    free = 0
+    for m in NAMED_AT.finditer(text):
+        before = text[free:m.start()]
+        word = before[len(before.rstrip(LOCAL)):]
+        if word and not word.endswith(".") and SIGNED.search(word):
+            yield m.span()
+        free = m.end()
+
+
 def rewrites(text: str) -> list[tuple[int, int, str]]:
     """(start, end, replacement) of the disguises in a text, in order and not overlapping."""
     found: list[tuple[int, int, str]] = []
@@ -173,8 +184,7 @@ def rewrites(text: str) -> list[tuple[int, int, str]]:
     words = text.lower().replace("-", " ").replace(",", " ").split()
     if found or not DOT_SET.isdisjoint(words):
         found += [(m.start(), m.end(), "@") for m in BARE_AT.finditer(text)]
-    if SIGN_BEFORE_AT.search(text):
-        found += [(m.start(), m.end(), "@") for m in SIGNED_AT.finditer(text)]
+    found += [(start, end, "@") for start, end in signed_ats(text)]
     if _spelled_run(words):
         last = None
         for m in NUMBER.finditer(text):
