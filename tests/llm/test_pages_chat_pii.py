@@ -70,6 +70,27 @@ LAYOUTS = {
 }
 
 
+FIVE = "".join(f"<p>{p}</p>" for p in (P1, P2, P1, P2, P1))
+FIVE_TEXT = f"{P1} {P2} {P1} {P2} {P1}"
+
+LAYOUTS |= {
+    "short last section": (f"<div id=content><div class=part>{FIVE}</div><div class=part><p>{P3}</p></div></div>", f"{FIVE_TEXT} {P3}"),
+    "short last section in rows": (f"""<main><div class=row><div class=col>{FIVE}</div></div>
+<div class=row><div class=col><p>{P3}</p></div></div></main>""", f"{FIVE_TEXT} {P3}"),
+    "short closing paragraph": (f"<body><div class=a><div class=b>{FIVE}</div><p>{P3}</p></div>", f"{FIVE_TEXT} {P3}"),
+    "short section without names": (f"<body><div><div>{FIVE}</div><div><p>{P3}</p></div></div>", f"{FIVE_TEXT} {P3}"),
+    "text beside the best part": (f"<div id=content>Before <i>it</i> all.<div class=part>{FIVE}</div>After <b>it</b> all.<br>End</div>",
+                                  f"Before it all. {FIVE_TEXT} After it all. End"),
+    "a closing line with a link": (f"<div id=content><div class=part>{FIVE}</div><p>See <a href=x>the full report</a></p></div>",
+                                   f"{FIVE_TEXT} See the full report"),
+    "links beside the best part": (f"""<div id=content><div><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></div><div class=part>{FIVE}</div>
+<div><a href=3>Next page</a></div></div>""", FIVE_TEXT),
+    "inline wrapper of blocks": (f"<body><div><div>{FIVE}</div><font><div>{FIVE}</div></font></div>", f"{FIVE_TEXT} {FIVE_TEXT}"),
+    "links without names": (f"<div><ul><li><a href=1>One</a></ul><div>{FIVE}</div><a href=3>Next page</a><p>{P3}</p></div>",
+                            f"{FIVE_TEXT} {P3}"),
+}
+
+
 @pytest.mark.parametrize("name", LAYOUTS)
 def test_main_text_of_layouts(name):
     html, want = LAYOUTS[name]

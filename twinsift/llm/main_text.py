@@ -3,14 +3,15 @@
 A page is parsed into a tree without what is never main text: scripts, forms, menus, page headers
 and footers, sidebars, notices, adverts, reader comments. Each paragraph earns points for length
 and commas and passes them to its ancestors, all to its parent, half to the next, and less
-further up. Points are discounted by link density. The best container is kept with the siblings that
-belong to it; if it lies in an article, the article is the container.
+further up. Points are discounted by link density. If the best container lies in an article, the
+article is kept; if in a main element or one named like content, all of that but lists of links;
+else its siblings and the text between them are kept where few of their characters are links.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -33,6 +34,7 @@ BLOCKS = set(
     "thead tr ul caption option".split())
 NEVER = set("nav aside footer form button dialog menu fieldset search select label input audio video canvas head".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+PARAGRAPHS = set("p pre blockquote table figure dl".split())
 # An end tag or implied end does not reach past these.
 WALLS = set("article aside blockquote body div footer form header main nav section table td th ul ol dl li".split())
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -280,8 +282,28 @@ def _text(node: Node) -> list[str]:
     return out
 
 
+def _parts(children: list) -> list[Node]:
+    """The blocks among children, and the runs of text and inline elements between them."""
+    parts, run = [], None
+    for child in children:
+        if isinstance(child, Node) and child.name in BLOCKS:
+            parts.append(child)
+            run = None
+            continue
+        if run is None:
+            run = Node("#run", None)
+            parts.append(run)
+        run.children.append(child)
+        if isinstance(child, str):
+            run.chars += len(child.strip())
+        else:
+            run.chars, run.link_chars = run.chars + child.chars, run.link_chars + child.link_chars
+            run.score = max(run.score, child.score)
+    return parts
+
+
 def _keeps(best: Node) -> list[Node]:
-    """The best container and the siblings that belong to it, in page order."""
+    """The best container and what belongs to it, in page order."""
     article = best
     while article and article.name != "article":
         article = article.parent
@@ -289,16 +311,26 @@ def _keeps(best: Node) -> list[Node]:
         return [article]
     if not best.parent:
         return [best]
+    holder = best.parent
+    while holder and not (holder.good and holder.name not in ("body", "html")):
+        holder = holder.parent
     at_least = max(10.0, 0.2 * best.score * (1 - _links(best)))
-    kept = []
-    for sibling in best.parent.children:
-        if not isinstance(sibling, Node):
-            continue
-        paragraph = sibling.name in ("p", "pre", "blockquote", "ul", "ol", "table", "figure") and sibling.chars
-        if (sibling is best or sibling.name in HEADINGS or sibling.score * (1 - _links(sibling)) >= at_least
-                or (paragraph and _links(sibling) < 0.25 and sibling.chars > 80)):
-            kept.append(sibling)
-    return kept
+
+    def belongs(part: Node) -> bool:
+        if part.name in HEADINGS or part.score * (1 - _links(part)) >= at_least:
+            return True
+        if holder:
+            return part.name in PARAGRAPHS or _links(part) <= 0.5
+        return _links(part) < 0.25
+
+    before, after, node, top = [], [], best, holder or best.parent
+    while node is not top:
+        around = node.parent.children
+        at = next(i for i, c in enumerate(around) if c is node)
+        before.append([p for p in _parts(around[:at]) if belongs(p)])
+        after.append([p for p in _parts(around[at + 1:]) if belongs(p)])
+        node = node.parent
+    return [*(p for level in reversed(before) for p in level), best, *(p for level in after for p in level)]
 
 
 def main_text(html: str) -> str:
