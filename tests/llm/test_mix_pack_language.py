@@ -222,6 +222,34 @@ def test_language_edge_cases(spark):
     assert {r.lang_pred for r in language.predict(labelled, nothing, "lang").collect()} == {"und"}
 
 
+@pytest.mark.parametrize("size", [60, 3_000])
+def test_documents_of_large_alphabets_stay(spark, size):
+    rng = random.Random(size)
+
+    def text(lang, letters):
+        if lang in "de en":
+            return " ".join(rng.choice(WORDS[lang]) for _ in range(letters // 5))
+        first, kinds = {"zh": (0x4E00, 3_000), "ko": (0xAC00, 2_000)}[lang]
+        return "".join(chr(first + min(int(kinds ** rng.random()) - 1, kinds - 1)) for _ in range(letters))
+
+    def rows(n):
+        return [(i * 4 + j, text(lang, 200), lang) for i in range(n) for j, lang in enumerate(("de", "en", "ko", "zh"))]
+
+    schema = "doc_id long, text string, lang string"
+    model = language.learn(spark.createDataFrame(rows(size), schema))
+    assert dict(zip(model.languages, model.by_letter.tolist())) == {"de": False, "en": False, "ko": True, "zh": True}
+    new = rows(20)
+    assert sorted(r.doc_id for r in language.accepted(spark.createDataFrame(new, schema), model).collect()) == list(range(80))
+    found = language.predict(spark.createDataFrame(new, schema), model, carry=["lang"]).collect()
+    assert all(r.lang_pred == r.lang for r in found)
+    other = spark.createDataFrame([(1, "жук и кот", "ru"), (2, "ქართული ენა", "ka")], schema)
+    assert language.accepted(other, model).count() == 0
+
+
+WORDS = {"en": "the cat and hat with that thing which was there when she would have been".split(),
+         "de": "der hund und die katze nicht auch schon über eine zwischen werden würde".split()}
+
+
 def test_languages_beyond_one_byte_of_bits(spark):
     rows = [(f"{c * 3} {c * 2}q {c}w", f"l{i:02}") for i, c in enumerate("abcdefghijklmnop")]
     model = language.learn(spark.createDataFrame(rows, "text string, lang string"))

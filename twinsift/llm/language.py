@@ -5,6 +5,10 @@ per language. A language keeps the trigrams that make up at least ``MIN_SHARE``
 are no rarer there than ``RATIO`` times their share in the language that uses them most. At most
 ``1 / MIN_SHARE`` trigrams per language can pass, so the model's size is bounded whatever was read.
 
+A language with hundreds of letters has hardly any trigram that common. Where the kept trigrams
+cover less than ``COVERED`` of its letters, a language with more than ``MANY_LETTERS`` kept letters is
+known by single letters, chosen by the same two cuts.
+
 The model is a Bloom filter in bit slices: every slot holds one bit per language, and the
 AND over a trigram's slots is the set of languages that contain it. For a text, the hits of
 each language are counted over all its letters, the hits expected from false positives are taken
@@ -32,7 +36,13 @@ HASHES = 4
 SLOTS_PER_GRAM = 10
 UNDETERMINED = "und"
 
-# The pipeline's filter: texts with less than this share of letters in known trigrams go.
+# A language is known by letters instead of trigrams below this coverage and beyond so many letters.
+COVERED = 0.5
+MANY_LETTERS = 256
+# Stands before a single letter in place of the letter before; no code point is that large.
+ALONE = 0x1FFFFF << 42
+
+# The pipeline's filter: texts with a score below this share of their language's usual score go.
 REJECT_BELOW = 0.2
 
 
@@ -85,14 +95,22 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Model:
-    """``slots`` has one row of language bits per slot, ``false_positive`` one rate per language."""
+    """``slots`` has one row of language bits per slot; ``false_positive`` (a rate), ``by_letter`` and
+    ``usual`` (the share of a training letter's kind that other training letters make known) have one value per language."""
 
     languages: list[str]
     slots: np.ndarray
     false_positive: np.ndarray
+    by_letter: np.ndarray
+    usual: np.ndarray
     fallback: str
 
 
+def _letters(grams: np.ndarray) -> np.ndarray:
+    """Trigrams as their middle letters."""
+    return grams & (0x1FFFFF << 21) | ALONE
+
+
 def _slots_of(grams: np.ndarray, size: int) -> Iterator[np.ndarray]:
     one = mix64(grams.view(np.uint64))
     two = mix64(one ^ np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -107,13 +125,24 @@ def learn(labelled: DataFrame) -> Model:
         rows.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")),
         "trigrams")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    shares = counts.join(totals, "lang").withColumn("share", F.col("n") / F.col("total")).where(
+    alone = F.col("gram").bitwiseAND(F.lit(0x1FFFFF << 21)).bitwiseOR(F.lit(ALONE))
+    letters = counts.groupBy("lang", alone.alias("gram")).agg(F.sum("n").alias("n"))
+    shares = counts.unionByName(letters).join(totals, "lang").withColumn("share", F.col("n") / F.col("total")).where(
         F.col("share") >= MIN_SHARE)
     most = shares.groupBy("gram").agg(F.max("share").alias("most"))
-    kept = shares.join(most, "gram").where(F.col("share") >= RATIO * F.col("most")).select("lang", "gram", "total")
+    kept = shares.join(most, "gram").where(F.col("share") >= RATIO * F.col("most")).select("lang", "gram", "n", "total")
     found = kept.toPandas()
     if not len(found):
-        return Model([], np.zeros((1, 1), np.uint8), np.zeros(0), UNDETERMINED)
+        return Model([], np.zeros((1, 1), np.uint8), np.zeros(0), np.zeros(0, bool), np.zeros(0), UNDETERMINED)
+    # Each training letter against the others: a gram seen once is not known without it.
+    found["known"] = found["n"].where(found["n"] > 1, 0) / found["total"]
+    found["alone"] = found["gram"] >= ALONE
+    kinds = found.groupby(["lang", "alone"])["known"].agg(["sum", "size"]).unstack(fill_value=0).reindex(
+        columns=[(k, alone) for k in ("sum", "size") for alone in (False, True)], fill_value=0)
+    by_letter = (kinds["sum", False] < COVERED) & (kinds["size", True] > MANY_LETTERS)
+    by_letter |= kinds["size", False] == 0
+    usual = kinds["sum", True].where(by_letter, kinds["sum", False])
+    found = found[found["alone"] == found["lang"].map(by_letter)]
     languages = sorted(found["lang"].unique())
     number = found["lang"].map({name: i for i, name in enumerate(languages)}).to_numpy()
     grams = found["gram"].to_numpy(np.int64)
@@ -122,22 +151,24 @@ def learn(labelled: DataFrame) -> Model:
     for slot in _slots_of(grams, size):
         bits[slot, number] = True
     largest = found.sort_values(["total", "lang"], ascending=[False, True])["lang"].iloc[0]
-    return Model(languages, np.packbits(bits, axis=1), bits.mean(axis=0) ** HASHES, largest)
+    return Model(languages, np.packbits(bits, axis=1), bits.mean(axis=0) ** HASHES,
+                 by_letter[languages].to_numpy(bool), usual[languages].to_numpy(float), largest)
 
 
 def judge(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:
-    """(language, score) per text; the score is the share of letters in the language's trigrams."""
+    """(language, score) per text; the score is the share of letters in the language's trigrams (or letters)."""
     grams, text = trigrams(texts)
     letters = np.bincount(text, minlength=len(texts))
     if not model.languages:
         return [UNDETERMINED] * len(texts), np.zeros(len(texts))
-    sets = None
-    for slot in _slots_of(grams, len(model.slots)):
-        found = model.slots[slot]
-        sets = found if sets is None else sets & found
+    sets = {}
+    for alone in set(model.by_letter.tolist()):
+        for slot in _slots_of(_letters(grams) if alone else grams, len(model.slots)):
+            found = model.slots[slot]
+            sets[alone] = found if alone not in sets else sets[alone] & found
     hits = np.empty((len(model.languages), len(texts)))
     for i, rate in enumerate(model.false_positive):
-        bit = (sets[:, i // 8] >> np.uint8(7 - i % 8)) & np.uint8(1)
+        bit = (sets[bool(model.by_letter[i])][:, i // 8] >> np.uint8(7 - i % 8)) & np.uint8(1)
         raw = np.bincount(text, bit, minlength=len(texts))
         hits[i] = np.clip((raw - letters * rate) / (1 - rate if rate < 1 else 1), 0, None)
     best = hits.argmax(axis=0)
@@ -180,10 +211,12 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows whose text is in a known language, with their own columns.
 
-    A text goes if it has no letter, or if less than ``REJECT_BELOW`` of its letters are
-    in trigrams of its best language.
+    A text goes if it has no letter, or none in the trigrams (or letters) of its best language, or if
+    its score is less than ``REJECT_BELOW`` of what that language's own training letters score.
     """
     own = ("_twinsift_language", "_twinsift_score")
     judged = predict(docs, model, docs.columns[0], text_col, docs.columns, own)
-    return judged.where((F.col(own[0]) != UNDETERMINED) & (F.col(own[1]) >= REJECT_BELOW)).select(
-        *[field(c) for c in docs.columns])
+    levels = [F.when(F.col(own[0]) == name, F.lit(float(REJECT_BELOW * usual)))
+              for name, usual in zip(model.languages, model.usual)]
+    return judged.where((F.col(own[0]) != UNDETERMINED) & (F.col(own[1]) > 0)
+                        & (F.col(own[1]) >= F.coalesce(*levels, F.lit(0.0)))).select(*[field(c) for c in docs.columns])
