@@ -155,6 +155,26 @@ def test_pairs_are_counted_without_being_listed(spark, rows):
                    ("labour", "labour"): (2, round((.8 + .9) / 2, 6), 0.9)}
 
 
+def test_missing_surveys_are_counted_as_in_the_listed_pairs(spark, rows):
+    named = {"a": None, "b": None, "c": None, "d": "Health", "e": "labour", "f": "HEALTH ", "g": None, "h": "x", "i": "y", "j": None}
+    keeper = {**dict.fromkeys("abcdef", "a"), **dict.fromkeys("gh", "g")}
+    questions = spark.createDataFrame(list(named.items()), "question_id string, survey_name string")
+    members = spark.createDataFrame(list(keeper.items()), "id string, keeper string")
+    copies = spark.createDataFrame([("a", 6, 1.0), ("g", 2, 1.0), ("i", 1, 1.0), ("j", 1, 1.0)],
+                                   "keeper string, copies long, similarity double")
+    found = spark.createDataFrame([("a", "i", 0.8, 6, 1), ("g", "j", 0.9, 2, 1)],
+                                  "id1 string, id2 string, similarity double, copies1 long, copies2 long")
+    similar = {("a", "i"): 0.8, ("g", "j"): 0.9}
+    listed = [(a, b, named[a], named[b], 1.0 if ka == kb else similar[ka, kb]) for a in named for b in named if a < b
+              for ka, kb in [(keeper.get(a, a), keeper.get(b, b))] if ka == kb or (ka, kb) in similar]
+    spark.createDataFrame(listed, "id1 string, id2 string, survey1 string, survey2 string, similarity double").createOrReplaceTempView("detailed")
+    want = spark.sql("""SELECT least(lower(trim(survey1)), lower(trim(survey2))) AS survey_a,
+        greatest(lower(trim(survey1)), lower(trim(survey2))) AS survey_b, count(*) AS pairs,
+        round(avg(similarity), 4) AS avg_similarity, round(max(similarity), 4) AS max_similarity FROM detailed GROUP BY 1, 2""")
+    got = reports.survey_redundancy(found, copies, members, questions)
+    assert rows(got.select("survey_a", "survey_b", "pairs", F.round("avg_similarity", 4), F.round("max_similarity", 4))) == rows(want)
+
+
 def test_upsert_of_one_key_twice_and_of_an_unknown_label(spark, rows):
     stored = spark.createDataFrame([], FEEDBACK)
     new = spark.createDataFrame([("a", "b", 0.9, "duplicate", ""), ("a", "b", 0.9, "different", "")],
