@@ -1,8 +1,8 @@
 """Exact duplicates by sorting contents [DataFrame functions only].
 
-Texts are equal when they agree in every byte after white space is deleted. Rows are dealt
-into ranges of their normalised text by sampled splitters, each range is sorted by the whole
-text (spilling to disk as needed), so equal texts are neighbours, and neighbours are compared
+Texts are equal when they agree in every byte after white space is deleted. Rows get the
+number of a range by sampled splitters of a key (first characters, SHA-256, salt), are dealt by the hash
+of range and normalised text, and sorted by both (spilling to disk as needed), so equal texts are compared
 in full. Of equal texts the one with the most code points before normalisation stays, then
 the smallest id.
 
