@@ -1,0 +1,284 @@
+"""Hard negatives, the prefix trie and SimHash against plain Python."""
+
+import itertools
+import math
+import os
+import random
+import sys
+import zlib
+from collections import defaultdict
+from hashlib import sha256
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+from twinsift.llm import hard_negatives, prefix_trie, queries, simhash  # noqa: E402
+
+SF = "/root/testdata/sf0.001"
+
+
+# ---- hard negatives -----------------------------------------------------------------------
+
+
+def negatives_of(rows, anchors, positives=5, negatives=3):
+    """Results for (id, vector, label) rows, of which ``anchors`` holds the places."""
+    usable = [i for i, (_, v, label) in enumerate(rows)
+              if label is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    ints = {i: [math.floor(256 * x) for x in rows[i][1]] for i in usable}
+    out = []
+    for a in usable:
+        if a not in anchors:
+            continue
+        scored = sorted(
+            ((-sum(x * y for x, y in zip(ints[a], ints[b])), rows[b][0] is None, rows[b][0] or 0, b) for b in usable if b != a))
+        same = [s for s in scored if rows[s[3]][2] == rows[a][2]][:positives]
+        other = [s for s in scored if rows[s[3]][2] != rows[a][2]]
+        for positive in same:
+            p = -positive[0]
+            hits = [s for s in other if 50 * p <= -100 * s[0] <= 95 * p][:negatives]
+            out += [(rows[a][0], rows[positive[3]][0], rank, rows[s[3]][0], p, -s[0]) for rank, s in enumerate(hits, 1)]
+    return sorted(out, key=repr)
+
+
+def mined(spark, rows, **options):
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label string")
+    df = df.withColumns({"row": F.lit(1), "planes": F.lit("x"), "id": F.lit(2)})
+    return hard_negatives.hard_negatives(df, F.col("vec_id") % 3 == 0, **options)
+
+
+def test_scores_are_inner_products():
+    generator = np.random.default_rng(5)
+    values = generator.integers(-300, 300, (700, 24))
+    values[0] = -512
+    planes = hard_negatives.bit_planes(values, 10)
+    assert (hard_negatives.from_planes(planes) == values).all()
+    assert (hard_negatives.scores(values[:9], planes) == values[:9] @ values.T).all()
+
+
+def test_hard_negatives_on_random_rows(spark, rows):
+    draw = random.Random(3)
+    given = [(i, [float(np.float32(draw.uniform(-1, 1))) for _ in range(11)], draw.choice("abc")) for i in range(60)]
+    given += [(100, given[4][1], "a"), (101, given[4][1], "b"), (102, given[4][1], "a")]
+    want = negatives_of(given, {i for i, r in enumerate(given) if r[0] % 3 == 0})
+    assert rows(mined(spark, given)) == want
+    assert len(want) > 50
+
+
+def test_hard_negatives_edges(spark, rows):
+    one = [0.5, 0.25]
+    given = [
+        (0, one, "a"), (0, one, "a"), (3, one, "a"), (4, one, "a"), (None, one, "a"), (None, one, "b"),
+        (5, [0.375, 0.25], "b"), (6, [0.375, 0.25], "b"), (7, [0.375, 0.25], "b"), (8, [0.375, 0.25], "c"),
+        (9, one, None), (12, None, "a"), (15, [0.5, None], "a"), (18, [0.5, float("nan")], "a"),
+        (21, [0.5, float("inf")], "a"), (24, [], "a"), (27, [0.5], "b"), (30, [-0.5, 0.25, 0.125], "c")]
+    want = negatives_of(given, {i for i, r in enumerate(given) if r[0] is not None and r[0] % 3 == 0})
+    assert rows(mined(spark, given)) == want
+    assert any(r[0] == 0 and r[1] == 0 for r in want)
+    assert rows(mined(spark, [])) == []
+    assert rows(mined(spark, [(1, one, "a"), (2, one, "b")])) == []
+    with pytest.raises(ValueError, match="64 bits"):
+        mined(spark, [(0, [3e8, 1.0], "a")])
+
+
+def test_hard_negatives_in_many_blocks(spark, rows, monkeypatch):
+    monkeypatch.setattr(hard_negatives, "CANDIDATE_ROWS", 5)
+    monkeypatch.setattr(hard_negatives, "ANCHOR_ROWS", 4)
+    draw = random.Random(9)
+    given = [(i, [draw.uniform(-1, 1) for _ in range(8)], draw.choice("ab")) for i in range(70)]
+    given = [(i, [float(np.float32(x)) for x in v], label) for i, v, label in given]
+    assert rows(mined(spark, given)) == negatives_of(given, set(range(0, 70, 3)))
+
+
+# ---- prefix trie --------------------------------------------------------------------------
+
+
+def trie_of(sequences):
+    """Rows of the trie of {conv: [(role, text), ...]}."""
+    members, ends = defaultdict(list), defaultdict(list)
+    for conv, turns in sequences.items():
+        ends[tuple(turns)].append(conv)
+        for depth in range(len(turns) + 1):
+            members[tuple(turns[:depth])].append(conv)
+    children = defaultdict(list)
+    for path in members:
+        if path:
+            children[path[:-1]].append(path)
+
+    def below(path):
+        saved = (len(members[path]) - 1) * len(path[-1][1]) if path else 0
+        leaves = 0 if children[path] else 1
+        for child in children[path]:
+            more = totals[child]
+            leaves, saved = leaves + more[0], saved + more[1]
+        return leaves, saved
+
+    totals = {}
+    for path in sorted(members, key=len, reverse=True):
+        totals[path] = below(path)
+    return sorted((
+        (min(who), len(path), min(members[path[:-1]]) if path else None, len(who), len(children[path]), *totals[path],
+         sha256(",".join(map(str, sorted(ends[path]))).encode()).hexdigest()) for path, who in members.items()), key=repr)
+
+
+def ordered(rows):
+    """{conv: turns} of (conv, turn, role, text) rows."""
+    by_conv = defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            role, text = role or "", text or ""
+            tie = sha256(f"{len(role)}:{role}{text}".encode()).hexdigest()[:32]
+            by_conv[conv].append((turn is not None, turn or 0, tie, (role, text)))
+    return {conv: [t[3] for t in sorted(turns)] for conv, turns in by_conv.items()}
+
+
+def rebuilt(sequences):
+    out = {}
+    for conv, turns in sequences.items():
+        h = zlib.crc32(str(conv).encode()) % 6
+        base = conv - int(math.fmod(conv, 100))
+        out[conv] = sequences.get(base, [])[:h] + turns[h:]
+    return out
+
+
+def conversations(spark, rows):
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    return df.withColumns({"conv": F.lit(1), "position": F.lit("x"), "row": F.lit(2)})
+
+
+def trie(spark, rows):
+    return prefix_trie.prefix_trie(*prefix_trie.as_they_are(prefix_trie.turn_ids(conversations(spark, rows))))
+
+
+def test_trie_of_the_given_table(spark, rows):
+    given = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    assert rows(queries.op12_prefix_trie(spark, SF)) == trie_of(rebuilt(ordered(given)))
+
+
+def test_long_conversations_go_over_many_blocks(spark, rows):
+    draw = random.Random(4)
+    trunk = [(draw.choice(("user", "assistant")), "x" * draw.randint(0, 9)) for _ in range(90)]
+    given = []
+    for conv in range(24):
+        cut = draw.choice((0, 7, 8, 9, 16, 40, 64, 72, 90))
+        tail = [("user", draw.choice("abc")) for _ in range(draw.choice((0, 1, 8, 30)))]
+        given += [(conv, turn, *message) for turn, message in enumerate((trunk[:cut] + tail) or [("user", "")])]
+    want = trie_of(ordered(given))
+    assert rows(trie(spark, given)) == want
+    assert max(r[1] for r in want) > 64
+
+
+def test_trie_edges(spark, rows):
+    given = [
+        (1, None, "user", "first"), (1, 0, None, "x"), (1, 1, "user", None), (1, 1, "user", "tie"), (1, 1, "user", "tie"),
+        (2, 5, "user", "first"), (2, 6, "", "x"), (None, 0, "user", "nobody"), (-5, 0, "user", "first"),
+        (3, 0, "user", "a:" + "ß" * 50_000), (4, 0, "user", "a:" + "ß" * 50_000), (5, 0, "use", "r" + "a")]
+    assert rows(trie(spark, given)) == trie_of(ordered(given))
+    assert rows(trie(spark, [])) == []
+
+
+def test_rebuilding_without_a_base(spark, rows):
+    given = [(conv, turn, "user", str(turn % 2)) for conv in (-7, 0, 3, 101, 102, 103, 104, 250) for turn in range(abs(conv) % 4)]
+    given += [(200, 0, "user", "0")]
+    turns = prefix_trie.turn_ids(conversations(spark, given))
+    conv = F.col("conv")
+    got = prefix_trie.prefix_trie(*prefix_trie.with_shared_heads(
+        turns, conv - conv % 100, (F.crc32(conv.cast("string").cast("binary")) % 6).cast("int"), 5))
+    sequences = rebuilt(ordered(given))
+    assert any(not turns for turns in sequences.values())
+    assert rows(got) == trie_of(sequences)
+
+
+def test_ends_in_many_pieces(spark, rows, monkeypatch):
+    monkeypatch.setattr(prefix_trie, "PIECE_IDS", 3)
+    given = [(conv, 0, "user", "same") for conv in range(11)] + [(40, 0, "user", "other")]
+    assert rows(trie(spark, given)) == trie_of(ordered(given))
+
+
+# ---- SimHash ------------------------------------------------------------------------------
+
+
+def plain_fingerprint(text):
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    for space in "\t\n\x0b\x0c\r":
+        lower = lower.replace(space, " ")
+    words = [w for w in lower.split(" ") if w]
+    if not words:
+        return 0
+    shingles = [" ".join(words[i:i + 3]) for i in range(len(words) - 2)] or [" ".join(words)]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def smallest_reachable(values):
+    """{value: smallest id} for {id: fingerprint}, by comparing all pairs."""
+    least = {}
+    for doc, value in values.items():
+        least[value] = min(doc, least.get(value, doc))
+    distinct, moved = list(least), True
+    near = [(a, b) for a, b in itertools.combinations(distinct, 2) if (a ^ b).bit_count() <= 2]
+    while moved:
+        moved = False
+        for a, b in near:
+            low = min(least[a], least[b])
+            moved |= least[a] != least[b]
+            least[a] = least[b] = low
+    return least
+
+
+def test_masks_cover_every_pair_of_positions():
+    for level in range(simhash.LEVELS):
+        masks = simhash.covering_masks(level)
+        for i, j in itertools.combinations_with_replacement(range(64), 2):
+            assert any(not mask >> i & 1 and not mask >> j & 1 for mask in masks)
+    free = [64 - (a | b | c).bit_count() for a in simhash.covering_masks(0) for b in simhash.covering_masks(1)
+            for c in simhash.covering_masks(2)]
+    assert 2 ** max(free) <= simhash.BUCKET_ROWS
+
+
+def test_fingerprints_of_the_given_table(spark):
+    given = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    values = {doc: plain_fingerprint(text) for doc, text in given.items()}
+    least = smallest_reachable(values)
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op13_simhash(spark, SF).collect()}
+    assert got == {doc: (f"{value:016x}", least[value]) for doc, value in values.items()}
+    assert len({c for _, c in got.values()}) < len(got)
+
+
+@pytest.mark.parametrize("bucket", [2, 1_024])
+def test_links_of_dense_fingerprints(spark, monkeypatch, bucket):
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", bucket)
+    draw = random.Random(bucket)
+    values = {draw.getrandbits(64) for _ in range(150)}
+    center = draw.getrandbits(64)
+    values |= {center ^ (1 << i) for i in range(0, 64, 2)}
+    chain = draw.getrandbits(64)
+    for i in range(40):
+        chain ^= 1 << i % 64 | 1 << (i * 7 + 3) % 64
+        values.add(chain)
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    edges = simhash.links(spark.createDataFrame([(v,) for v in signed], "fingerprint bigint")).collect()
+    assert all(((e.id1 ^ e.id2) & (1 << 64) - 1).bit_count() <= 2 for e in edges)
+    want = smallest_reachable(dict(zip(signed, signed)))
+    found = dict(zip(signed, signed))
+    for _ in range(len(values)):
+        for e in edges:
+            found[e.id1] = found[e.id2] = min(found[e.id1], found[e.id2])
+    assert found == want
+
+
+def test_simhash_edges(spark):
+    long = " ".join(f"Word{i % 977}" for i in range(200_000))
+    texts = [None, "", " \t\n", "One", "one", "one  TWO", "one\ttwo", "a b c", "A B\nC ", "ÀB c d", "àB c d", long, long + " end", "a b c"]
+    given = [(i, text, i, "x", "y") for i, text in enumerate(texts)]
+    docs = spark.createDataFrame(given, "doc_id bigint, text string, fingerprint int, rows string, cluster_id string")
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    values = {i: plain_fingerprint(text) for i, text in enumerate(texts)}
+    least = smallest_reachable(values)
+    assert got == {i: (f"{value:016x}", least[value]) for i, value in values.items()}
+    assert simhash.near_duplicates(docs.limit(0)).collect() == []
+    nobody = simhash.near_duplicates(docs.withColumn("doc_id", F.lit(None).cast("bigint"))).collect()
+    assert len(nobody) == len(texts) and {r.component_id for r in nobody} == {None}

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from twinsift.lineage import fresh_path, stage
-from twinsift.llm import (chat, exact_dedup, fingerprints, language, main_text, mixing, near_dedup, packing, personal_data,
-                          warc)
+from twinsift.llm import (chat, exact_dedup, fingerprints, hard_negatives, language, main_text, mixing, near_dedup, packing,
+                          personal_data, prefix_trie, simhash, warc)
 from twinsift.llm.common import read_table
 
 
@@ -75,11 +75,31 @@ def op10_warc(spark, folder):
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_hard_negatives(spark, folder):
+    """Mines negatives for every fiftieth vector; every seventh label is one further."""
+    vec_id, label = F.col("vec_id"), F.col("label").cast("bigint")
+    return hard_negatives.hard_negatives(
+        read_table(spark, folder, "embeddings"), vec_id % 50 == 0,
+        label=F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label))
+
+
+def op12_prefix_trie(spark, folder):
+    """Conversations begin with up to five turns of the one that opens their hundred."""
+    turns = prefix_trie.turn_ids(read_table(spark, folder, "conversations"))
+    conv = F.col("conv")
+    return prefix_trie.prefix_trie(*prefix_trie.with_shared_heads(
+        turns, conv - conv % 100, (F.crc32(conv.cast("string").cast("binary")) % 6).cast("int"), longest=5))
+
+
+def op13_simhash(spark, folder):
+    return simhash.near_duplicates(read_table(spark, folder, "documents"))
+
+
 def queries() -> dict:
     import corpus_pipeline
 
     named = (op1_main_text, op2_pack, op3_chat, op4_personal_data, op5_language, op6_fingerprints, op7_mix, op8_near_dedup,
-             op9_exact_dedup, op10_warc)
+             op9_exact_dedup, op10_warc, op11_hard_negatives, op12_prefix_trie, op13_simhash)
     return {f.__name__: f for f in named} | {"pipeline": corpus_pipeline.run}
 
 
@@ -179,5 +199,62 @@ FROM dealt
 """
 
 
+OP11_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS n, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label::BIGINT END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.n AS a, a.vec_id AS anchor_id, b.vec_id AS other_id, b.n, a.label = b.label AS same,
+         list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.n <> b.n WHERE a.vec_id % 50 = 0),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, other_id NULLS LAST, n) AS place FROM s WHERE same),
+r AS (
+  SELECT p.anchor_id, p.other_id AS positive_id, s.other_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.a, p.place ORDER BY s.score DESC, s.other_id NULLS LAST, s.n) AS rank
+  FROM p JOIN s ON s.a = p.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+  WHERE p.place <= 5)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM r WHERE rank <= 3
+"""
+
+
+OP12_SQL = """
+WITH t AS (
+  SELECT conv_id, turn, left(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 32)
+         || '.' || length(coalesce(text, '')) AS id
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(id ORDER BY turn NULLS FIRST, id) AS ids FROM t GROUP BY conv_id),
+h AS (
+  SELECT conv_id, ids, conv_id - conv_id % 100 AS base, (xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+      lambda c: list_transform(range(8), lambda i: ((ord(c) >> i::INTEGER) & 1)::BIGINT)))),
+    lambda crc, bit: xor(crc >> 1, 3988292384::BIGINT * xor(crc & 1, bit)))) % 6)::BIGINT AS h
+  FROM own),
+c AS (
+  SELECT h.conv_id, list_concat(coalesce(b.ids, [])[1:h], h.ids[h + 1:]) AS ids
+  FROM h LEFT JOIN own b ON b.conv_id = h.base),
+e AS (SELECT conv_id, ids, unnest(range(len(ids) + 1)) AS depth FROM c),
+n AS (
+  SELECT ids[1:depth] AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(ids) = depth), '')) AS ends_sha256
+  FROM e GROUP BY 1, 2),
+k AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+v AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children,
+         CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * split_part(path[depth], '.', 2)::BIGINT END AS saved
+  FROM n LEFT JOIN k USING (path)),
+up AS (SELECT path, n_children, saved, unnest(range(depth + 1)) AS above FROM v),
+s AS (
+  SELECT path[1:above] AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+  FROM up GROUP BY 1)
+SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens, v.ends_sha256
+FROM v JOIN s USING (path) LEFT JOIN n p ON v.depth > 0 AND p.path = v.path[1:v.depth - 1] AND p.depth = v.depth - 1
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op7_mix": OP7_SQL, "op6_fingerprints": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op10_warc": OP10_SQL}
+    return {"op7_mix": OP7_SQL, "op6_fingerprints": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op10_warc": OP10_SQL,
+            "op11_hard_negatives": OP11_SQL, "op12_prefix_trie": OP12_SQL}
