@@ -10,8 +10,10 @@ CHUNK_ROWS = 1_000
 
 
 def lookup(big: DataFrame, small: DataFrame, key: str | list[str], rows: str, total: int | None = None,
-           hot_rows: int | None = None) -> DataFrame:
-    """Inner join of ``big`` with ``small``, which has one row per key and should be a stored table.
+           hot_rows: int | None = None, how: str = "inner") -> DataFrame:
+    """Join of ``big`` with ``small``, which has one row per key and should be a stored table.
+
+    Inner, or ``how="left"`` to keep the rows of ``big`` without a partner.
 
     ``rows`` is the column of ``small`` that tells how many rows ``big`` has for the
     key; it stays in the result. A key with more rows than an even share of a partition
@@ -31,7 +33,7 @@ def lookup(big: DataFrame, small: DataFrame, key: str | list[str], rows: str, to
     salt = F.pmod(F.xxhash64(*big.columns), F.coalesce("_shares", F.lit(1)).cast("bigint"))
     salted = big.join(hot, keys, "left").withColumn("_salt", salt.cast("int")).drop("_shares")
     repeated = shared.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1))).drop("_shares")
-    return salted.join(repeated, [*keys, "_salt"]).drop("_salt")
+    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
 def chunk_count(rows: Column, chunk_rows: int) -> Column:
