@@ -80,9 +80,10 @@ def test_mix_of_repeated_rows_and_nothing(spark):
 
 
 def test_quality_raises_the_chance(spark):
-    frame = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x y z").alias("text"), F.when(
-        F.col("id") % 4 == 0, "a").otherwise(F.concat(F.lit("b"), F.col("id") % 2)).alias("source"))
-    quality = spark.range(4000).select("id", F.when(F.col("id") % 8 < 4, 4.0).otherwise(1.0).alias("weight"))
+    # Sizes 5, 3 and 4 share 18: the first stops at 10, the others split 8 by 2 to 1, so the last is cut to 2.67.
+    frame = spark.range(4800).select(F.col("id").alias("doc_id"), F.lit("x y z").alias("text"), F.when(
+        F.col("id") % 12 < 5, "a").when(F.col("id") % 12 < 8, "b").otherwise("c").alias("source"))
+    quality = spark.range(4800).select("id", F.when(F.col("id") % 8 < 4, 4.0).otherwise(1.0).alias("weight"))
     part = mixing.mix(frame, quality).where("target < source_size").select((F.col("id") % 8 < 4).alias("good"), "taken")
     rates = {r.good: r.t for r in part.groupBy("good").agg(F.avg("taken").alias("t")).collect()}
     assert rates[True] > 1.3 * rates[False]

@@ -193,6 +193,54 @@ def test_foreign_archives(spark, tmp_path):
     assert bytes(got["p"].payload) == b"before WARC/1.1\r\nafter"
 
 
+def cut_record(name, block, missing):
+    return record({"WARC-Type": "response", "WARC-Record-ID": name}, block + b"x" * missing)[:-missing - 4]
+
+
+def read_all(spark, folder):
+    return Counter((r.id, r.complete, None if r.payload is None else bytes(r.payload)) for r in warc.reassemble(
+        warc.read_records(spark, str(folder))).select(F.col("fields")["warc-record-id"].alias("id"), "complete", "payload").collect())
+
+
+def test_truncated_records_do_not_swallow_others(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\n\r\n"
+
+    def whole(name, body):
+        return record({"WARC-Type": "response", "WARC-Record-ID": name}, http + body)
+
+    parts = [whole("a", b"A"), cut_record("b", http + b"B", 90), whole("c", b"C"), whole("d", b"D" * 500)]
+    (tmp_path / "one.warc").write_bytes(b"".join(parts))
+    (tmp_path / "two.warc").write_bytes(whole("e", b"E") + cut_record("f", http, 5000) + cut_record("g", http, 9000))
+    (tmp_path / "three.warc").write_bytes(
+        whole("h", b"H") + b"WARC/1.1\r\nWARC-Record-ID: i\r\nContent-Length: 99999999999999999999\r\n\r\nI" + whole("j", b"J")
+        + whole("k", whole("inside", b"K")))
+    assert read_all(spark, tmp_path) == Counter([
+        ("a", True, b"A"), ("b", False, None), ("c", True, b"C"), ("d", True, b"D" * 500), ("e", True, b"E"),
+        ("f", False, None), ("g", False, None), ("h", True, b"H"), ("i", False, None), ("j", True, b"J"),
+        ("k", True, whole("inside", b"K"))])
+
+
+def test_many_truncated_records(spark, tmp_path):
+    (tmp_path / "a.warc").write_bytes(b"".join(cut_record(str(i), b"x", 700) for i in range(3000)))
+    assert read_all(spark, tmp_path) == Counter({(str(i), False, None): 1 for i in range(3000)})
+
+
+def test_continuations_without_a_first_segment(spark, tmp_path):
+    fields = {"WARC-Type": "continuation", "WARC-Segment-Origin-ID": "gone"}
+    (tmp_path / "a.warc").write_bytes(b"".join(
+        record(fields | {"WARC-Record-ID": f"s{n}", "WARC-Segment-Number": n}, b"x") for n in (3, 2, "?")))
+    assert read_all(spark, tmp_path) == Counter([("s?", False, None)])
+
+
+def test_revisits_take_what_their_response_has(spark):
+    pages = spark.createDataFrame(
+        [(1, 5, "d", "response", None), (2, 99, "d", "revisit", 1), (3, 7, "e", "response", None)],
+        "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    assert {r.page_id: r.payload_bytes for r in warc.resolve_revisits(pages).collect()} == {1: 5, 2: 5, 3: 7}
+    with pytest.raises(Exception, match="no response for the revisit of page 1"):
+        warc.resolve_revisits(pages.where("page_id <> 1")).collect()
+
+
 def test_damaged_archive_is_an_error(spark, tmp_path):
     fields = {"WARC-Type": "response", "WARC-Record-ID": "x", "WARC-Payload-Digest": "sha1:00"}
     (tmp_path / "a.warc").write_bytes(record(fields, b"HTTP/1.1 200 OK\r\n\r\nbody"))
@@ -377,6 +425,17 @@ def test_searches_are_linear():
     assert time.time() - start < 20
 
 
+def test_long_numbers_and_many_spans():
+    import time
+
+    text = "x " + "0" * 5000 + ".1.1.1 y " + "9" * 5000 + ".1.1.1 z"
+    assert personal_data.personal_data(text) == [("ip", 2, 5008, False)]
+    start = time.time()
+    for part in ("u%d@mail.example ", "u%d at mail dot example ", "10.0.%d.7 ", "u%d@mail.example u%d at mail dot example "):
+        personal_data.personal_data("".join(part.replace("%d", str(i % 250)) for i in range(20_000)))
+    assert time.time() - start < 20
+
+
 def test_personal_data_edge_rows(spark):
     rows = [(1, None), (2, ""), (3, "a@b.co"), (3, "a@b.co"), (None, "1.2.3.4")]
     frame = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, spans string")

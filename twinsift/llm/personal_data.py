@@ -57,7 +57,7 @@ def addresses(text: str) -> Iterator[Span]:
         for i in range(0, len(parts) - 3, 4):
             four = parts[i:i + 4]
             end = start + sum(map(len, four)) + 3
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in four):
+            if all(len(p) <= 3 and int(p or "0") <= 255 for p in (p.lstrip("0") for p in four)):
                 yield "ip", start, end
             start = end + 1
 
@@ -247,8 +247,15 @@ def disguised(text: str) -> list[Span]:
 def personal_data(text: str) -> list[tuple[str, int, int, bool]]:
     """(kind, start, end, added) by start, then kind; added spans lie in no plain one of their kind."""
     base = plain(text)
-    more = [s for s in disguised(text)
-            if not any(kind == s[0] and start <= s[1] and s[2] <= end for kind, start, end in base)]
+    of_kind = {kind: [s for s in base if s[0] == kind] for kind in KINDS}
+    starts = {kind: [s[1] for s in spans] for kind, spans in of_kind.items()}
+
+    def covered(kind: str, start: int, end: int) -> bool:
+        # Plain spans of a kind do not overlap: only the last one that starts here or before can hold it.
+        before = bisect_right(starts[kind], start)
+        return before > 0 and end <= of_kind[kind][before - 1][2]
+
+    more = [s for s in disguised(text) if not covered(*s)]
     spans = [(*s, False) for s in base] + [(*s, True) for s in more]
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 

@@ -71,7 +71,7 @@ def op9_exact_dedup(spark, folder):
 def op10_warc(spark, folder):
     path = fresh_path(spark, "warc")
     warc.write_archive(read_table(spark, folder, "pages"), path)
-    return warc.read_pages(spark, path).select(
+    return warc.resolve_revisits(stage(warc.read_pages(spark, path).drop("payload"), "pages-read")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -8,7 +8,9 @@ name the first record's id, their number, and in the last one the total length.
 Archives are written and read with Spark's text source, records apart by their version
 line, so every store that Spark reaches will do and no file is held as a whole. The
 writer keeps that line out of payloads by ending a chunk inside it. For foreign
-archives the reader joins a record that the line has cut, by its declared length.
+archives the reader joins a record that the line has cut, if the pieces end where its declared
+length does. Otherwise the record was cut short: it is returned as far as it goes and marked, and the
+records behind it are read on their own.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
+from collections import deque
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
@@ -24,7 +27,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, LongType, MapType, StringType, StructField, StructType
 
+from twinsift.lineage import stage
 from twinsift.llm.common import whole
+from twinsift.operators.skew import lookup
 
 VERSION = b"WARC/1.1\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -33,6 +38,8 @@ SEGMENT = 16_384
 CHUNK = 4_096
 SMALLEST_REVISIT = 1_000
 RECORDS_PER_FILE = 2_000
+# A record that declares more than this is damaged; a longer one fits no binary value.
+LONGEST_BLOCK = 2**31 - 1
 
 
 # ---- framing ------------------------------------------------------------------------------
@@ -135,10 +142,11 @@ def with_revisits(pages: DataFrame, smallest: int = SMALLEST_REVISIT) -> DataFra
     """(page_id, url, html, digest, refers_to): of equal payloads the largest page id responds."""
     rows = pages.select("page_id", "url", whole("html").alias("html")).withColumn(
         "digest", F.sha1(F.col("html").cast("binary")))
-    groups = (
+    groups = stage(
         rows.where(F.octet_length("html") >= smallest).groupBy("digest", F.octet_length("html").alias("bytes"))
-        .agg(F.max("page_id").alias("responder"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows"))
-    return rows.withColumn("bytes", F.octet_length("html")).join(groups, ["digest", "bytes"], "left").select(
+        .agg(F.max("page_id").alias("responder"), F.count(F.lit(1)).alias("rows")).where("rows > 1"), "repeated-pages")
+    sized = rows.withColumn("bytes", F.octet_length("html"))
+    return lookup(sized, groups, ["digest", "bytes"], "rows", how="left").select(
         "page_id", "url", "html", "digest",
         F.when(~F.col("page_id").eqNullSafe(F.col("responder")), F.col("responder")).alias("refers_to"))
 
@@ -167,31 +175,98 @@ def write_archive(pages: DataFrame, path: str, segment: int = SEGMENT, smallest:
 
 # ---- reading ------------------------------------------------------------------------------
 
-RECORD = StructType([StructField("fields", MapType(StringType(), StringType())), StructField("block", BinaryType())])
+RECORD = StructType([StructField("fields", MapType(StringType(), StringType())), StructField("block", BinaryType()),
+                     StructField("cut", BooleanType())])
+
+
+class _Records:
+    """Records out of the pieces between version lines, which come file by file."""
+
+    def __init__(self):
+        self.found: list[tuple[dict, bytes, bool]] = []
+        self.file = None
+        self.waiting: deque[bytes] = deque()
+        self._drop()
+
+    def _drop(self) -> None:
+        self.fields, self.size, self.pieces, self.length = None, 0, [], 0
+
+    def add(self, file: str, piece: bytes) -> None:
+        if file != self.file:
+            self.end()
+            self.file = file
+        self.waiting.append(piece)
+        self._work()
+
+    def end(self) -> None:
+        """No piece follows that could belong to the held record."""
+        while self.fields is not None:
+            self._cut()
+            self._work()
+
+    def take(self) -> list[tuple[dict, bytes, bool]]:
+        found, self.found = self.found, []
+        return found
+
+    def _work(self) -> None:
+        while self.waiting:
+            piece = self.waiting.popleft()
+            if self.fields is None:
+                self._open(piece)
+                continue
+            self.pieces.append(piece)
+            self.length += len(VERSION) + len(piece)
+            if self.length >= self.size:
+                self._close()
+
+    def _open(self, piece: bytes) -> None:
+        head, gap, rest = piece.partition(b"\r\n\r\n")
+        fields = headers_of(head)
+        size = fields.get("content-length", "")
+        if not gap or not size.isdecimal() or len(size) > 18 or int(size) > LONGEST_BLOCK:
+            if any(name.startswith("warc-") for name in fields):
+                self.found.append((fields, rest, True))
+        elif len(rest) >= int(size):
+            self.found.append((fields, rest[:int(size)], False))
+        else:
+            self.fields, self.size, self.pieces, self.length = fields, int(size), [rest], len(rest)
+
+    def _close(self) -> None:
+        block = VERSION.join(self.pieces)
+        if block[self.size:].strip(b"\r\n"):
+            self._cut()
+        else:
+            self.found.append((self.fields, block[:self.size], False))
+            self._drop()
+
+    def _cut(self) -> None:
+        """Give up the held record; the pieces that were joined to it wait to be read as records."""
+        self.found.append((self.fields, self.pieces[0], True))
+        self.waiting.extendleft(reversed(self.pieces[1:]))
+        self._drop()
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(fields, block) of every record of the archives below ``path``."""
-    lines = spark.read.option("lineSep", VERSION.decode()).text(path).select(F.col("value").cast("binary").alias("value"))
-    kind = pa.schema([("fields", pa.map_(pa.string(), pa.string())), ("block", pa.binary())])
+    """(fields, block, cut) of every record of the archives below ``path``.
+
+    ``cut`` marks a record that ends before its declared length, or declares none.
+    """
+    lines = spark.read.option("lineSep", VERSION.decode()).text(path).select(
+        F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"))
+    kind = pa.schema([("fields", pa.map_(pa.string(), pa.string())), ("block", pa.binary()), ("cut", pa.bool_())])
+
+    def rows_of(found: list[tuple[dict, bytes, bool]]) -> pa.RecordBatch:
+        columns = [[list(f.items()) for f, _, _ in found], [b for _, b, _ in found], [c for _, _, c in found]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, kind)], schema=kind)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = b""
+        records = _Records()
         for batch in batches:
-            found = []
-            for value in batch.column("value"):
-                held = held + VERSION + value.as_py() if held else value.as_py()
-                head, gap, rest = held.partition(b"\r\n\r\n")
-                fields = headers_of(head)
-                size = fields.get("content-length", "")
-                if not gap or not size.isdigit():
-                    held = b""  # what precedes the first record
-                elif len(rest) >= int(size):
-                    found.append((list(fields.items()), rest[:int(size)]))
-                    held = b""
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([f for f, _ in found], kind.field(0).type), pa.array([b for _, b in found], pa.binary())],
-                schema=kind)
+            for file, value in zip(batch.column("file"), batch.column("value")):
+                records.add(file.as_py(), value.as_py())
+            yield rows_of(records.take())
+        records.end()
+        yield rows_of(records.take())
 
     return lines.mapInArrow(parse, RECORD)
 
@@ -200,27 +275,27 @@ def reassemble(records: DataFrame) -> DataFrame:
     """(fields, http, payload, payload_digest, complete), one row per logical record.
 
     Continuation records are grouped by the id of their origin, ordered by number and joined.
-    A record is complete if its segments are numbered without a gap, add up to the declared
-    total length, and its chunks end. Otherwise its payload is null. A segment that occurs
-    twice counts once.
+    A record is complete if it is not cut, its segments are numbered without a gap, add up to the
+    declared total length, and its chunks end. Otherwise its payload is null. A segment that occurs
+    twice counts once. Continuations whose first segment is missing are one incomplete record,
+    with the fields of the earliest of them.
     """
     number = F.col("fields")["warc-segment-number"]
     single = records.where(number.isNull()).select(
-        "fields", F.array("block").alias("blocks"), F.lit(True).alias("whole"))
+        "fields", F.array("block").alias("blocks"), (~F.col("cut")).alias("whole"))
     parts = records.where(number.isNotNull()).select(
         F.coalesce(F.col("fields")["warc-segment-origin-id"], F.col("fields")["warc-record-id"]).alias("origin"),
-        number.cast("int").alias("number"), "block", "fields")
-    first = F.col("number") == 1
+        F.expr("try_cast(fields['warc-segment-number'] AS int)").alias("number"), "block", "fields", "cut")
     joined = parts.groupBy("origin").agg(
         F.sort_array(F.collect_set(F.struct("number", "block"))).alias("parts"),
-        F.max(F.col("fields")["warc-segment-total-length"].cast("bigint")).alias("total"),
-        F.first(F.when(first, F.map_entries("fields")), ignorenulls=True).alias("entries"))
+        F.max(F.expr("try_cast(fields['warc-segment-total-length'] AS bigint)")).alias("total"), F.max("cut").alias("cut"),
+        F.min(F.struct("number", F.map_entries("fields").alias("entries"))).alias("earliest"))
     sizes = F.aggregate("parts", F.lit(0).cast("bigint"), lambda n, p: n + F.octet_length(p["block"]))
     numbers = F.transform("parts", lambda p: p["number"])
-    segmented = joined.where("entries is not null").select(
-        F.map_from_entries("entries").alias("fields"), F.transform("parts", lambda p: p["block"]).alias("blocks"),
-        F.coalesce((sizes == F.col("total")) & (numbers == F.sequence(F.lit(1), F.size("parts"))), F.lit(False))
-        .alias("whole"))
+    sound = ~F.col("cut") & (sizes == F.col("total")) & (numbers == F.sequence(F.lit(1), F.size("parts")))
+    segmented = joined.select(
+        F.map_from_entries("earliest.entries").alias("fields"), F.transform("parts", lambda p: p["block"]).alias("blocks"),
+        F.coalesce(sound, F.lit(False)).alias("whole"))
     rows = single.unionByName(segmented)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,3 +339,21 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
             F.octet_length("payload").cast("bigint")).alias("payload_bytes"),
         digest.alias("payload_digest"), of("warc-type").alias("record_type"),
         of("x-refers-to-page-id").cast(LongType()).alias("refers_to"))
+
+
+def resolve_revisits(pages: DataFrame) -> DataFrame:
+    """Pages as read, the size and digest of every revisit taken from its response.
+
+    ``pages`` should be a stored table. A revisit whose response is missing or has another digest
+    than the one it declares is an error.
+    """
+    plain = pages.where("record_type <> 'revisit' or record_type is null")
+    revisits = pages.where("record_type = 'revisit'")
+    key = ["refers_to", "payload_digest"]
+    counted = revisits.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"))
+    responses = plain.groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("found"))
+    known = stage(counted.join(responses, key, "left"), "responses")
+    size = F.coalesce("found", F.raise_error(F.concat(
+        F.lit("no response for the revisit of page "), F.coalesce(F.col("refers_to").cast("string"), F.lit("null")))).cast("bigint"))
+    resolved = lookup(revisits, known, key, "rows", how="left").withColumn("payload_bytes", size)
+    return plain.unionByName(resolved.select(*plain.columns))
