@@ -329,10 +329,12 @@ def chosen_clusters(spark, folder):
 
 
 def training_pairs(spark, folder):
-    """Decided pairs of documents; some are undecided and some texts empty or missing."""
+    """Decided pairs of documents, some undecided ones, and pairs with a text that is missing, empty or blank."""
     pairs = stage(_text_pairs(spark, folder), "pairs")
-    return learning.training_pairs(
-        tables.document_feedback(spark, folder, pairs), tables.gappy_questions(spark, folder))
+    decided = tables.document_feedback(spark, folder, pairs).select("id1", "id2", "label")
+    odd = tables.gappy_questions(spark, folder).where("question_id < 0").select(
+        F.col("question_id").alias("id1"), (-1 - F.col("question_id")).alias("id2"), F.lit("duplicate").alias("label"))
+    return learning.training_pairs(decided.unionByName(odd), tables.gappy_questions(spark, folder))
 
 
 def pair_features(spark, folder):

@@ -45,9 +45,10 @@ sizes AS (SELECT cluster_id, count(*) AS size FROM members GROUP BY cluster_id)"
 
 GAPPY = r"""
 gappy AS (
-  SELECT doc_id AS question_id,
-         CASE WHEN doc_id % 21 = 0 THEN NULL WHEN doc_id % 21 = 7 THEN '' WHEN doc_id % 7 = 0 THEN ' ' || chr(9) || chr(10)
-              ELSE text END AS question_text, source AS survey_name, lang AS directorate FROM documents)"""
+  SELECT doc_id AS question_id, text AS question_text, source AS survey_name, lang AS directorate FROM documents
+  UNION ALL
+  SELECT -1 - doc_id, CASE WHEN doc_id % 21 = 0 THEN NULL WHEN doc_id % 21 = 7 THEN '' ELSE ' ' || chr(9) || chr(10) END,
+         source, lang FROM documents WHERE doc_id % 7 = 0)"""
 
 # The two rows of a text pair see each other; a row is its own first neighbour.
 TEXT_NEIGHBORS = """,
@@ -295,7 +296,10 @@ ORACLES = {
         FROM sizes LEFT JOIN notes USING (cluster_id) JOIN questions first ON first.question_id = cluster_id""",
     "chosen_clusters": f"""WITH RECURSIVE {TEXT_PAIRS}{COMPONENTS}
         SELECT cluster_id, id FROM members WHERE cluster_id IN (SELECT cluster_id FROM sizes WHERE size >= 3)""",
-    "training_pairs": f"""WITH {TEXT_PAIRS}{FEEDBACK}, {GAPPY}
+    "training_pairs": f"""WITH {TEXT_PAIRS}{FEEDBACK.replace('feedback AS', 'decided AS')}, {GAPPY},
+        feedback AS (
+          SELECT id1, id2, label FROM decided
+          UNION ALL SELECT -1 - doc_id, doc_id, 'duplicate' FROM documents WHERE doc_id % 7 = 0)
         SELECT id1, id2, a.question_text AS text1, b.question_text AS text2,
                CASE WHEN label = 'different' THEN 0.0 ELSE 1.0 END::DOUBLE AS label
         FROM feedback JOIN gappy a ON a.question_id = id1 JOIN gappy b ON b.question_id = id2

@@ -17,10 +17,14 @@ def questions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def gappy_questions(spark: SparkSession, folder: str) -> DataFrame:
-    """The questions with every seventh text missing, empty or blank, by turns."""
+    """All questions, and for every seventh one a further row whose text is missing, empty or blank, by turns.
+
+    The further rows have the ids -1, -8, -15, ...
+    """
+    given = questions(spark, folder)
     gap = F.when(F.col("question_id") % 21 == 0, F.lit(None)).when(F.col("question_id") % 21 == 7, "").otherwise(" \t\n")
-    return questions(spark, folder).withColumn(
-        "question_text", F.when(F.col("question_id") % 7 == 0, gap).otherwise(F.col("question_text")))
+    odd = given.where("question_id % 7 = 0").withColumns({"question_text": gap, "question_id": -1 - F.col("question_id")})
+    return given.unionByName(odd)
 
 
 def letter_counts():
