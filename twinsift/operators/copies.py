@@ -15,11 +15,20 @@ from twinsift.operators.skew import CHUNK_ROWS, chunk_count, chunk_of, lookup
 
 def collapse(rows: DataFrame, id_col: str, content: Column, payload: str,
              hot_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Split rows into ``keepers`` (keeper, copies, payload) and ``members`` (id, keeper, copies).
+    """Split rows into ``keepers`` (keeper, copies, payload), stored, and ``members`` (id, keeper, copies).
 
-    ``content`` is a digest of the payload: only digests are grouped, and the payload is fetched
-    for the keepers. ``copies`` is the number of equal rows. ``members`` lists every row,
-    the keeper included, of the contents that occur more than once.
+    ``members`` lists every row, the keeper included, of the contents that occur more than once.
+    """
+    groups, members = content_groups(rows, id_col, content, hot_rows)
+    return stage(keepers_of(rows, id_col, groups, payload), "keepers"), members
+
+
+def content_groups(rows: DataFrame, id_col: str, content: Column,
+                   hot_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``groups`` (content, keeper, copies) and ``members`` of repeated contents, both stored.
+
+    ``content`` is a digest of the payload: only digests are grouped. ``copies`` is the number of
+    equal rows.
     """
     keyed = rows.select(F.col(id_col).alias("id"), content.alias("content"))
     groups = stage(keyed.groupBy("content").agg(
@@ -27,9 +36,14 @@ def collapse(rows: DataFrame, id_col: str, content: Column, payload: str,
     repeated = groups.where("copies > 1")
     members = stage(lookup(keyed, repeated, "content", "copies", hot_rows=hot_rows)
                     .select("id", "keeper", "copies"), "members")
-    keepers = stage(rows.select(F.col(id_col).alias("keeper"), payload).join(
-        groups.select("keeper", "copies"), "keeper"), "keepers")
-    return keepers, members
+    return groups, members
+
+
+def keepers_of(rows: DataFrame, id_col: str, groups: DataFrame, payload: str) -> DataFrame:
+    """(keeper, copies, payload), dealt evenly over all partitions, as what follows costs more than the join."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select(F.col(id_col).alias("keeper"), payload).repartition(parts, "keeper")
+    return dealt.join(groups.select("keeper", "copies"), "keeper")
 
 
 def expand_pairs(pairs: DataFrame, members: DataFrame, copy_similarity: DataFrame,

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
 
 from twinsift.lineage import stage
 from twinsift.operators.components import clusters_of_keepers, connected_components
@@ -19,8 +19,14 @@ from twinsift.operators.tfidf import distinct_texts, weights
 MARGIN = 1e-9
 # A similarity this little below the threshold counts as equal to it.
 EQUAL = 1e-12
-# What a prefix entry says about the words that are more frequent than its own.
+# What a prefix entry says about the words that are more frequent than its own: their norm, the
+# largest weight and the sum of the weights.
 REST = ("rest", "most", "total")
+# What a candidate carries of both its texts.
+CARRIED = ("words", "copies")
+# Words of the texts that are compared with each other in one place, and words fetched per group.
+TILE_WORDS = 500_000
+GROUP_WORDS = 2_000_000
 
 
 def check_threshold(threshold: float) -> float:
@@ -29,26 +35,66 @@ def check_threshold(threshold: float) -> float:
     return threshold
 
 
-def _packed(weighted: DataFrame) -> DataFrame:
-    """One row per keeper with its words sorted by token id; bounded by one text.
+def _profiles(threshold: float):
+    """Arrow batches of (keeper, copies, words) -> what the search needs to know of a text.
 
-    Words of a single keeper count in the norms but are shared by nobody, so they are not
-    kept. The windows behind ``weighted`` already partition by keeper: no further shuffle.
+    ``tokens`` and ``us`` are the unit vector by token id. ``prefix`` holds the entries through which every
+    pair at or above the threshold is found: let w be the rarest word two texts share. All shared
+    words lie in both tails of w (the norm of w and all more frequent words), so the cosine is at most the
+    product of the tails; each tail is at most 1, hence both must reach the threshold. Words of a single
+    keeper count in the norms but are shared by nobody, so they are in neither.
     """
-    entry = F.when(F.col("kept") > 1, F.struct("token_id", "u", "tail", *REST))
-    return weighted.groupBy("keeper").agg(
-        F.first("copies").alias("copies"), F.sort_array(F.collect_list(entry)).alias("entries"))
+    def profile(df, token, kept, v):
+        order = np.lexsort((-token, -df))
+        token, kept, v = token[order], kept[order], v[order]
+        squares = np.cumsum(v * v)
+        norm = np.sqrt(squares[-1])
+        rest = np.sqrt(np.concatenate([[0.0], squares[:-1]])) / norm
+        most = np.concatenate([[0.0], np.maximum.accumulate(v)[:-1]]) / norm
+        total = np.concatenate([[0.0], np.cumsum(v)[:-1]]) / norm
+        u, shared = v / norm, kept > 1
+        first = shared & (np.sqrt(squares) / norm >= threshold - MARGIN)
+        by_id = np.flatnonzero(shared)[np.argsort(token[shared])]
+        return (token[by_id], u[by_id]), (token[first], u[first], rest[first], most[first], total[first])
+
+    def profiles(batches):
+        for batch in batches:
+            words = batch.column("words")
+            flat = words.flatten()
+            columns = [pc.struct_field(flat, c).to_numpy() for c in ("df", "token_id", "kept", "v")]
+            ends = np.cumsum(pc.list_value_length(words).to_numpy())
+            found = [profile(*(c[a:b] for c in columns)) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+            vector, prefix = [f[0] for f in found], [f[1] for f in found]
+            entries = pa.StructArray.from_arrays([_joined(prefix, i) for i in range(5)], ["token_id", "u", *REST])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("keeper"), batch.column("copies"), _lists(vector, _joined(vector, 0)),
+                 _lists(vector, _joined(vector, 1)), _lists(prefix, entries)], ["keeper", "copies", "tokens", "us", "prefix"])
+    return profiles
 
 
-def _prefix(packed: DataFrame, threshold: float) -> DataFrame:
-    """Entries through which every pair at or above the threshold is found.
+def _joined(parts: list[tuple], i: int) -> pa.Array:
+    return pa.array(np.concatenate([p[i] for p in parts]) if parts else np.empty(0))
 
-    Let w be the rarest word two texts share. All shared words lie in both tails of w,
-    so the cosine is at most the product of the tails; each tail is at most 1, hence
-    both must reach the threshold.
-    """
-    return (packed.select("keeper", F.inline("entries")).where(F.col("tail") >= threshold - MARGIN)
-            .select("token_id", "keeper", "u", *REST))
+
+def _lists(parts: list[tuple], values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(p[0]) for p in parts)]), pa.int32()), values)
+
+
+def _packed(weighted: DataFrame, threshold: float) -> DataFrame:
+    """(keeper, copies, tokens, us, prefix), one row per keeper; bounded by one text."""
+    words = weighted.groupBy("keeper").agg(
+        F.max("copies").alias("copies"), F.collect_list(F.struct("df", "token_id", "kept", "v")).alias("words"))
+    entry = StructType().add("token_id", "long")
+    for name in ("u", *REST):
+        entry = entry.add(name, "double")
+    schema = StructType([*words.select("keeper", "copies").schema]).add("tokens", ArrayType(LongType())).add(
+        "us", ArrayType(DoubleType())).add("prefix", ArrayType(entry))
+    return words.mapInArrow(_profiles(threshold), schema)
+
+
+def _prefix(packed: DataFrame) -> DataFrame:
+    """(token_id, keeper, copies, words, u, rest, most, total), one row per prefix entry."""
+    return packed.select("keeper", "copies", F.size("tokens").alias("words"), F.inline("prefix"))
 
 
 def _reachable(threshold: float):
@@ -70,53 +116,67 @@ def _sized(prefix: DataFrame, hot_rows: int | None) -> DataFrame:
     return stage(lookup(prefix, sizes, "token_id", "size", hot_rows=hot_rows), "prefix")
 
 
-def _sparse_dots(batches):
-    """Dot products of (tokens1, us1) with (tokens2, us2), a whole Arrow batch at once.
-
-    Tokens are sorted per row, so row * span + token is sorted over the batch. Batches
-    are sliced to keep that number inside 64 bits.
-    """
-    for whole in batches:
-        span = 1 + max((int(c.max()) for c in (whole.column(f"tokens{s}").flatten().to_numpy() for s in "12")
-                        if len(c)), default=0)
-        rows = min(whole.num_rows, np.iinfo(np.int64).max // span) or 1
-        for start in range(0, whole.num_rows, rows):
-            batch = whole.slice(start, rows)
-            at, key, u = {}, {}, {}
-            for s in "12":
-                lengths = pc.list_value_length(batch.column(f"tokens{s}")).to_numpy()
-                at[s] = np.repeat(np.arange(batch.num_rows), lengths)
-                key[s] = at[s] * span + batch.column(f"tokens{s}").flatten().to_numpy()
-                u[s] = batch.column(f"us{s}").flatten().to_numpy()
-            found = np.searchsorted(key["2"], key["1"])
-            found[found == len(key["2"])] = 0
-            shared = key["2"][found] == key["1"] if len(key["2"]) else np.zeros(len(key["1"]), bool)
-            dots = np.bincount(at["1"][shared], u["1"][shared] * u["2"][found[shared]], batch.num_rows)
-            carried = ["id1", "id2", "copies1", "copies2"]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in carried), pa.array(dots)], names=[*carried, "similarity"])
+def _tile_scores(threshold: float):
+    """Dot products of the pairs of a group, whose word lists come once each."""
+    def scored(pairs: pa.Table, lists: pa.Table) -> pa.Table:
+        ids = lists["id"].combine_chunks()
+        at = [pc.index_in(pairs[c], value_set=ids).to_numpy() for c in ("id1", "id2")]
+        tokens, us = (lists[c].combine_chunks() for c in ("tokens", "us"))
+        ends = np.cumsum(pc.list_value_length(tokens).to_numpy())
+        starts = np.concatenate([[0], ends[:-1]])
+        distinct, local = np.unique(tokens.flatten().to_numpy(), return_inverse=True)
+        u = us.flatten().to_numpy()
+        dense, order, last = np.zeros(len(distinct)), np.argsort(at[0], kind="stable"), -1
+        dots = np.zeros(len(order))
+        for i in order.tolist():
+            one, two = at[0][i], at[1][i]
+            if one != last:
+                if last >= 0:
+                    dense[local[starts[last]:ends[last]]] = 0.0
+                dense[local[starts[one]:ends[one]]] = u[starts[one]:ends[one]]
+                last = one
+            dots[i] = dense[local[starts[two]:ends[two]]] @ u[starts[two]:ends[two]]
+        near = dots >= threshold - EQUAL
+        kept = pairs.select(["id1", "id2", "copies1", "copies2"]).filter(pa.array(near))
+        return kept.append_column("similarity", pa.array(np.minimum(dots[near], 1.0)))
+    return scored
 
 
 def score_pairs(candidates: DataFrame, packed: DataFrame, threshold: float) -> DataFrame:
-    """(id1, id2, similarity, copies1, copies2) of the candidates that reach the threshold."""
-    for s in "12":
-        candidates = candidates.join(
-            packed.select(F.col("keeper").alias(f"id{s}"), F.col("copies").alias(f"copies{s}"),
-                          F.col("entries.token_id").alias(f"tokens{s}"), F.col("entries.u").alias(f"us{s}")),
-            f"id{s}")
-    carried = ["id1", "id2", "copies1", "copies2"]
-    schema = StructType([candidates.schema[c] for c in carried]).add("similarity", "double")
-    scored = candidates.select(*carried, "tokens1", "us1", "tokens2", "us2").mapInArrow(_sparse_dots, schema)
-    return scored.where(F.col("similarity") >= threshold - EQUAL).withColumn(
-        "similarity", F.least("similarity", F.lit(1.0)))
+    """(id1, id2, copies1, copies2, similarity) of the candidates that reach the threshold.
+
+    Candidates are stored and have the number of words of both sides. Texts that have the same
+    smallest partner are kept together, so that a group of near copies fetches each word list about once, not
+    once per pair. A gathering of more than ``TILE_WORDS`` words is cut into chunks, and pairs of chunks are
+    dealt to groups of a bounded number of words.
+    """
+    parts = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ends = stage(candidates.groupBy("id2").agg(F.min("id1").alias("anchor"), F.count(F.lit(1)).alias("rows")), "anchors")
+    anchored = stage(lookup(candidates, ends, "id2", "rows").drop("rows"), "anchored")
+    sides = F.array(*[F.struct(F.col(f"id{s}").alias("id"), F.col(f"words{s}").alias("words")) for s in "12"])
+    gathered = anchored.select("anchor", F.inline(sides)).distinct().groupBy("anchor").agg(F.sum("words").alias("words"))
+    sized = stage(
+        anchored.groupBy("anchor").agg(F.count(F.lit(1)).alias("pairs")).join(gathered, "anchor")
+        .withColumn("chunks", chunk_count(F.col("words"), TILE_WORDS)), "gathered")
+    fetched = sized.agg(F.sum(F.col("words") * F.col("chunks"))).first()[0] or 0
+    groups = max(parts, -(-fetched // GROUP_WORDS))
+    chunk = {s: chunk_of(F.col(f"id{s}"), F.col("chunks")) for s in "12"}
+    tile = F.xxhash64("anchor", F.least(*chunk.values()), F.greatest(*chunk.values()))
+    tiled = stage(lookup(anchored, sized, "anchor", "pairs").select(
+        F.pmod(tile, F.lit(groups)).alias("group"), "id1", "id2", "copies1", "copies2"), "tiles")
+    lists = packed.select(F.col("keeper").alias("id"), "tokens", "us")
+    needed = tiled.select(
+        F.col("group").alias("home"), F.explode(F.array("id1", "id2")).alias("id")).distinct().join(lists, "id")
+    schema = StructType([tiled.schema[c] for c in ("id1", "id2", "copies1", "copies2")]).add("similarity", "double")
+    return tiled.groupBy("group").cogroup(needed.groupBy("home")).applyInArrow(_tile_scores(threshold), schema)
 
 
 def _search(questions: DataFrame, threshold: float, id_col: str, text_col: str, hot_rows: int | None):
     """(packed vectors of the keepers, members of repeated texts), stored."""
     if check_threshold(threshold) <= 0:
         raise ValueError("text search needs a threshold above 0")
-    keepers, members = distinct_texts(questions, id_col, text_col, hot_rows)
-    return stage(_packed(weights(keepers, hot_rows)), "packed"), members
+    counts, members, total = distinct_texts(questions, id_col, text_col, hot_rows)
+    return stage(_packed(weights(counts, total, hot_rows), threshold), "packed"), members
 
 
 def _copies(packed: DataFrame) -> DataFrame:
@@ -136,12 +196,17 @@ def keeper_text_pairs(questions: DataFrame, threshold: float = 0.78, id_col: str
                       text_col: str = "question_text", chunk_rows: int = CHUNK_ROWS, hot_rows: int | None = None):
     """Pairs of distinct texts (id1, id2, similarity, copies1, copies2), members, and copy groups."""
     packed, members = _search(questions, threshold, id_col, text_col, hot_rows)
-    candidates = pairs_in_buckets(
-        _sized(_prefix(packed, threshold), hot_rows), "token_id", "keeper", "size", _reachable(threshold),
-        chunk_rows=chunk_rows).select(F.col("keeper1").alias("id1"), F.col("keeper2").alias("id2")).distinct()
+    met = pairs_in_buckets(
+        _sized(_prefix(packed), hot_rows), "token_id", "keeper", "size", _reachable(threshold), CARRIED, chunk_rows)
+    candidates = stage(met.select(*_sides(lambda s: lambda c: F.col(f"{c}{s}"))).distinct(), "candidates")
     return score_pairs(candidates, packed, threshold), members, _copies(packed)
 
 
+def _sides(of) -> list:
+    """The columns of a candidate pair; ``of(s)(c)`` is column c of side s."""
+    return [of(s)(c).alias(f"{name}{s}") for s in "12" for c, name in (("keeper", "id"), *zip(CARRIED, CARRIED))]
+
+
 def text_clusters(questions: DataFrame, threshold: float = 0.78, id_col: str = "question_id",
                   text_col: str = "question_text", chunk_rows: int = CHUNK_ROWS,
                   hot_rows: int | None = None) -> DataFrame:
@@ -152,14 +217,14 @@ def text_clusters(questions: DataFrame, threshold: float = 0.78, id_col: str = "
     search runs between groups and never within one.
     """
     packed, members = _search(questions, threshold, id_col, text_col, hot_rows)
-    entries = _sized(_prefix(packed, threshold), hot_rows)
+    entries = _sized(_prefix(packed), hot_rows)
     met = stage(_star_candidates(entries, threshold), "met")
     stars = stage(score_pairs(met, packed, threshold), "stars")
     groups = connected_components(stars).select(F.col("cluster_id").alias("group"), F.col("id").alias("keeper"))
     grouped = stage(entries.drop("size").join(groups, "keeper", "left").withColumn(
         "group", F.coalesce("group", "keeper")), "grouped")
     unmet = _candidates_between_groups(grouped, threshold, chunk_rows).join(met, ["id1", "id2"], "left_anti")
-    between = score_pairs(unmet, packed, threshold)
+    between = score_pairs(stage(unmet, "unmet"), packed, threshold)
     edges = stars.select("id1", "id2").unionByName(between.select("id1", "id2"))
     return clusters_of_keepers(packed, members, edges)
 
@@ -168,11 +233,11 @@ def _star_candidates(entries: DataFrame, threshold: float) -> DataFrame:
     """(id1, id2) of the smallest keeper of every word with each other keeper of the word."""
     star = stage(
         entries.groupBy("token_id").agg(
-            F.min(F.struct("keeper", "u", *REST)).alias("hub"), F.count(F.lit(1)).alias("rows")), "hubs")
+            F.min(F.struct("keeper", "u", *REST, *CARRIED)).alias("hub"), F.count(F.lit(1)).alias("rows")), "hubs")
     met = lookup(entries.drop("size"), star, "token_id", "rows")
     near = _reachable(threshold)(F.col, lambda c: F.col(f"hub.{c}"))
-    return (met.where((F.col("keeper") > F.col("hub.keeper")) & near)
-            .select(F.col("hub.keeper").alias("id1"), F.col("keeper").alias("id2")).distinct())
+    return met.where((F.col("keeper") > F.col("hub.keeper")) & near).select(
+        *_sides(lambda s: (lambda c: F.col(f"hub.{c}")) if s == "1" else F.col)).distinct()
 
 
 def _candidates_between_groups(grouped: DataFrame, threshold: float, chunk_rows: int) -> DataFrame:
@@ -196,8 +261,13 @@ def _candidates_between_groups(grouped: DataFrame, threshold: float, chunk_rows:
     texts = lookup(grouped, mixed, ["token_id", "group"], "rows").withColumn(
         "chunk", chunk_of(F.col("keeper"), chunk_count(F.col("rows"), chunk_rows)))
     for s in "12":
-        side = texts.select("token_id", *[F.col(c).alias(f"{c}{s}") for c in ("group", "chunk", "keeper", "u", *REST)])
+        side = texts.select(
+            "token_id", *[F.col(c).alias(f"{c}{s}") for c in ("group", "chunk", "keeper", "u", *REST, *CARRIED)])
         paired = paired.join(side, ["token_id", f"group{s}", f"chunk{s}"])
     near = _reachable(threshold)(lambda c: F.col(f"{c}1"), lambda c: F.col(f"{c}2"))
-    return paired.where(near).select(
-        F.least("keeper1", "keeper2").alias("id1"), F.greatest("keeper1", "keeper2").alias("id2")).distinct()
+    ordered = F.col("keeper1") < F.col("keeper2")
+
+    def of(s):
+        return lambda c: F.when(ordered, F.col(f"{c}{s}")).otherwise(F.col(f"{c}{'21'[int(s) - 1]}"))
+
+    return paired.where(near).select(*_sides(of)).distinct()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from twinsift.lineage import stage
-from twinsift.operators.copies import collapse
+from twinsift.operators.copies import content_groups, keepers_of
 from twinsift.operators.skew import lookup
 
 
@@ -19,11 +19,13 @@ def words(text: Column) -> Column:
 
 
 def distinct_texts(questions: DataFrame, id_col: str, text_col: str,
-                   hot_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Keepers (keeper, copies, text) and members; texts without a word are left out."""
+                   hot_rows: int | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """Word counts of the keepers, members, and the number of texts; texts without a word are left out."""
     texts = (questions.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
              .where(F.col("text").rlike(r"\S")))
-    return collapse(texts, "id", F.sha2("text", 256), "text", hot_rows)
+    groups, members = content_groups(texts, "id", F.sha2("text", 256), hot_rows)
+    total = groups.agg(F.sum("copies")).first()[0] or 0
+    return word_counts(keepers_of(texts, "id", groups, "text")), members, total
 
 
 def _counted(batches):
@@ -41,7 +43,7 @@ def _counted(batches):
 
 
 def word_counts(keepers: DataFrame) -> DataFrame:
-    """(keeper, copies, token, tf), stored. The words of a text are in one row, so they are counted there."""
+    """(keeper, copies, token, tf), stored. Words are counted where the text of a keeper is fetched."""
     listed = keepers.select("keeper", "copies", words(F.col("text")).alias("words"))
     schema = StructType([*keepers.select("keeper", "copies").schema]).add("token", "string").add("tf", "long")
     return stage(listed.mapInArrow(_counted, schema), "counts")
@@ -56,47 +58,24 @@ def vocabulary(counts: DataFrame) -> DataFrame:
     return stage(counted.withColumn("token_id", F.monotonically_increasing_id()), "vocabulary")
 
 
-def weights(keepers: DataFrame, hot_rows: int | None = None) -> DataFrame:
-    """(keeper, copies, token, token_id, kept, u, tail, rest, most, total), one row per keeper and word.
-
-    ``u`` is the weight in the unit vector. With words ordered from rare to frequent,
-    ``tail`` is the norm of this and all more frequent words; ``rest``, ``most`` and ``total`` are
-    the norm, the largest weight and the sum of the weights without this word.
-    """
-    total = keepers.agg(F.sum("copies")).first()[0] or 0
-    counts = word_counts(keepers)
+def weights(counts: DataFrame, total: int, hot_rows: int | None = None) -> DataFrame:
+    """(keeper, copies, token, token_id, df, kept, v) for every word of a keeper with a weight ``v`` above 0."""
     vocab = vocabulary(counts)
     idf = F.log((F.lit(float(total)) + 1) / (F.col("df") + 1))
-    weighted = (
-        lookup(counts, vocab, "token", "kept", hot_rows=hot_rows)
-        .withColumn("v", F.col("tf") * idf)
-        .where("v > 0")
-    )
-    # One window partition is one text. Summing from the frequent end keeps each frame a
-    # running one; a frame that ends at the last row would be re-added for every row.
-    square = F.col("v") * F.col("v")
-    text = Window.partitionBy("keeper")
-    frequent_first = text.orderBy(F.desc("df"), F.desc("token_id"))
-    upto = frequent_first.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = frequent_first.rowsBetween(Window.unboundedPreceding, -1)
     return (
-        weighted.withColumns({
-            "norm": F.sqrt(F.sum(square).over(text)),
-            "tail": F.sqrt(F.sum(square).over(upto)),
-            "rest": F.sqrt(F.coalesce(F.sum(square).over(before), F.lit(0.0))),
-            "most": F.coalesce(F.max("v").over(before), F.lit(0.0)),
-            "total": F.coalesce(F.sum("v").over(before), F.lit(0.0)),
-        })
-        .select("keeper", "copies", "token", "token_id", "kept", (F.col("v") / F.col("norm")).alias("u"),
-                *[(F.col(c) / F.col("norm")).alias(c) for c in ("tail", "rest", "most", "total")])
+        lookup(counts, vocab, "token", "kept", hot_rows=hot_rows)
+        .withColumn("v", F.col("tf") * idf).where("v > 0")
+        .select("keeper", "copies", "token", "token_id", "df", "kept", "v")
     )
 
 
 def tfidf_vectors(questions: DataFrame, id_col: str = "question_id",
                   text_col: str = "question_text", hot_rows: int | None = None) -> DataFrame:
     """Unit TF-IDF vectors of all rows in long form: (id, token, u)."""
-    keepers, members = distinct_texts(questions, id_col, text_col, hot_rows)
-    vectors = stage(weights(keepers, hot_rows).select("keeper", "copies", "token", "u"), "weights")
+    counts, members, total = distinct_texts(questions, id_col, text_col, hot_rows)
+    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("keeper")))
+    vectors = stage(weights(counts, total, hot_rows).select(
+        "keeper", "copies", "token", (F.col("v") / norm).alias("u")), "weights")
     alone = vectors.where("copies = 1").select(F.col("keeper").alias("id"), "token", "u")
     # A group of copies meets each word of its text once, so the words are the small side
     # per copy; packing them keeps one row per group in the join.
