@@ -2,19 +2,67 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from twinsift.lineage import drop, fresh_path, stage
 from twinsift.operators.copies import expand_groups
 from twinsift.operators.skew import lookup
 
 
+# Edges that are contracted at once, to bound the memory of a task.
+CONTRACT_ROWS = 1_000_000
+
+
+def _stars(left: np.ndarray, right: np.ndarray, nodes: int) -> np.ndarray:
+    """The smallest connected node of every node, by union-find."""
+    parent = list(range(nodes))
+    for a, b in zip(left.tolist(), right.tolist()):
+        while parent[a] != a:
+            parent[a] = a = parent[parent[a]]
+        while parent[b] != b:
+            parent[b] = b = parent[parent[b]]
+        if a < b:
+            parent[b] = a
+        else:
+            parent[a] = b
+    # A parent is never larger than its node, so roots are known before they are asked for.
+    for node, up in enumerate(parent):
+        parent[node] = parent[up]
+    return np.array(parent, np.int64)
+
+
+def _contracted(batches):
+    """Edges of a partition -> one edge per node to the smallest node it is connected to there."""
+    def stars(table: pa.Table) -> pa.Table:
+        both = pa.concat_arrays([table[c].combine_chunks() for c in ("child", "parent")])
+        names = both.unique().sort()
+        at = pc.index_in(both, value_set=names).to_numpy()
+        roots = _stars(at[:len(table)], at[len(table):], len(names))
+        child = np.flatnonzero(roots != np.arange(len(roots)))
+        return pa.table({"child": names.take(pa.array(child)), "parent": names.take(pa.array(roots[child]))})
+
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= CONTRACT_ROWS:
+            yield from stars(pa.Table.from_batches(held)).to_batches()
+            held, rows = [], 0
+    if rows:
+        yield from stars(pa.Table.from_batches(held)).to_batches()
+
+
 def connected_components(pairs: DataFrame, src: str = "id1", dst: str = "id2") -> DataFrame:
     """(cluster_id, id) for every id that occurs in a pair; cluster_id is the smallest member.
 
-    Alternating large-star and small-star steps (Kiveris et al., 2014) on edges that
-    point from the larger id to the smaller. Each round lifts every edge to the least
+    Edges are contracted first where they are, by union-find inside each partition, which leaves
+    at most one edge per node and partition. Then follow alternating large-star and small-star
+    steps (Kiveris et al., 2014) on edges that point from the larger id to the smaller. Each round lifts every edge to the least
     parent of its parent, then points the other parents of a node to its least one.
     It ends when a round moves no edge: then no parent is a child and no child has two
     parents. Minima are pre-aggregated before the shuffle and hub nodes go through
@@ -23,10 +71,10 @@ def connected_components(pairs: DataFrame, src: str = "id1", dst: str = "id2") -
     """
     spark = pairs.sparkSession
     path = fresh_path(spark, "edges")
-    edges = stage(
-        pairs.where(F.col(src) != F.col(dst))
-        .select(F.greatest(src, dst).alias("child"), F.least(src, dst).alias("parent"))
-        .distinct().withColumn("moved", F.lit(True)), "edges", path)
+    given = pairs.where(F.col(src) != F.col(dst)).select(
+        F.greatest(src, dst).alias("child"), F.least(src, dst).alias("parent"))
+    schema = StructType([StructField(f.name, f.dataType) for f in given.schema])
+    edges = stage(given.mapInArrow(_contracted, schema).distinct().withColumn("moved", F.lit(True)), "edges", path)
     while True:
         total, moved = edges.agg(F.count(F.lit(1)), F.max("moved")).first()
         if not moved:
