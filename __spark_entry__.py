@@ -19,7 +19,7 @@ from twinsift.operators.text_pairs import keeper_text_pairs, similar_texts, text
 from twinsift.operators.tfidf import tfidf_vectors
 from twinsift.operators.vector_pairs import keeper_vector_pairs, similar_vectors, vector_clusters
 from twinsift.plans import dedup, reviews, tables
-from twinsift.sources import files
+from twinsift.sources import files, versions
 
 TEXT_THRESHOLD = 0.78
 VECTOR_THRESHOLD = 0.40
@@ -80,6 +80,12 @@ def _listed(members: DataFrame, list_rows: int = clusters.LIST_ROWS) -> DataFram
         "members", F.array_join(F.col("members").cast("array<string>"), ","))
 
 
+def _with_odd(df: DataFrame, column: str, by: str) -> DataFrame:
+    """The column with empty texts, null characters, line breaks and backslashes by turns."""
+    odd = F.concat(F.col(column), F.lit("\0\\n\r\n\\"))
+    return df.withColumn(column, F.when(F.col(by) % 3 == 0, "").when(F.col(by) % 3 == 1, odd).otherwise(F.col(column)))
+
+
 def _large(members: DataFrame) -> DataFrame:
     return clusters.cluster_sizes(members).where("size >= 3").select("cluster_id")
 
@@ -306,8 +312,9 @@ def page_count(spark, folder):
 
 
 def pair_page(spark, folder):
-    pairs = stage(_vector_pairs(spark, folder, LABELLED_THRESHOLD), "pairs")
-    return _rounded(q.pair_page(pairs, page=3), "similarity")
+    path, pairs = fresh_path(spark, "pages"), _vector_pairs(spark, folder, LABELLED_THRESHOLD)
+    q.store_pages(pairs, path)
+    return _rounded(q.stored_page(spark, path, pairs.schema, page=3), "similarity")
 
 
 def cluster_detail(spark, folder):
@@ -368,9 +375,12 @@ def best_threshold(spark, folder):
 
 
 def threshold_report(spark, folder):
+    """The report as a run stores it, read back."""
     split = stage(_split(spark, folder), "split")
     scored = learning.pair_scores(split.where("split = 'validation'"), tables.vectors(spark, folder))
-    return _rounded(learning.threshold_report(scored, split, GRID), "best_accuracy", digits=8)
+    report, path = learning.threshold_report(scored, split, GRID), fresh_path(spark, "report-json")
+    reviews.save_threshold_report(report, path)
+    return _rounded(spark.read.schema(report.schema).json(versions.current(spark, path)), "best_accuracy", digits=8)
 
 
 def classification_report(spark, folder):
@@ -437,19 +447,21 @@ def pairs_csv(spark, folder):
 
 
 def feedback_roundtrip(spark, folder):
-    """Labels written, replaced by a table read from the same place, and read again."""
+    """Labels written, replaced by a table read from the same place, and read again; some notes are empty or need escapes."""
     path = fresh_path(spark, "feedback-csv")
-    files.write_csv(tables.document_feedback(spark, folder, _text_pairs(spark, folder)), path)
-    files.replace(files.read_feedback(spark, path).where("label <> 'needs-review'"), path)
-    read = files.read_feedback(spark, path).withColumns({
+    files.replace(_with_odd(tables.document_feedback(spark, folder, _text_pairs(spark, folder)), "note", "id1"), path)
+    files.replace(files.read_feedback(spark, path, own=True).where("label <> 'needs-review'"), path)
+    read = files.read_feedback(spark, path, own=True).withColumns({
         "id1": F.col("id1").cast("bigint"), "id2": F.col("id2").cast("bigint")})
     return _rounded(read.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")), "similarity")
 
 
 def notes_roundtrip(spark, folder):
-    members = _text_members(spark, folder)
+    """Notes saved, some of them saved again, and read."""
     path = fresh_path(spark, "notes-json")
-    files.write_json(_notes(spark, folder, members), path)
+    notes = stage(_notes(spark, folder, _text_members(spark, folder)).withColumn("items", F.array("cluster_name")), "notes")
+    reviews.save_notes(notes.withColumn("canonical_question", F.lit("old")), path)
+    reviews.save_notes(_with_odd(notes, "cluster_name", "cluster_id"), path)
     return files.read_notes(spark, path).select(
         F.col("cluster_id").cast("bigint").alias("cluster_id"), "cluster_name", "canonical_question")
 

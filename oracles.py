@@ -94,6 +94,10 @@ notes AS (
   JOIN questions ON question_id = id)"""
 
 
+def _odd(column: str, by: str) -> str:
+    return rf"""CASE {by} % 3 WHEN 0 THEN '' WHEN 1 THEN {column} || chr(0) || '\n' || chr(13) || chr(10) || '\' ELSE {column} END"""
+
+
 def _neighbors(k: int) -> str:
     return f"""
 near AS (
@@ -369,9 +373,10 @@ ORACLES = {
         SELECT a.idx AS idx1, b.idx AS idx2, id1, id2, round(similarity, 4) AS similarity
         FROM pairs JOIN places a ON a.question_id = id1 JOIN places b ON b.question_id = id2""",
     "feedback_roundtrip": f"""WITH {TEXT_PAIRS}{FEEDBACK}
-        SELECT id1, id2, round(similarity, 4) AS similarity, label, note, '2025-11-30 09:00:00' AS "timestamp"
+        SELECT id1, id2, round(similarity, 4) AS similarity, label, {_odd('note', 'id1')} AS note, '2025-11-30 09:00:00' AS "timestamp"
         FROM feedback WHERE label <> 'needs-review'""",
-    "notes_roundtrip": f"WITH RECURSIVE {TEXT_PAIRS}{COMPONENTS}{NOTES} SELECT * FROM notes",
+    "notes_roundtrip": f"""WITH RECURSIVE {TEXT_PAIRS}{COMPONENTS}{NOTES}
+        SELECT cluster_id, {_odd('cluster_name', 'cluster_id')} AS cluster_name, canonical_question FROM notes""",
     "vectors_roundtrip": """WITH entries AS (
           SELECT vec_id, embedding::DOUBLE[] AS v, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)
         SELECT vec_id AS question_id, (i - 1)::INTEGER AS dim, round(v[i], 6) AS "value" FROM entries""",

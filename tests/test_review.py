@@ -58,6 +58,21 @@ def test_pair_details_and_order(spark, rows):
     assert rows(q.pair_details(found, questions, digits=None)) == [("a", "b", "ta", "tb", "s2", "s1", 0.87654)]
 
 
+def test_stored_pages_read_their_own_range(spark, tmp_path, capsys):
+    rows = [(i, i + 1 + j, (i * 7 + j * 3) % 20 / 20) for i in range(15) for j in range(3)]
+    found = spark.createDataFrame(rows, "id1 int, id2 int, similarity double")
+    path = str(tmp_path / "pages")
+    q.store_pages(found, path, block=8)
+    page = lambda n: q.stored_page(spark, path, found.schema, n, 10, block=8)
+    for n in (1, 2, 5, 99, 0):
+        assert sorted(page(n).collect()) == sorted(q.pair_page(found, n, 10).collect())
+    page(2).explain()
+    assert "block#" in capsys.readouterr().out.split("PartitionFilters: [")[1].split("]")[0]
+    assert {f.split("block=")[1][0] for f in page(2).select("_metadata.file_path").distinct().toPandas().file_path} == {"1", "2"}
+    q.store_pages(found.where("false"), str(tmp_path / "none"))
+    assert q.stored_page(spark, str(tmp_path / "none"), found.schema, 1).count() == 0
+
+
 def test_pages_concatenate_to_the_whole(spark):
     found = pairs(spark, [(f"a{n}", f"b{n}", (n * 37 % 50) / 50) for n in range(45)])
     counted = lambda n: spark.createDataFrame([(n,)], "pairs long")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from twinsift.operators.order import with_position
 
@@ -115,6 +116,34 @@ def pair_page(pairs: DataFrame, page: int, per_page: int = 50) -> DataFrame:
             .select("position", *pairs.columns))
 
 
+# Positions per folder of stored pages.
+PAGE_BLOCK = 100_000
+
+
+def store_pages(pairs: DataFrame, path: str, block: int = PAGE_BLOCK) -> None:
+    """Write the pairs once, numbered from the most similar one, so that a page reads only its own range.
+
+    A folder holds ``block`` positions in order.
+    """
+    numbered = with_position(pairs.withColumn("_order", -F.col("similarity")), ["_order", "id1", "id2"])
+    (numbered.select("position", *pairs.columns, F.floor(F.col("position") / block).alias("block"))
+     .repartition("block").sortWithinPartitions("block", "position").write.partitionBy("block").parquet(path))
+
+
+def stored_page(spark: SparkSession, path: str, schema: StructType, page: int, per_page: int = 50,
+                block: int = PAGE_BLOCK) -> DataFrame:
+    """One page of what ``store_pages`` wrote; ``schema`` is that of the pairs. The page is kept within 1 .. last page."""
+    _check_page_size(per_page)
+    columns = StructType([StructField("position", LongType()), *schema, StructField("block", LongType())])
+    pages = spark.read.schema(columns).parquet(path)
+    # The folder names tell the last block, so only that one is counted.
+    top = pages.agg(F.max("block")).first()[0] or 0
+    rows = (pages.where(F.col("block") == top).agg(F.max("position")).first()[0] or 0) + 1
+    start = (min(max(page, 1), -(-rows // per_page)) - 1) * per_page
+    inside = F.col("block").between(start // block, (start + per_page - 1) // block)
+    return pages.where(inside & F.col("position").between(start, start + per_page - 1)).drop("block")
+
+
 def _check_page_size(per_page: int) -> None:
     if not 10 <= per_page <= 200:
         raise ValueError(f"per_page must lie in 10..200, got {per_page}")
