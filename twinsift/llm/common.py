@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,12 @@ def splitters(keys: DataFrame, ranges: int) -> list:
     return lows[1:]
 
 
+def constant(values: list, kind: str) -> Column:
+    """Numbers or texts as one constant of the plan, however many they are; ``kind`` takes the type of a value."""
+    some = values[0][0] if isinstance(values[0], list) else values[0]
+    return F.from_json(F.lit(json.dumps(values)), kind.format("string" if isinstance(some, str) else "bigint"))
+
+
 def range_of(key: Column, lows: list) -> Column:
     """The number of lower bounds at or below the key; null keys are in range 0.
 
@@ -46,8 +54,8 @@ def range_of(key: Column, lows: list) -> Column:
         return F.lit(0)
     step = max(1, round(len(lows) ** 0.5))
     groups = [lows[i:i + step] for i in range(0, len(lows), step)]
-    first = F.array(*[F.lit(g[0]) for g in groups])
-    fine = F.array(*[F.array(*[F.lit(x) for x in g]) for g in groups])
+    first = constant([g[0] for g in groups], "array<{}>")
+    fine = constant(groups, "array<array<{}>>")
     at = F.size(F.filter(first, lambda low: low <= key))
     inside = F.size(F.filter(F.get(fine, at - 1), lambda low: low <= key))
     return F.when(key.isNull() | (at == 0), 0).otherwise((at - 1) * step + inside)

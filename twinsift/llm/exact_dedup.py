@@ -1,10 +1,10 @@
 """Exact duplicates by sorting contents [DataFrame functions only].
 
-Texts are equal when they agree in every byte after white space is deleted. Rows get the
-number of a range by sampled splitters of a key (first characters, SHA-256, salt), are dealt by the hash
-of range and normalised text, and sorted by both (spilling to disk as needed), so equal texts are compared
-in full. Of equal texts the one with the most code points before normalisation stays, then
-the smallest id.
+Texts are equal when they agree in every byte after white space is deleted. Rows go to ranges by sampled
+splitters of a key (first characters, SHA-256, salt). Each range is sorted by its normalised texts (spilling to
+disk as needed), which places equal ones next to each other, and every row is compared in full
+with the row before it: where they differ, a new run begins. Of equal texts the one with the most code
+points before normalisation stays, then the smallest id.
 
 A content with more rows than an even share of a partition is counted beforehand, dealt
 to several ranges by a salt, and its decision is taken from the count: at most as
@@ -72,17 +72,20 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     lows = splitters(salted(keys).select("key"), RANGES_PER_PARTITION * parts)
     rows = salted(_keyed(docs, id_col, text_col, list(carry))).withColumn("range", range_of(F.col("key"), lows))
-    same = Window.partitionBy("range", "norm")
-    ranked = same.orderBy(F.desc("n"), F.asc_nulls_last("id"))
-    run = rows.select(
-        "id", "row", "sha", "n", "hot_size", "hot_best",
-        F.first("id").over(ranked).alias("run_id"), F.row_number().over(ranked).alias("place"),
-        F.count(F.lit(1)).over(same).alias("run_size"))
+    in_order = Window.partitionBy("range").orderBy("norm", F.desc("n"), F.asc_nulls_last("id"))
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    compared = rows.withColumn("first", ~F.lag("norm").over(in_order).eqNullSafe(F.col("norm")))
+    numbered = compared.select(
+        "id", "row", "sha", "n", "hot_size", "hot_best", "range", "first",
+        F.sum(F.col("first").cast("bigint")).over(so_far).alias("run"),
+        F.last(F.when(F.col("first"), F.struct("id")), ignorenulls=True).over(so_far).alias("head"))
+    # Rows are dealt by range already, so the sizes of the runs need no further shuffle.
+    run = numbered.withColumn("run_size", F.count(F.lit(1)).over(Window.partitionBy("range", "run")))
     own = F.struct((-F.col("n")).alias("n"), F.col("id").isNull().alias("no_id"), "id")
-    first = F.col("place") == 1
+    first = F.col("first")
     return run.select(
         "id", "row", "sha",
-        F.when(F.col("hot_size").isNull(), F.col("run_id")).otherwise(F.col("hot_best.id")).alias("keep_id"),
+        F.when(F.col("hot_size").isNull(), F.col("head.id")).otherwise(F.col("hot_best.id")).alias("keep_id"),
         F.coalesce("hot_size", "run_size").alias("group_size"),
         F.when(F.col("hot_size").isNull(), first).otherwise(first & own.eqNullSafe(F.col("hot_best"))).alias("kept"))
 

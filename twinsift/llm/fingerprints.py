@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinsift.llm.common import field, partitions, range_of, splitters, whole
+from twinsift.llm.common import constant, field, partitions, range_of, splitters, whole
 
 HASH = 16
 SENTENCE_END = "(?<=[.!?] )"
@@ -92,8 +92,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     low, nulls = ids.agg(F.min("id"), F.count(F.when(F.col("id").isNull(), 1))).first()
     first = F.col("id").isNull() if nulls or low is None else F.col("id") == F.lit(low)
     block = F.col("block")
-    starts = F.col("id").isin(*lows) if len(lows) < 16 else F.get(
-        F.array(*[F.lit(x) for x in lows]), F.greatest(block - 1, F.lit(0))) == F.col("id")
+    starts = F.get(constant(lows, "array<{}>"), F.greatest(block - 1, F.lit(0))) == F.col("id") if lows else F.lit(False)
     homes = (
         F.when(first, F.array(block, F.lit(len(lows))))
         .when((block > 0) & starts, F.array(block, block - 1))
