@@ -3,6 +3,8 @@
 import os
 import random
 import sys
+import unicodedata
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
@@ -264,3 +266,49 @@ def test_blocks_cover_all_texts():
     many = ["a"] * (2 * BLOCK_TEXTS + 1)
     assert [len(block) for _, block in blocks(many)] == [BLOCK_TEXTS, BLOCK_TEXTS, 1]
     assert list(blocks([""])) == [(0, [""])] and list(blocks([])) == []
+
+
+def plain_trigrams(text):
+    def fold(char):
+        if unicodedata.category(char)[0] not in "LM":
+            return ""
+        return char.lower() if len(char.lower()) == 1 else char
+
+    codes = ["", *map(fold, text or ""), ""]
+    return [(codes[i - 1], codes[i], codes[i + 1]) for i in range(1, len(codes) - 1) if codes[i]]
+
+
+def test_predictions_equal_those_of_plain_sets(spark):
+    """Sets of trigrams per language by the two cuts, in place of the filters."""
+    given = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()
+    counts = defaultdict(Counter)
+    for doc, text, lang in given:
+        if lang is not None and zlib.crc32(str(doc).encode()) % 4 != 2:
+            counts[lang].update(plain_trigrams(text))
+    share = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    most = Counter()
+    for grams in share.values():
+        for g, s in grams.items():
+            most[g] = max(most[g], s)
+    kept = {lang: {g for g, s in grams.items() if s >= 1e-4 and s >= 0.2 * most[g]} for lang, grams in share.items()}
+    got = {r.doc_id: r for r in queries.op5_language(spark, SF).collect()}
+    assert len(got) == len(given)
+    for doc, text, _ in given:
+        grams = plain_trigrams(text)
+        hits = {lang: sum(g in known for g in grams) for lang, known in kept.items()}
+        if not grams:
+            assert (got[doc].lang_pred, got[doc].score) == ("und", 0.0)
+            continue
+        best = max(hits.values())
+        assert got[doc].score == pytest.approx(best / len(grams), abs=0.05)
+        near = {lang for lang, n in hits.items() if n >= best - 0.02 * len(grams)}
+        assert got[doc].lang_pred in near
+
+
+def test_many_languages_make_a_small_model(spark):
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 6000)]
+    rows = [(" ".join("".join(letters[(i * 30 + (j * 7 + k) % 30)] for k in range(4)) for j in range(60)), f"l{i}") for i in range(200)]
+    model = language.learn(spark.createDataFrame(rows, "text string, lang string"))
+    assert len(model.languages) == 200 and model.slots.nbytes < 10_000_000
+    names, _ = language.judge(model, [text for text, _ in rows])
+    assert names == [lang for _, lang in rows]

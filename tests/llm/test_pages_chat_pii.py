@@ -97,6 +97,35 @@ def test_main_text_of_layouts(name):
     assert main_text.main_text(html) == want
 
 
+LONG = "A long paragraph, with commas, that says something of interest to the reader. " * 4
+P = f"<p>{LONG}</p>"
+
+
+@pytest.mark.parametrize("html,paragraphs", [
+    (f"<article>{P}<section class='search'>{P}</section><div id='related-work'>{P}</div></article>", 3),
+    (f"<body><div class='form-guide'>{P}</div></body>", 1),
+    (f"<main><article>{P}</article><article>{P}{P}</article><article class='teaser'><a href=x>{LONG}</a></article></main>", 3),
+    (f"<article>{P}<div class='related'><a href=x>one link here</a> <a href=y>another link</a></div></article>", 1),
+    (f"<article>{P}<div class='related'>Short.</div><div class='site-footer'>{P}</div><div class='comments'>{P}</div></article>", 1),
+    (f"<article>{P}<div class='notice'>{P}</div><div class='cookie-notice'>{P}</div></article>", 1),
+])
+def test_ambiguous_names_only_weigh(html, paragraphs):
+    assert main_text.main_text(html) == " ".join([LONG.strip()] * paragraphs)
+
+
+def test_ambiguous_headings_and_paragraphs_stay():
+    html = f"<article><h2 class='toc-title'>Head</h2>{P}<p class='copyright-law'>Short law.</p></article>"
+    assert main_text.main_text(html) == f"Head {LONG.strip()} Short law."
+
+
+def test_deep_nesting_is_linear():
+    import time
+
+    start = time.time()
+    assert main_text.main_text("<div>" * 50_000 + LONG + "</div>" * 50_000) == LONG.strip()
+    assert time.time() - start < 20
+
+
 def test_main_text_edge_rows(spark):
     rows = [(1, None, None), (2, "u", ""), (2, "u", ""), (None, "u", "<p>" + "long, " * 50_000), (3, "v", "<" * 20_000),
             (4, "v", "<p a='" * 2_000), (5, "v", "<div>" * 3_000 + P1), (6, "v", "<script>" + "x" * 1000)]

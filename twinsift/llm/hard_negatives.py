@@ -34,6 +34,8 @@ from twinsift.llm.common import field, partitions
 # Rows of a block of candidates and of a block of anchors; they bound the memory of a task.
 CANDIDATE_ROWS = 65_536
 ANCHOR_ROWS = 65_536
+# Smaller blocks are not worth a task: every block returns its best rows per anchor.
+LEAST_ROWS = 1_024
 # Anchors that are scored at once, and candidates that are looked up at once (their sums stay in cache).
 ANCHOR_SLICE = 32
 LOOKUP_ROWS = 2_048
@@ -256,8 +258,9 @@ def hard_negatives(rows: DataFrame, is_anchor: Column, id_col: str = "vec_id", l
         F.monotonically_increasing_id().alias("row"), "id", "label", "anchor",
         F.transform("vector", lambda x: F.floor(x * scale)).alias("q"))
     packed, bits, count, anchor_count = _packed(numbers)
-    candidate_blocks = max(partitions(spark), -(-count // CANDIDATE_ROWS))
     anchor_blocks = max(1, -(-anchor_count // ANCHOR_ROWS))
+    wanted = min(-(-partitions(spark) // anchor_blocks), -(-count // LEAST_ROWS))
+    candidate_blocks = max(1, wanted, -(-count // CANDIDATE_ROWS))
     key = ["block", "batch"]
     candidates = _dealt(packed.drop("anchor"), "block", candidate_blocks, "batch", anchor_blocks).groupBy(*key)
     anchors = packed.where("anchor").drop("anchor")

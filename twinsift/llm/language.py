@@ -10,7 +10,8 @@ cover less than ``COVERED`` of its letters, a language with more than ``MANY_LET
 known by single letters, chosen by the same two cuts.
 
 The model is a Bloom filter in bit slices: every slot holds one bit per language, and the
-AND over a trigram's slots is the set of languages that contain it. For a text, the hits of
+AND over a trigram's slots is the set of languages that contain it. A bit column is the filter of one
+language, so the slots follow the language with most trigrams: at most 2^18 of them, 32 KB a language. For a text, the hits of
 each language are counted over all its letters, the hits expected from false positives are taken
 off, and the language with most hits left is predicted.
 """
@@ -33,7 +34,7 @@ from twinsift.llm.text_arrays import blocks, folded, mix64
 MIN_SHARE = 1e-4
 RATIO = 0.2
 HASHES = 4
-SLOTS_PER_GRAM = 10
+SLOTS_PER_GRAM = 16
 UNDETERMINED = "und"
 
 # A language is known by letters instead of trigrams below this coverage and beyond so many letters.
@@ -124,7 +125,8 @@ def learn(labelled: DataFrame) -> Model:
     counts = stage(
         rows.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")),
         "trigrams")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    # One row per language, like the model itself.
+    totals = F.broadcast(counts.groupBy("lang").agg(F.sum("n").alias("total")))
     alone = F.col("gram").bitwiseAND(F.lit(0x1FFFFF << 21)).bitwiseOR(F.lit(ALONE))
     letters = counts.groupBy("lang", alone.alias("gram")).agg(F.sum("n").alias("n"))
     shares = counts.unionByName(letters).join(totals, "lang").withColumn("share", F.col("n") / F.col("total")).where(
@@ -146,12 +148,14 @@ def learn(labelled: DataFrame) -> Model:
     languages = sorted(found["lang"].unique())
     number = found["lang"].map({name: i for i, name in enumerate(languages)}).to_numpy()
     grams = found["gram"].to_numpy(np.int64)
-    size = 1 << int(np.ceil(np.log2(SLOTS_PER_GRAM * HASHES * max(16, len(np.unique(grams))))))
-    bits = np.zeros((size, len(languages)), bool)
+    size = 1 << int(np.ceil(np.log2(SLOTS_PER_GRAM * max(16, np.bincount(number).max()))))
+    slots = np.zeros((size, -(-len(languages) // 8)), np.uint8)
+    bit = (128 >> number % 8).astype(np.uint8)
     for slot in _slots_of(grams, size):
-        bits[slot, number] = True
+        np.bitwise_or.at(slots, (slot, number // 8), bit)
+    filled = np.array([((slots[:, i // 8] >> np.uint8(7 - i % 8)) & np.uint8(1)).mean() for i in range(len(languages))])
     largest = found.sort_values(["total", "lang"], ascending=[False, True])["lang"].iloc[0]
-    return Model(languages, np.packbits(bits, axis=1), bits.mean(axis=0) ** HASHES,
+    return Model(languages, slots, filled ** HASHES,
                  by_letter[languages].to_numpy(bool), usual[languages].to_numpy(float), largest)
 
 

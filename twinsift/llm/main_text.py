@@ -52,15 +52,26 @@ UNWANTED = set(
     "subscribe subscription newsletter signup login share sharing social related recommended recommendations recirc trending "
     "popular skip search searchbox form tags tagcloud toc copyright legal complementary contentinfo alertdialog "
     "sr-only visually-hidden hidden".split())
+# Of these the ones that may as well name content: they decide only together with link density or little text.
+AMBIGUOUS = set(
+    "search searchbox related recommended form tags toc copyright legal popular skip reply respond feedback reviews discussion "
+    "responses notice notices alert alerts disclaimer tabs rail widget widgets promotion promoted trending".split())
+# Ambiguous words that may be the whole name of a part of an article; the others decide if they are.
+PART_NAMES = set("search related form toc copyright legal popular".split())
+# A doubtful container with less text than this goes.
+LITTLE_TEXT = 200
 WANTED = set("article content main body post entry story text maincontent articlebody".split())
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "score", "good", "chars", "link_chars")
+    __slots__ = ("name", "parent", "children", "score", "good", "chars", "link_chars", "doubt", "in_article", "open_p")
 
     def __init__(self, name: str, parent: Node | None, good: bool = False):
         self.name, self.parent, self.children = name, parent, []
-        self.score, self.good, self.chars, self.link_chars = 0.0, good, 0, 0
+        self.score, self.good, self.chars, self.link_chars, self.doubt = 0.0, good, 0, 0, False
+        # Carried down, so that no tag has to walk up to the root.
+        self.in_article = name == "article" or (parent is not None and parent.in_article)
+        self.open_p = self if name == "p" else parent.open_p if parent is not None and name not in WALLS else None
 
 
 def _names(attributes: str) -> tuple[list[tuple[str, set[str]]], bool]:
@@ -93,6 +104,35 @@ def _unwanted(name: str, names: list[tuple[str, set[str]]], hidden: bool, in_art
     return not wanted and any(words & unwanted for _, words in names)
 
 
+def _doubtful(name: str, names: list[tuple[str, set[str]]], hidden: bool, in_article: bool) -> bool:
+    """Unwanted only by names made with ambiguous words, such as related-work or toc-title."""
+    if hidden or name in NEVER or name == "header":
+        return False
+    parts = PART_NAMES if in_article else set()
+    clear = [(token, words - AMBIGUOUS) for token, words in names if token not in parts]
+    return not _unwanted(name, clear, False, in_article)
+
+
+def _dropped(node: Node) -> bool:
+    """A doubtful element goes if it is mostly links or, unless it is a heading or paragraph, holds little text."""
+    if _links(node) > 0.25:
+        return True
+    return node.name not in HEADINGS and node.name != "p" and node.chars < LITTLE_TEXT
+
+
+def _without_doubtful(root: Node, nodes: list[Node]) -> list[Node]:
+    """The nodes that remain when doubtful elements are judged by what they hold, counted anew."""
+    gone = {id(n) for n in nodes if n.doubt and _dropped(n)}
+    if not gone:
+        return nodes
+    for node in nodes:
+        node.children = [c for c in node.children if id(c) not in gone]
+        node.chars = node.link_chars = 0
+    nodes = _in_order(root)
+    _measured(nodes)
+    return nodes
+
+
 def parse(html: str) -> Node:
     """The tree of a page, unwanted parts left out; text is kept as written, references decoded."""
     root = Node("#root", None)
@@ -150,26 +190,20 @@ def parse(html: str) -> Node:
             continue
         here = _implied_end(here, name)
         names, hidden = _names(attributes) if attributes else ([], False)
-        in_article = _inside(here, "article")
-        if _unwanted(name, names, hidden, in_article):
+        unwanted = _unwanted(name, names, hidden, here.in_article)
+        doubt = unwanted and _doubtful(name, names, hidden, here.in_article)
+        if unwanted and not doubt:
             if not attributes.endswith("/"):
                 skipping.append(name)
             continue
         node = Node(name, here, name in ("article", "main") or any(words & WANTED for _, words in names))
+        node.doubt = doubt
         here.children.append(node)
         if not attributes.endswith("/") or name in BLOCKS:
             here = node
     return root
 
 
-def _inside(node: Node | None, name: str) -> bool:
-    while node:
-        if node.name == name:
-            return True
-        node = node.parent
-    return False
-
-
 def _closed(here: Node, name: str) -> Node:
     node = here
     while node.parent:
@@ -183,13 +217,8 @@ def _closed(here: Node, name: str) -> Node:
 
 def _implied_end(here: Node, name: str) -> Node:
     """Where a new element belongs: a block ends an open paragraph, an item the item before."""
-    if name in BLOCKS:
-        node = here
-        while node.parent and node.name not in WALLS:
-            if node.name == "p":
-                here = node.parent
-                break
-            node = node.parent
+    if name in BLOCKS and here.open_p:
+        here = here.open_p.parent
     if name in IMPLIED:
         node = here
         while node.parent and node.name not in IMPLIED_WALL[name]:
@@ -308,7 +337,10 @@ def _keeps(best: Node) -> list[Node]:
     while article and article.name != "article":
         article = article.parent
     if article:
-        return [article]
+        # Further articles beside it belong to the page if they hold about as much.
+        least = max(10.0, 0.2 * article.score * (1 - _links(article)))
+        return [c for c in article.parent.children if c is article or (
+            isinstance(c, Node) and c.name == "article" and _links(c) < 0.25 and c.score * (1 - _links(c)) >= least)]
     if not best.parent:
         return [best]
     holder = best.parent
@@ -338,6 +370,7 @@ def main_text(html: str) -> str:
     root = parse(html)
     nodes = _in_order(root)
     _measured(nodes)
+    nodes = _without_doubtful(root, nodes)
     _scored(nodes)
     best, most = None, 0.0
     for node in nodes:
