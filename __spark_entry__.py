@@ -177,6 +177,12 @@ def text_knn_pairs_symmetric(spark, folder):
     return _rounded(neighbors.neighbor_pairs(found, TEXT_THRESHOLD, symmetric=True), "similarity")
 
 
+def text_knn_near_copies(spark, folder):
+    """Groups of near copies, many of them equally near; small chunks and samples."""
+    found = neighbors.nearest_texts(tables.near_copies(spark, folder), 5, TEXT_THRESHOLD, chunk_rows=25, sample_rows=10)
+    return _rounded(found.select("question_id", "rank", "neighbor_id", "similarity"), "similarity")
+
+
 def batch_run(spark, folder):
     """The files of a whole run, read back: pairs, and cluster members as pairs of cluster and member."""
     path = fresh_path(spark, "run")
@@ -492,7 +498,8 @@ QUERIES = [
     classification_report, roc_auc, classifier, classifier_report, heatmap_grid, cross_source_pairs,
     source_redundancy, group_redundancy, csv_questions, csv_any_format, pairs_csv, feedback_roundtrip,
     notes_roundtrip, vectors_roundtrip, clusters_json, tfidf_dealt, text_pairs_dealt, text_cluster_lists_dealt,
-    vector_pairs_blocks, knn_blocks, dbscan_blocks, text_knn_pairs, text_knn_pairs_symmetric, batch_run, encoded,
+    vector_pairs_blocks, knn_blocks, dbscan_blocks, text_knn_pairs, text_knn_pairs_symmetric,
+    text_knn_near_copies, batch_run, encoded,
 ]
 
 

@@ -398,7 +398,16 @@ ORACLES = {
         FROM gappy CROSS JOIN letters WHERE regexp_matches(question_text, '\S')""",
     "clusters_json": f"WITH RECURSIVE {VECTOR_PAIRS}{COMPONENTS} {LISTS}",
 }
+NEAR_COPIES = """
+  FROM documents
+  UNION ALL
+  SELECT -1 - d.doc_id, f.text || ' number' || (d.doc_id % 40), d.source, d.lang
+  FROM documents d JOIN documents f ON f.doc_id = d.doc_id - d.doc_id % 40),
+words"""
 ORACLES |= {
+    "text_knn_near_copies": "WITH " + (TEXT_PAIRS + TEXT_NEIGHBORS).replace("\n  FROM documents),\nwords", NEAR_COPIES).replace(
+        "rank <= 3", "rank <= 5") + """
+        SELECT id AS question_id, rank::INTEGER AS rank, neighbor_id, round(least(similarity, 1), 4) AS similarity FROM nearest""",
     "tfidf_dealt": ORACLES["tfidf"],
     "text_pairs_dealt": f"WITH {TEXT_PAIRS} SELECT id1, id2, round(similarity, 4) AS similarity FROM pairs",
     "text_cluster_lists_dealt": f"WITH RECURSIVE {TEXT_PAIRS}{COMPONENTS} {_listed_parts(3)}",

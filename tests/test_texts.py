@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinsift.operators.components import connected_components
+from twinsift.operators.neighbors import nearest_texts
 from twinsift.operators.skew import lookup
 from twinsift.operators.text_pairs import similar_texts, text_clusters
 from twinsift.operators.tfidf import tfidf_vectors
@@ -52,6 +53,40 @@ def test_clusters_match_components_of_all_pairs(questions, brute, threshold, chu
     assert got == brute.components(brute.text_pairs(corpus(), threshold))
 
 
+def neighbors_of(pairs, texts, k):
+    """(text, rank) -> neighbour: the text itself and its partners, by distance and id; texts without a pair have no list."""
+    sided = {}
+    for (a, b), similarity in pairs.items():
+        sided.setdefault(a, {a: 1.0})[b] = similarity
+        sided.setdefault(b, {b: 1.0})[a] = similarity
+    return {(i, n + 1): j for i, found in sided.items()
+            for n, j in enumerate(sorted(found, key=lambda j: (round(1 - min(found[j], 1.0), 12), j))[:k])}
+
+
+@pytest.mark.parametrize("k,chunk_rows,sample_rows,hot_rows", [
+    (3, 1000, 64, None), (1, 7, 3, 5), (3, 7, 3, 5), (200, 7, 3, 5), (3, 1000, 1, None)])
+def test_text_neighbors_match_brute_force(questions, brute, k, chunk_rows, sample_rows, hot_rows):
+    got = nearest_texts(questions, k, 0.5, chunk_rows=chunk_rows, sample_rows=sample_rows, hot_rows=hot_rows).collect()
+    assert {(r.question_id, r.rank): r.neighbor_id for r in got} == neighbors_of(
+        brute.text_pairs(corpus(), 0.5), corpus(), k)
+
+
+def test_text_neighbors_of_near_copies(spark, brute):
+    """Two hundred texts that differ in one word: equal similarities everywhere, ranked by id."""
+    base = " ".join(f"b{n}" for n in range(20))
+    texts = {n: f"{base} own{n // 2} last{n % 5}" for n in range(200)} | {500 + n: f"x{n} y{n} z{n // 50}" for n in range(300)}
+    frame = spark.createDataFrame([*texts.items()], "question_id long, question_text string")
+    want = neighbors_of(brute.text_pairs(texts, 0.3), texts, 4)
+    for sizes in ((1000, 64), (30, 8)):
+        got = nearest_texts(frame, 4, 0.3, chunk_rows=sizes[0], sample_rows=sizes[1]).collect()
+        assert {(r.question_id, r.rank): r.neighbor_id for r in got} == want
+
+
+def test_text_neighbors_of_nothing(spark, questions):
+    assert nearest_texts(questions.where("false")).collect() == []
+    assert nearest_texts(frame(spark, {"a": "one two", "b": "three four"})).collect() == []
+
+
 def test_unit_vectors(questions, brute):
     want = {(i, w): u for i, unit in brute.tfidf(corpus()).items() for w, u in unit.items()}
     got = {(r.question_id, r.token): r.u for r in tfidf_vectors(questions).collect()}

@@ -171,7 +171,7 @@ def score_pairs(candidates: DataFrame, packed: DataFrame, threshold: float) -> D
     return tiled.groupBy("group").cogroup(needed.groupBy("home")).applyInArrow(_tile_scores(threshold), schema)
 
 
-def _search(questions: DataFrame, threshold: float, id_col: str, text_col: str, hot_rows: int | None):
+def text_search(questions: DataFrame, threshold: float, id_col: str, text_col: str, hot_rows: int | None):
     """(packed vectors of the keepers, members of repeated texts), stored."""
     if check_threshold(threshold) <= 0:
         raise ValueError("text search needs a threshold above 0")
@@ -195,7 +195,7 @@ def similar_texts(questions: DataFrame, threshold: float = 0.78, id_col: str = "
 def keeper_text_pairs(questions: DataFrame, threshold: float = 0.78, id_col: str = "question_id",
                       text_col: str = "question_text", chunk_rows: int = CHUNK_ROWS, hot_rows: int | None = None):
     """Pairs of distinct texts (id1, id2, similarity, copies1, copies2), members, and copy groups."""
-    packed, members = _search(questions, threshold, id_col, text_col, hot_rows)
+    packed, members = text_search(questions, threshold, id_col, text_col, hot_rows)
     met = pairs_in_buckets(
         _sized(_prefix(packed), hot_rows), "token_id", "keeper", "size", _reachable(threshold), CARRIED, chunk_rows)
     candidates = stage(met.select(*_sides(lambda s: lambda c: F.col(f"{c}{s}"))).distinct(), "candidates")
@@ -216,7 +216,7 @@ def text_clusters(questions: DataFrame, threshold: float = 0.78, id_col: str = "
     near copies. Then only texts of different groups so far can add anything, so the full
     search runs between groups and never within one.
     """
-    packed, members = _search(questions, threshold, id_col, text_col, hot_rows)
+    packed, members = text_search(questions, threshold, id_col, text_col, hot_rows)
     entries = _sized(_prefix(packed), hot_rows)
     met = stage(_star_candidates(entries, threshold), "met")
     stars = stage(score_pairs(met, packed, threshold), "stars")

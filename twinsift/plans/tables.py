@@ -27,6 +27,20 @@ def gappy_questions(spark: SparkSession, folder: str) -> DataFrame:
     return given.unionByName(odd)
 
 
+def near_copies(spark: SparkSession, folder: str) -> DataFrame:
+    """All questions, and for each one a near copy of the question its block of 40 ids begins with.
+
+    A near copy has one word more, its number in the block. The ids of the near copies are -1, -2, ...
+    """
+    given = questions(spark, folder)
+    first = given.where("question_id % 40 = 0").select(
+        F.col("question_id").alias("block"), F.col("question_text").alias("first_text"))
+    block = given.withColumn("block", F.col("question_id") - F.col("question_id") % 40)
+    copy = F.concat("first_text", F.lit(" number"), F.col("question_id") % 40)
+    return given.unionByName(block.join(first, "block").withColumns(
+        {"question_text": copy, "question_id": -1 - F.col("question_id")}).select(*given.columns))
+
+
 def letter_counts():
     """A stub model: how often the letters a to d occur."""
     def counted(texts):
