@@ -12,7 +12,8 @@ from twinsift.operators.blocks import Blocking
 from twinsift.operators.components import connected_components
 from twinsift.operators.copies import expand_groups
 from twinsift.operators.order import with_position
-from twinsift.operators.vector_pairs import block_scan, border_labels, distinct_vectors, neighbor_counts, spanning_pairs
+from twinsift.operators.vector_pairs import (
+    block_scan, border_labels, distinct_vectors, neighbor_counts, place, spanning_pairs_of)
 
 NOISE = -1
 
@@ -42,25 +43,26 @@ def density_clusters(vectors: DataFrame, eps: float = 0.25, min_samples: int = 2
         points = keepers.where(~zero).select("keeper", "copies").unionByName(zeros)
     else:
         points = keepers.select("keeper", "copies")
-    # Three passes over the blocks, each with one row per vector or spanning edge as result.
+    # Three passes over the blocks, each with one row per vector or spanning edge as result. Vectors are
+    # placed once: the later passes read fewer rows, or rows with labels, of the same placement.
     id_type = keepers.schema["keeper"].dataType
-    reach = block_scan(keepers, 1 - eps, blocking, neighbor_counts(1 - eps),
-                       StructType().add("id", id_type).add("others", "long"))
+    placed = place(keepers, 1 - eps, blocking)
+    reach = block_scan(placed, blocking, neighbor_counts(1 - eps), StructType().add("id", id_type).add("others", "long"))
     reach = reach.groupBy(F.col("id").alias("keeper")).agg(F.sum("others").alias("others"))
     points = stage(
         points.join(reach, "keeper", "left")
         .withColumn("core", F.col("copies") + F.coalesce("others", F.lit(0)) >= min_samples)
         .select("keeper", "copies", "core"), "points")
     core = points.where("core").select("keeper")
-    core_edges = spanning_pairs(keepers.join(core, "keeper", "left_semi"), 1 - eps, blocking)
+    core_edges = spanning_pairs_of(placed.join(core, "keeper", "left_semi"), 1 - eps, blocking)
     roots = connected_components(core_edges).withColumnRenamed("id", "keeper")
     core_root = core.join(roots, "keeper", "left").select(
         "keeper", F.coalesce("cluster_id", "keeper").alias("root"))
     numbers = with_position(core_root.select("root").distinct(), ["root"], "label")
     core_label = stage(core_root.join(numbers, "root").select("keeper", "label"), "core_labels")
-    marked = keepers.join(core_label, "keeper", "left").withColumn("label", F.coalesce("label", F.lit(NOISE).cast("bigint")))
-    border = block_scan(marked, 1 - eps, blocking, border_labels(1 - eps),
-                        StructType().add("id", id_type).add("label", "long"))
+    marked = stage(placed.join(core_label, "keeper", "left").withColumn(
+        "label", F.coalesce("label", F.lit(NOISE).cast("bigint"))), "marked")
+    border = block_scan(marked, blocking, border_labels(1 - eps), StructType().add("id", id_type).add("label", "long"))
     border = border.groupBy(F.col("id").alias("keeper")).agg(F.min("label").alias("border_label"))
     labelled = (
         points.join(core_label, "keeper", "left").join(border, "keeper", "left")

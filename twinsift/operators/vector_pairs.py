@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 from twinsift.functions.vectors import is_zero
 from twinsift.lineage import stage
 from twinsift.operators.blocks import (
-    TASK_KEY, Blocking, block_tasks, choose_pivots, sides, with_cells, with_visits)
+    TASK_KEY, Blocking, block_tasks, choose_pivots, matrix, sides, with_cells, with_visits)
 from twinsift.operators.components import clusters_of_keepers
 from twinsift.operators.copies import collapse, expand_pairs
 from twinsift.operators.text_pairs import EQUAL, check_threshold
@@ -94,40 +94,53 @@ def neighbor_counts(threshold: float):
 
 
 def border_labels(threshold: float):
-    """(id, label): the smallest label within reach of each vector that has none (-1) itself."""
+    """(id, label): the smallest label within reach of each vector that has none (-1) itself.
+
+    Only vectors with a label are compared with vectors without one.
+    """
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list = []
-        none = np.iinfo(np.int64).max
-        for home, meets, i, j, _ in _tiles(pa.Table.from_batches(list(batches)), threshold):
-            if not found:
-                found = [(side, np.full(len(side), none), side.column("label").to_numpy()) for side in (home, meets)]
-            (_, at_home, home_label), (_, met, met_label) = found
-            one, two = home_label[i], met_label[j]
-            open_home, open_met = (one < 0) & (two >= 0), (two < 0) & (one >= 0)
-            np.minimum.at(at_home, i[open_home], two[open_home])
-            np.minimum.at(met, j[open_met], one[open_met])
-        for side, label, _ in found:
-            yield from pa.table({"id": side.column("keeper"), "label": label}).filter(pa.array(label < none)).to_batches()
+        table = pa.Table.from_batches(list(batches))
+        side, label = table.column("side").to_numpy(), table.column("label").to_numpy()
+        own = bool(table.column("own")[0].as_py()) and table.column("x")[0] == table.column("y")[0]
+        for at in (0,) if own else (0, 1):
+            open_rows = table.filter(pa.array((side == at) & (label < 0)))
+            cores = table.filter(pa.array((side == (0 if own else 1 - at)) & (label >= 0)))
+            if len(open_rows) and len(cores):
+                yield from _smallest_label(open_rows, cores, threshold).to_batches()
     return block
 
 
-def block_scan(keepers: DataFrame, threshold: float, blocking: Blocking, block, schema: StructType) -> DataFrame:
-    """What ``block`` finds in the chunk pairs in which vectors within the threshold can meet."""
+def _smallest_label(open_rows: pa.Table, cores: pa.Table, threshold: float) -> pa.Table:
+    none = np.iinfo(np.int64).max
+    a, b, label = matrix(open_rows.column("vector")), matrix(cores.column("vector")), cores.column("label").to_numpy()
+    least = np.full(len(a), none)
+    for start in range(0, len(a), TILE_ROWS):
+        near = np.clip(a[start:start + TILE_ROWS] @ b.T, -1.0, 1.0) >= threshold - EQUAL
+        least[start:start + TILE_ROWS] = np.where(near, label, none).min(axis=1)
+    return pa.table({"id": open_rows.column("keeper"), "label": least}).filter(pa.array(least < none))
+
+
+def place(keepers: DataFrame, threshold: float, blocking: Blocking) -> DataFrame:
+    """Keepers with the cells in which they meet others within the threshold, stored; several scans can read it."""
     if threshold > 0:
         keepers = keepers.where(~is_zero(F.col("vector")))
     pivots = choose_pivots(keepers, blocking)
     homes = with_cells(keepers, pivots).withColumn("radius", F.lit(float(np.arccos(threshold))))
-    placed = stage(with_visits(homes, pivots, both_ways=False), "placed")
+    return stage(with_visits(homes, pivots, both_ways=False), "placed")
+
+
+def block_scan(placed: DataFrame, blocking: Blocking, block, schema: StructType) -> DataFrame:
+    """What ``block`` finds in the chunk pairs in which placed vectors can meet."""
     return (block_tasks(placed, blocking.block_rows, within_cells=True)
             .groupBy(*TASK_KEY).applyInArrow(block, schema))
 
 
-def _block_search(keepers: DataFrame, threshold: float, blocking: Blocking, block) -> DataFrame:
+def _block_search(placed: DataFrame, blocking: Blocking, block) -> DataFrame:
     """(id1 < id2, similarity, copies1, copies2) of keepers, by ``block`` on each chunk pair."""
-    id_type, count_type = keepers.schema["keeper"].dataType, keepers.schema["copies"].dataType
+    id_type, count_type = placed.schema["keeper"].dataType, placed.schema["copies"].dataType
     schema = (StructType().add("id1", id_type).add("id2", id_type).add("similarity", "double")
               .add("copies1", count_type).add("copies2", count_type))
-    found = block_scan(keepers, threshold, blocking, block, schema)
+    found = block_scan(placed, blocking, block, schema)
     ordered = F.col("id1") < F.col("id2")
     return found.select(
         F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2"), "similarity",
@@ -136,12 +149,16 @@ def _block_search(keepers: DataFrame, threshold: float, blocking: Blocking, bloc
 
 
 def keeper_pairs(keepers: DataFrame, threshold: float, blocking: Blocking = Blocking()) -> DataFrame:
-    return _block_search(keepers, threshold, blocking, _all_pairs(threshold))
+    return _block_search(place(keepers, threshold, blocking), blocking, _all_pairs(threshold))
 
 
 def spanning_pairs(keepers: DataFrame, threshold: float, blocking: Blocking = Blocking()) -> DataFrame:
     """Pairs that connect what all pairs connect, about as many as vectors."""
-    return _block_search(keepers, threshold, blocking, _spanning_pairs(threshold))
+    return spanning_pairs_of(place(keepers, threshold, blocking), threshold, blocking)
+
+
+def spanning_pairs_of(placed: DataFrame, threshold: float, blocking: Blocking) -> DataFrame:
+    return _block_search(placed, blocking, _spanning_pairs(threshold))
 
 
 def similar_vectors(vectors: DataFrame, threshold: float = 0.78, id_col: str = "question_id",
