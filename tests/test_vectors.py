@@ -4,12 +4,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinsift.functions import vectors as fv
+from twinsift.operators import blocks
 from twinsift.operators.blocks import Blocking
 from twinsift.operators.density import density_clusters
 from twinsift.operators.neighbors import nearest, neighbor_pairs
-from twinsift.operators.vector_pairs import similar_vectors, vector_clusters
+from twinsift.operators.vector_pairs import distinct_vectors, place, similar_vectors, vector_clusters
 
-BLOCKINGS = [Blocking(), Blocking(block_rows=7), Blocking(block_rows=9, pivots=5)]
+BLOCKINGS = [Blocking(), Blocking(block_rows=7), Blocking(block_rows=9, pivots=5), Blocking(block_rows=2, pivots=3)]
 
 
 def clustered(seed=3, groups=6, size=12, dim=6, noise=0.25):
@@ -42,6 +43,25 @@ def test_pairs_match_brute_force(spark, brute, blocking, threshold):
     assert all(abs(got[p] - want[p]) < 1e-9 for p in want)
 
 
+def test_witnesses_rule_cells_out(spark, brute, monkeypatch):
+    vectors = clustered(groups=12, dim=8, noise=0.05)
+    keepers, _ = distinct_vectors(frame(spark, vectors), "question_id", "embedding")
+    blocking = Blocking(block_rows=5, pivots=2)
+
+    def comparisons(witnesses):
+        monkeypatch.setattr(blocks, "WITNESSES", witnesses)
+        placed = place(keepers, 0.95, blocking)
+        homes = placed.groupBy("cell").agg(F.count("*").alias("homes"))
+        met = placed.select(F.explode("visits").alias("cell")).join(homes, "cell")
+        return met.agg(F.coalesce(F.sum("homes"), F.lit(0))).first()[0]
+
+    alone, found = comparisons(0), set(brute.vector_pairs(vectors, 0.95))
+    for witnesses in (1, 16):
+        assert comparisons(witnesses) < alone
+        pairs = similar_vectors(frame(spark, vectors), 0.95, blocking=blocking)
+        assert {(r.id1, r.id2) for r in pairs.collect()} == found
+
+
 @pytest.mark.parametrize("blocking", BLOCKINGS)
 def test_clusters_match_components_of_all_pairs(spark, brute, blocking):
     vectors = clustered(noise=0.4)

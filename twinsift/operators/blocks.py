@@ -3,9 +3,11 @@
 Vectors are grouped into cells: the nearest of a fixed number of pivots, and a ring of
 the angle to it. Two vectors at an angle of at most r have angles to any pivot that
 differ by at most r (triangle inequality), so a vector only needs to meet the cells whose
-ring lies within r of its own angle to that pivot. Cells are cut into chunks, and each
-pair of chunks is one task: a crowded cell gives more tasks, not larger ones. Pivots and
-chunks steer the work only; the result does not depend on them.
+angles to a pivot come within r of its own. That holds for every pivot: a cell is left out
+if its own pivot or any of the witnesses, which are further pivots spread far apart, rules it out.
+Cells are cut into chunks, and each pair of chunks is one task: a crowded cell gives
+more tasks, not larger ones. Pivots and chunks steer the work only; the result does not
+depend on them.
 """
 
 from __future__ import annotations
@@ -22,8 +24,10 @@ from twinsift.lineage import stage
 from twinsift.operators.skew import chunk_count, chunk_of
 
 BLOCK_ROWS = 4_096
-# Bounds what is collected and broadcast: MAX_PIVOTS vectors and MAX_PIVOTS * RINGS counts.
+# Bounds what is collected and broadcast: MAX_PIVOTS vectors, and two angles for each of
+# MAX_PIVOTS * RINGS cells to its own pivot and to WITNESSES others.
 MAX_PIVOTS = 512
+WITNESSES = 16
 RINGS = 18
 RING = np.pi / RINGS
 SLACK = 1e-6
@@ -39,6 +43,14 @@ class Blocking:
     pivots: int | None = None
 
 
+@dataclass(frozen=True)
+class Pivots:
+    """Unit vectors: those that name the cells, and the witnesses that only rule cells out."""
+
+    homes: np.ndarray
+    witnesses: np.ndarray
+
+
 def matrix(column) -> np.ndarray:
     """Arrow list column -> unit rows in double precision; zero rows stay zero.
 
@@ -47,6 +59,8 @@ def matrix(column) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     lengths = np.unique(np.diff(column.offsets.to_numpy()))
+    if not len(column):
+        return np.zeros((0, 1))
     if len(lengths) > 1:
         raise ValueError(f"vectors of different lengths: {lengths.tolist()}")
     # flatten() respects the slice of a sliced column, as the offsets do.
@@ -67,12 +81,43 @@ def _home_cells(angles: np.ndarray) -> np.ndarray:
     return nearest * RINGS + ring
 
 
-def _visited(angles: np.ndarray, radius: np.ndarray, occupied: np.ndarray) -> np.ndarray:
+def _cell_bounds(homes: DataFrame, pivots: Pivots) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(occupied cells, least angles, greatest angles) of the vectors at home in each cell.
+
+    The angles are those to the cell's own pivot, then those to each witness.
+    """
+    number = 1 + len(pivots.witnesses)
+
+    def bound(batches):
+        for batch in (b for b in batches if b.num_rows):
+            rows, cell = matrix(batch.column("vector")), batch.column("cell").to_numpy()
+            own = _angles(rows, pivots.homes)[np.arange(len(cell)), cell // RINGS]
+            angles = np.column_stack([own, _angles(rows, pivots.witnesses)])
+            occupied, at = np.unique(cell, return_inverse=True)
+            low = np.full((len(occupied), number), np.inf)
+            high = -low
+            np.minimum.at(low, at, angles)
+            np.maximum.at(high, at, angles)
+            yield from pa.table({
+                "cell": np.repeat(occupied, number), "pivot": np.tile(np.arange(number, dtype=np.int32), len(occupied)),
+                "low": low.ravel(), "high": high.ravel()}).to_batches()
+
+    found = (homes.mapInArrow(bound, "cell int, pivot int, low double, high double")
+             .groupBy("cell", "pivot").agg(F.min("low").alias("low"), F.max("high").alias("high")).toArrow())
+    cell, pivot, low, high = (found[c].to_numpy() for c in ("cell", "pivot", "low", "high"))
+    order = np.lexsort((pivot, cell))
+    return np.unique(cell), low[order].reshape(-1, number), high[order].reshape(-1, number)
+
+
+def _visited(rows: np.ndarray, radius: np.ndarray, pivots: Pivots, bounds) -> np.ndarray:
     """Boolean (row, occupied cell): may the cell hold a vector within the row's radius?"""
-    to_pivot = angles[:, occupied // RINGS]
-    inner = (occupied % RINGS) * RING
+    occupied, low, high = bounds
     reach = radius[:, None] + SLACK
-    return (to_pivot - reach <= inner + RING) & (to_pivot + reach >= inner)
+    to_pivot = _angles(rows, pivots.homes)[:, occupied // RINGS]
+    flags = (to_pivot - reach <= high[:, 0]) & (to_pivot + reach >= low[:, 0])
+    for n, angle in enumerate(_angles(rows, pivots.witnesses).T, 1):
+        flags &= (angle[:, None] - reach <= high[:, n]) & (angle[:, None] + reach >= low[:, n])
+    return flags
 
 
 def _bool_rows_to_lists(flags: np.ndarray, values: np.ndarray) -> pa.ListArray:
@@ -80,38 +125,48 @@ def _bool_rows_to_lists(flags: np.ndarray, values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[flags.nonzero()[1]].astype(np.int32)))
 
 
-def choose_pivots(vectors: DataFrame, blocking: Blocking) -> np.ndarray:
-    """One to MAX_PIVOTS stored vectors, picked by hash."""
+def _spread(rows: np.ndarray, number: int) -> np.ndarray:
+    """Up to ``number`` of the rows, each the farthest from those before it."""
+    chosen, nearest = [], np.full(len(rows), np.inf)
+    for _ in range(min(number, len(rows))):
+        chosen.append(int(nearest.argmax()))
+        nearest = np.minimum(nearest, _angles(rows, rows[chosen[-1:]])[:, 0])
+    return rows[chosen]
+
+
+def choose_pivots(vectors: DataFrame, blocking: Blocking) -> Pivots:
+    """Stored vectors, picked by hash: one to MAX_PIVOTS for the cells, WITNESSES spread ones of at least four times as many."""
     count = blocking.pivots if blocking.pivots is not None else vectors.count() // blocking.block_rows
-    picked = vectors.orderBy(F.xxhash64("keeper"), "keeper").limit(max(1, min(count, MAX_PIVOTS))).select("vector")
+    count = max(1, min(count, MAX_PIVOTS))
+    picked = vectors.orderBy(F.xxhash64("keeper"), "keeper").limit(max(count, 4 * WITNESSES)).select("vector")
     column = picked.toArrow().column("vector")
-    return matrix(column) if len(column) else np.zeros((1, 1))
+    rows = matrix(column) if len(column) else np.zeros((1, 1))
+    return Pivots(rows[:count], _spread(rows, WITNESSES))
 
 
-def with_cells(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
+def with_cells(vectors: DataFrame, pivots: Pivots) -> DataFrame:
     """Add the home cell of every vector."""
     def assign(batches):
         for batch in batches:
-            cells = _home_cells(_angles(matrix(batch.column("vector")), pivots)) if batch.num_rows else []
+            cells = _home_cells(_angles(matrix(batch.column("vector")), pivots.homes)) if batch.num_rows else []
             yield batch.append_column("cell", pa.array(cells, pa.int32()))
 
     return vectors.mapInArrow(assign, StructType([*vectors.schema, StructField("cell", IntegerType())]))
 
 
-def with_visits(homes: DataFrame, pivots: np.ndarray, both_ways: bool) -> DataFrame:
+def with_visits(homes: DataFrame, pivots: Pivots, both_ways: bool) -> DataFrame:
     """Add the cells in which each vector must meet others, within its ``radius``.
 
     ``both_ways`` lists every such cell, the home cell included. Otherwise two cells that
     see each other are joined in only one of them, and the home cell is left out.
     """
-    # At most MAX_PIVOTS * RINGS numbers.
-    occupied = np.array(sorted(r[0] for r in homes.select("cell").distinct().collect()))
+    bounds = _cell_bounds(homes, pivots)
+    occupied = bounds[0]
 
     def visit(batches):
         for batch in (whole.slice(start, VISIT_ROWS) for whole in batches
                       for start in range(0, whole.num_rows, VISIT_ROWS)):
-            radius = batch.column("radius").to_numpy()
-            flags = _visited(_angles(matrix(batch.column("vector")), pivots), radius, occupied)
+            flags = _visited(matrix(batch.column("vector")), batch.column("radius").to_numpy(), pivots, bounds)
             home = batch.column("cell").to_numpy()[:, None]
             if not both_ways:
                 flags &= ((home + occupied) % 2 == 0) == (home < occupied)
@@ -163,7 +218,10 @@ TASK_KEY = ["cell", "own", "x", "y"]
 
 
 def sides(table: pa.Table) -> tuple[pa.Table, np.ndarray, pa.Table, np.ndarray, bool]:
-    """(home rows, their unit vectors, rows they meet, their unit vectors, same rows?)."""
+    """(home rows, their unit vectors, rows they meet, their unit vectors, same rows?).
+
+    Chunks are dealt by hash, so that a side can be empty.
+    """
     side = table.column("side").to_numpy()
     home = table.filter(pa.array(side == 0))
     same = bool(table.column("own")[0].as_py()) and table.column("x")[0] == table.column("y")[0]

@@ -34,6 +34,8 @@ def distinct_vectors(vectors: DataFrame, id_col: str, vector_col: str,
 def _tiles(table: pa.Table, threshold: float):
     """(home rows, met rows, home positions, met positions, similarities) tile by tile."""
     home, a, meets, b, same = sides(table)
+    if not len(b):
+        return
     for start in range(0, len(a), TILE_ROWS):
         product = np.clip(a[start:start + TILE_ROWS] @ b.T, -1.0, 1.0)
         hit = product >= threshold - EQUAL
