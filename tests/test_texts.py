@@ -134,3 +134,28 @@ def test_lookup_spreads_hot_keys(spark, rows):
     big = spark.range(1000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), "id")
     small = big.groupBy("k").agg(F.count("*").alias("n"))
     assert rows(lookup(big, small, "k", "n", hot_rows=100)) == rows(big.join(small, "k"))
+
+
+def test_scoring_fetches_few_word_lists(spark, brute, monkeypatch):
+    """Each text shares a rare word with texts of all other groups, but is near only to its own group."""
+    from twinsift.operators import text_pairs as tp
+
+    texts = {40 * g + n: " ".join([*(f"g{g}w{i}" for i in range(25)), f"own{g}n{n // 2}", f"far{n}"])
+             for g in range(6) for n in range(40)}
+    fetched, by_group = [], tp._by_group
+
+    def counted(tiles, lists, found, schema):
+        if "copies" in lists.columns:
+            fetched.append(tiles.select("group", F.explode(F.array("id1", "id2"))).distinct().count())
+        return by_group(tiles, lists, found, schema)
+
+    monkeypatch.setattr(tp, "_by_group", counted)
+    frame = spark.createDataFrame([*texts.items()], "question_id long, question_text string")
+    want = brute.text_pairs(texts, 0.78)
+    for small in (False, True):
+        if small:  # chunks of components and of prefixes, as in large tables
+            for name, value in (("TILE_WORDS", 300), ("TILE_PAIRS", 100), ("PREFIX_WORDS", 500), ("LEAST_WORDS", 100)):
+                monkeypatch.setattr(tp, name, value)
+        got = {(r.id1, r.id2): r.similarity for r in similar_texts(frame, 0.78, chunk_rows=20).collect()}
+        assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+    assert fetched[0] <= len(texts)
