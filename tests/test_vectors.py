@@ -43,6 +43,26 @@ def test_pairs_match_brute_force(spark, brute, blocking, threshold):
     assert all(abs(got[p] - want[p]) < 1e-9 for p in want)
 
 
+def test_blocks_grow_with_the_table(spark, brute, monkeypatch):
+    """Four times the vectors are copied to about as many tasks each."""
+    from twinsift.operators import vector_pairs
+
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 2)
+    monkeypatch.setattr(blocks, "BLOCKS", 4)
+    monkeypatch.setattr(vector_pairs, "TILE_CELLS", 40)
+    per_vector = []
+    for size in (10, 40):
+        vectors = clustered(groups=4, size=size)
+        keepers, _ = distinct_vectors(frame(spark, vectors), "question_id", "embedding")
+        blocking = Blocking().suited(keepers)
+        tasks = blocks.block_tasks(place(keepers, 0.1, blocking), blocking.block_rows, within_cells=True)
+        per_vector.append(tasks.count() / keepers.count())
+    assert per_vector[1] < 2 * per_vector[0]
+    got = {(r.id1, r.id2): r.similarity for r in similar_vectors(frame(spark, vectors), 0.9).collect()}
+    want = brute.vector_pairs(vectors, 0.9)
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+
+
 def test_witnesses_rule_cells_out(spark, brute, monkeypatch):
     vectors = clustered(groups=12, dim=8, noise=0.05)
     keepers, _ = distinct_vectors(frame(spark, vectors), "question_id", "embedding")

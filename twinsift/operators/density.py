@@ -46,6 +46,7 @@ def density_clusters(vectors: DataFrame, eps: float = 0.25, min_samples: int = 2
     # Three passes over the blocks, each with one row per vector or spanning edge as result. Vectors are
     # placed once: the later passes read fewer rows, or rows with labels, of the same placement.
     id_type = keepers.schema["keeper"].dataType
+    blocking = blocking.suited(keepers)
     placed = place(keepers, 1 - eps, blocking)
     reach = block_scan(placed, blocking, neighbor_counts(1 - eps), StructType().add("id", id_type).add("others", "long"))
     reach = reach.groupBy(F.col("id").alias("keeper")).agg(F.sum("others").alias("others"))
