@@ -159,3 +159,13 @@ def test_scoring_fetches_few_word_lists(spark, brute, monkeypatch):
         got = {(r.id1, r.id2): r.similarity for r in similar_texts(frame, 0.78, chunk_rows=20).collect()}
         assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
     assert fetched[0] <= len(texts)
+
+
+def test_bounds_drop_no_pair_of_an_id_that_comes_twice(spark, rows, monkeypatch):
+    from twinsift.operators import text_pairs as tp
+
+    texts = corpus(seed=8, texts=45)
+    twice = frame(spark, texts).unionByName(frame(spark, texts).where("question_id in ('q001', 'q004', 'q011')"))
+    got = rows(similar_texts(twice, 0.6))
+    monkeypatch.setattr(tp, "_within_reach", lambda candidates, packed, threshold: candidates)
+    assert got == rows(similar_texts(twice, 0.6))
