@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from twinsift.lineage import shared_folder, stage, temporary
 from twinsift.operators import clusters, questions as q, reports, review
-from twinsift.operators.order import running_totals, with_position
+from twinsift.operators.order import among_first, cut_after, running_totals, with_position
 
 FEEDBACK = "id1 string, id2 string, similarity double, label string, note string, timestamp string"
 
@@ -207,3 +207,12 @@ def test_temporary_tables_are_removed(spark):
     assert not os.path.exists(path)
     outside = stage(spark.range(3), "long")
     assert outside.count() == 3
+
+
+@pytest.mark.parametrize("rows", [0, 418, 1000])
+def test_first_rows_are_found_by_counting(spark, rows):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1009 % 10).alias("a"), F.expr("if(id % 5 = 0, null, id % 7)").alias("b"))
+    marked = among_first(df, [(F.lit(True), cut_after(df, ["a", "b"], rows))], "first")
+    in_order = sorted((tuple(r) for r in df.collect()), key=lambda r: (r[0], r[1] is not None, r[1] or 0))
+    got = marked.where("first").drop("first").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(in_order[:rows], key=str) and marked.count() == 1000

@@ -8,7 +8,7 @@ from twinsift.operators import blocks
 from twinsift.operators.blocks import Blocking
 from twinsift.operators.density import density_clusters
 from twinsift.operators.neighbors import nearest, neighbor_pairs
-from twinsift.operators.vector_pairs import distinct_vectors, place, similar_vectors, vector_clusters
+from twinsift.operators.vector_pairs import distinct_vectors, place, similar_rows, similar_vectors, vector_clusters
 
 BLOCKINGS = [Blocking(), Blocking(block_rows=7), Blocking(block_rows=9, pivots=5), Blocking(block_rows=2, pivots=3)]
 
@@ -186,3 +186,20 @@ def test_column_functions(spark):
         fv.cosine(F.col("a"), F.col("b")).alias("c"), fv.pair_features(F.col("a"), F.col("b")).alias("f")).collect()
     assert abs(row.c - 1 / 50 ** 0.5) < 1e-12 and row.f == [2.0, 3.0, 3.0, -2.0]
     assert zero.c == 0.0
+
+
+@pytest.mark.parametrize("blocking", BLOCKINGS[:2])
+def test_pairs_bring_columns_of_both_rows(spark, blocking):
+    vectors = clustered()
+    rows = [(i, v, n % 3 or None) for n, (i, v) in enumerate(vectors.items())] + [("q000", vectors["q000"], 7), (None, vectors["q200"], 8)]
+    table = spark.createDataFrame(rows, "question_id string, embedding array<double>, label int")
+    want = similar_vectors(table, 0.9, blocking=blocking)
+    for s in "12":
+        want = want.join(table.toDF(f"id{s}", f"embedding{s}", f"label{s}"), f"id{s}")
+    got = similar_rows(table, 0.9, ("label", "embedding"), blocking=blocking)
+    assert sorted(map(str, got.select(*want.columns).drop("similarity").collect())) == sorted(
+        map(str, want.drop("similarity").collect()))
+    # Pairs of rows that stand for themselves meet no join.
+    alone = similar_rows(table.where("question_id like 'q1%'"), 0.9, ("label", "embedding"), blocking=blocking)
+    plan = alone._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan[:plan.index("FlatMapGroupsInArrow")] and alone.count()
