@@ -203,3 +203,8 @@ def test_pairs_bring_columns_of_both_rows(spark, blocking):
     alone = similar_rows(table.where("question_id like 'q1%'"), 0.9, ("label", "embedding"), blocking=blocking)
     plan = alone._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan[:plan.index("FlatMapGroupsInArrow")] and alone.count()
+
+
+def test_given_blocks_grow_with_the_table(spark):
+    assert Blocking(block_rows=60).suited(spark.range(600)).block_rows == 60
+    assert Blocking(block_rows=60).suited(spark.range(64_000)).block_rows == 1_000
