@@ -169,3 +169,11 @@ def test_bounds_drop_no_pair_of_an_id_that_comes_twice(spark, rows, monkeypatch)
     got = rows(similar_texts(twice, 0.6))
     monkeypatch.setattr(tp, "_within_reach", lambda candidates, packed, threshold: candidates)
     assert got == rows(similar_texts(twice, 0.6))
+
+
+@pytest.mark.parametrize("rows, chunks", [(20, 1), (60, 3), (4_000, 4), (40_000, 40)])
+def test_given_chunks_grow_with_the_word(spark, rows, chunks):
+    from twinsift.operators.text_neighbors import _met_chunks
+
+    sizes = spark.createDataFrame([(rows, 1)], "homes long, words long")
+    assert sizes.select(_met_chunks("homes", "words", 25)).first()[0] == chunks
