@@ -58,6 +58,18 @@ def test_pair_details_and_order(spark, rows):
     assert rows(q.pair_details(found, questions, digits=None)) == [("a", "b", "ta", "tb", "s2", "s1", 0.87654)]
 
 
+def test_texts_that_are_not_asked_for_are_not_stored(spark, rows, monkeypatch):
+    from twinsift.operators import order
+
+    stored, stage = [], order.stage
+    monkeypatch.setattr(order, "stage", lambda df, name: stored.append(df.columns) or stage(df, name))
+    questions = spark.createDataFrame(
+        [("a", "ta", "s2"), ("b", "tb", "s1")], "question_id string, question_text string, survey_name string")
+    found = pairs(spark, [("a", "b", 0.5)])
+    assert rows(q.pair_details(found, questions, positions=True, columns=["idx1", "idx2", "id2", "survey1"])) == [(0, 1, "b", "s2")]
+    assert stored and not any("question" in columns for columns in stored)
+
+
 def test_stored_pages_read_their_own_range(spark, tmp_path, capsys):
     rows = [(i, i + 1 + j, (i * 7 + j * 3) % 20 / 20) for i in range(15) for j in range(3)]
     found = spark.createDataFrame(rows, "id1 int, id2 int, similarity double")

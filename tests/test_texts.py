@@ -177,3 +177,33 @@ def test_given_chunks_grow_with_the_word(spark, rows, chunks):
 
     sizes = spark.createDataFrame([(rows, 1)], "homes long, words long")
     assert sizes.select(_met_chunks("homes", "words", 25)).first()[0] == chunks
+
+
+@pytest.mark.parametrize("search", [similar_texts, text_clusters])
+def test_entries_of_words_with_few_texts_are_not_stored(spark, questions, monkeypatch, search):
+    from twinsift.operators import text_pairs as tp
+
+    kept, stage = {}, tp.stage
+
+    def counted(df, name, path=None):
+        kept[name] = stage(df, name, path)
+        return kept[name]
+
+    monkeypatch.setattr(tp, "stage", counted)
+    for chunk_rows, some in ((1000, False), (4, True)):
+        assert search(questions, 0.78, chunk_rows=chunk_rows).count()
+        assert (kept["prefix"].count() > 0) == some
+
+
+def test_runs_of_a_word_stay_whole(brute):
+    import numpy as np
+    import pyarrow as pa
+    from twinsift.operators import text_pairs as tp
+
+    token = np.sort(np.random.default_rng(1).integers(0, 9, 60))
+    batches = [pa.record_batch({"token_id": token[a:a + 7]}) for a in range(0, 60, 7)]
+    parts = [t["token_id"].to_pylist() for t in tp._whole_runs([*batches[:3], batches[0].slice(0, 0), *batches[3:]])]
+    assert sum(parts, []) == token.tolist()
+    assert all(a[-1] < b[0] for a, b in zip(parts, parts[1:]))
+    values = np.array([0.1, 1 / 3, 0.5, 1.0, 0.0])
+    assert (tp._above(values) >= values).all() and (tp._above(values) - values < 1e-7).all()
