@@ -190,7 +190,7 @@ def test_entries_of_words_with_few_texts_are_not_stored(spark, questions, monkey
         return kept[name]
 
     monkeypatch.setattr(tp, "stage", counted)
-    for chunk_rows, some in ((1000, False), (4, True)):
+    for chunk_rows, some in ((1000, False), (1, True)):
         assert search(questions, 0.78, chunk_rows=chunk_rows).count()
         assert (kept["prefix"].count() > 0) == some
 
