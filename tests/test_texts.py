@@ -207,3 +207,26 @@ def test_runs_of_a_word_stay_whole(brute):
     assert all(a[-1] < b[0] for a, b in zip(parts, parts[1:]))
     values = np.array([0.1, 1 / 3, 0.5, 1.0, 0.0])
     assert (tp._above(values) >= values).all() and (tp._above(values) - values < 1e-7).all()
+
+
+@pytest.mark.parametrize("most", [0, 12])
+def test_words_stay_in_the_row_of_their_text(spark, questions, brute, monkeypatch, most):
+    from twinsift.operators import text_pairs as tp, tfidf
+
+    kept, staged = [], tfidf.stage
+
+    def counted(df, name, path=None):
+        table = staged(df, name, path)
+        kept.append((name, table.count()))
+        return table
+
+    monkeypatch.setattr(tfidf, "stage", counted)
+    monkeypatch.setattr(tfidf, "FREQUENT_WORDS", most)
+    packed, _ = tp.text_search(questions, 0.78, "question_id", "question_text", None)
+    texts = packed.count()
+    # Neither the entries of a text nor words of a single text are stored one by one.
+    assert [k[0] for k in kept] == ["lists", "shared"] and kept[0][1] == texts
+    assert all(len(r.tokens) == len(r.vs) for r in packed.collect())
+    got = {(r.id1, r.id2): r.similarity for r in similar_texts(questions, 0.6).collect()}
+    want = brute.text_pairs(corpus(), 0.6)
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
