@@ -208,3 +208,14 @@ def test_pairs_bring_columns_of_both_rows(spark, blocking):
 def test_given_blocks_grow_with_the_table(spark):
     assert Blocking(block_rows=60).suited(spark.range(600)).block_rows == 60
     assert Blocking(block_rows=60).suited(spark.range(64_000)).block_rows == 1_000
+
+
+def test_copies_of_a_vector_do_not_grow_with_the_table(spark):
+    rows = []
+    for size in (16_384, 65_536):
+        made = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.pmod(F.xxhash64("id", i), F.lit(2001)) / 1000 - 1)
+        keepers = spark.range(size).select(F.col("id").alias("keeper"), F.lit(1).alias("copies"), made.alias("vector")).cache()
+        blocking = Blocking().suited(keepers)
+        tasks = blocks.block_tasks(place(keepers, 0.3, blocking), blocking.block_rows, within_cells=True)
+        rows.append(tasks.count() / size)
+    assert rows[1] < 1.5 * rows[0]
