@@ -230,3 +230,24 @@ def test_words_stay_in_the_row_of_their_text(spark, questions, brute, monkeypatc
     got = {(r.id1, r.id2): r.similarity for r in similar_texts(questions, 0.6).collect()}
     want = brute.text_pairs(corpus(), 0.6)
     assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+
+
+def test_contraction_is_bounded_and_goes_on_over_batches(brute, monkeypatch):
+    import tracemalloc
+    import pyarrow as pa
+    from twinsift.operators.components import _contracted
+
+    # Few nodes: one edge per node is left of any number of edges.
+    chain = [pa.record_batch({"child": [n + 1], "parent": [n]}) for n in range(9)]
+    monkeypatch.setattr("twinsift.operators.components.CONTRACT_ROWS", 40)
+    left = [e for b in _contracted(iter(chain * 50)) for e in zip(*b.to_pydict().values())]
+    assert sorted(left) == [(n, 0) for n in range(1, 10)]
+    monkeypatch.undo()
+    # Many nodes: no more than a bounded number of edges is held at once.
+    many = (pa.record_batch({"child": [2 * n + 1 for n in range(a, a + 10_000)], "parent": [2 * n for n in range(a, a + 10_000)]})
+            for a in range(0, 600_000, 10_000))
+    tracemalloc.start()
+    edges = sum(b.num_rows for b in _contracted(many))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert edges == 600_000 and most < 100_000_000

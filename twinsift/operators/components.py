@@ -15,7 +15,7 @@ from twinsift.operators.skew import lookup
 
 
 # Edges that are contracted at once, to bound the memory of a task.
-CONTRACT_ROWS = 1_000_000
+CONTRACT_ROWS = 200_000
 
 
 def _stars(left: np.ndarray, right: np.ndarray, nodes: int) -> np.ndarray:
@@ -51,8 +51,12 @@ def _contracted(batches):
         held.append(batch)
         rows += batch.num_rows
         if rows >= CONTRACT_ROWS:
-            yield from stars(pa.Table.from_batches(held)).to_batches()
+            found = stars(pa.Table.from_batches(held))
             held, rows = [], 0
+            if len(found) > CONTRACT_ROWS // 2:
+                yield from found.to_batches()
+            else:  # few nodes: the next edges are contracted together with what is left
+                held, rows = found.cast(batch.schema).to_batches(), len(found)
     if rows:
         yield from stars(pa.Table.from_batches(held)).to_batches()
 

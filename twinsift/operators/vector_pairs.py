@@ -19,7 +19,7 @@ from twinsift.operators.copies import collapse, expand_pairs
 from twinsift.operators.text_pairs import EQUAL, check_threshold
 
 # Similarities that are computed at once, to bound the memory of the product.
-TILE_CELLS = 2_097_152
+TILE_CELLS = 1_048_576
 # Pairs that are returned at once, with what they carry.
 CARRY_ROWS = 8_192
 
