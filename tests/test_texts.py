@@ -251,3 +251,75 @@ def test_contraction_is_bounded_and_goes_on_over_batches(brute, monkeypatch):
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert edges == 600_000 and most < 100_000_000
+
+
+def test_texts_that_share_the_next_rarer_word_are_not_listed_again(spark, brute, monkeypatch):
+    """Near copies share many words, but are candidates at few of them, and come in few rows."""
+    from twinsift.operators import text_pairs as tp
+
+    texts = {n: " ".join([*(f"w{i}" for i in range(40)), f"own{n}", *(f"v{n % 3}x{i}" for i in range(2))]) for n in range(60)}
+    texts |= {100 + n: f"other{n} thing{n}" for n in range(200)}
+    seen, within_reach = [], tp._within_reach
+
+    def counted(candidates, packed, threshold):
+        seen.append((candidates.count(), candidates.agg(F.sum(F.size("id1s"))).first()[0]))
+        return within_reach(candidates, packed, threshold)
+
+    monkeypatch.setattr(tp, "_within_reach", counted)
+    got = {(r.id1, r.id2) for r in similar_texts(spark.createDataFrame([*texts.items()], "question_id long, question_text string")).collect()}
+    assert got == brute.text_pairs(texts, 0.78).keys() and len(got) >= 500
+    rows, listed = seen[0]
+    assert rows <= 40 and listed < 4 * len(got), (rows, listed, len(got))
+
+
+def test_neighbours_fetch_few_word_lists(spark, monkeypatch):
+    """Each text of a group of near copies is fetched by few groups, not once per word it shares."""
+    from twinsift.operators import text_pairs as tp
+
+    texts = {40 * g + n: " ".join([*(f"g{g}w{i}" for i in range(25)), f"own{g}n{n // 2}", f"far{n}"])
+             for g in range(6) for n in range(40)}
+    fetched, by_group = [], tp._by_group
+
+    def counted(tiles, lists, found, schema):
+        if "copies" in lists.columns:
+            fetched.append(tiles.select("group", F.explode(F.array("id1", "id2"))).distinct().count())
+        return by_group(tiles, lists, found, schema)
+
+    monkeypatch.setattr(tp, "_by_group", counted)
+    frame = spark.createDataFrame([*texts.items()], "question_id long, question_text string")
+    found = nearest_texts(frame, 2, 0.78, chunk_rows=8, sample_rows=10).collect()
+    assert len(found) == 2 * len(texts) and fetched and max(fetched) <= len(texts)
+
+
+def test_dots_look_up_the_shorter_text(brute):
+    import numpy as np
+    import pyarrow as pa
+    from twinsift.operators import text_pairs as tp
+
+    rng = np.random.default_rng(3)
+    rows = [np.sort(rng.choice(50, size, replace=False)) for size in (3, 40, 7, 30, 1)]
+    us = [rng.random(len(r)) for r in rows]
+    table = pa.table({"id": list(range(5)), "tokens": [r.tolist() for r in rows], "us": [u.tolist() for u in us]})
+    pairs = [(a, b) for a in range(5) for b in range(5) if a != b]
+    lists = tp._Lists(pa.table({"id1": [a for a, _ in pairs], "id2": [b for _, b in pairs]}), table)
+    dots = np.full(len(pairs), np.nan)
+    for part, dot, place1, place2 in lists.products():
+        dots[part] = dot
+        for p, x, y in zip(part, place1, place2):
+            a, b = pairs[p]
+            if len(np.intersect1d(rows[a], rows[b])):
+                assert lists.start[a] <= x < lists.end[a] and lists.start[b] <= y < lists.end[b]
+                assert lists.word[x] == lists.word[y]
+    dense = np.zeros((5, 50))
+    for i, (r, u) in enumerate(zip(rows, us)):
+        dense[i, r] = u
+    assert np.allclose(dots, [dense[a] @ dense[b] for a, b in pairs])
+
+
+def test_shuffle_files_of_ended_steps_are_collected(spark, monkeypatch):
+    from twinsift import lineage
+
+    monkeypatch.setattr(lineage, "COLLECT_S", 0.0)
+    before = lineage._collected
+    lineage.stage(spark.range(3), "three")
+    assert lineage._collected > before
